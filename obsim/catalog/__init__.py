@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY, Registry
 
-MODULES = ("tables", "aggregates")
+MODULES = ("tables", "aggregates", "series", "places", "rules")
 
 
 def load() -> Registry:

@@ -333,12 +333,12 @@ def _(t):
 
 
 @query("seasonal_mean_course", "AGG-28", f"""
-SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, {rnd('avg(l_quantity)')} AS l_quantity,
+SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, {rnd('avg(l_quantity)', 4)} AS l_quantity,
        {rnd('avg(l_extendedprice)', 4)} AS l_extendedprice FROM lineitem GROUP BY 1, 2""")
 def _(t):
     df = t.lineitem.withColumn("year", F.year("l_shipdate"))
     out = A.seasonal_course(df, "l_shipdate", "year", ["l_quantity", "l_extendedprice"])
-    return out.select("year", "doy", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"))
+    return rounded(out, 4)
 
 
 @query("annual_scenario_means", "AGG-29 PIP-21", f"""
@@ -364,7 +364,7 @@ s AS (SELECT *, CAST(coalesce(sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTI
 
 @query("season_rollup", "AGG-30", f"""
 WITH {_SEASONS_SQL}
-SELECT user_id, season, count(*) AS n_days, {rnd('sum(value)', 4)} AS rain, {rnd('avg(value)', 4)} AS tmean, max(value) AS top, arg_max(value, (ts, event_id)) AS final
+SELECT user_id, season, count(*) AS n_days, {rnd('sum(value)', 4)} AS rain, {rnd('avg(value)', 4)} AS tmean, {rnd('max(value)', 4)} AS top, {rnd('arg_max(value, (ts, event_id))', 4)} AS final
 FROM s GROUP BY 1, 2 HAVING bool_or(reset)""")
 def _(t):
     out = A.season_rollup(

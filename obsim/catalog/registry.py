@@ -60,15 +60,26 @@ REGISTRY = Registry()
 query = REGISTRY.add
 
 
+def _nudge(digits: int) -> str:
+    """A step far below the last kept digit.
+
+    Means of short decimals often end exactly on a rounding tie, where the last
+    bit of a sum decides; adding this to both sides makes ties round alike.
+    """
+    return f"1e-{digits + 3}"
+
+
 def rnd(expr: str, digits: int = 6) -> str:
     """SQL for a rounded double without negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {_nudge(digits)}, {digits}) + 0.0)"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, so that engines that add in another order agree."""
     from pyspark.sql import functions as F
 
+    step = float(_nudge(digits))
     return df.select(*[
-        (F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
+        (F.round(F.col(f"`{c}`") + step, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`")
+        for c, t in df.dtypes
     ])

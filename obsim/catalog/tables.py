@@ -95,9 +95,7 @@ FROM lineitem""")
 def _(t):
     crop = R.recode("l_returnflag", {"A": "potato", "R": "maize"})
     factor = R.lookup_or(crop, DRY_MATTER, 1.0)
-    return t.lineitem.select(
-        "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * factor, 4).alias("adjusted")
-    )
+    return rounded(t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * factor).alias("adjusted")), 4)
 
 
 _ES = "(61.08e-2 * exp(17.27e0 * {t} / ({t} + 237.3e0)))"
@@ -305,16 +303,16 @@ def _(t):
 WITH {DAILY_SQL},
 p AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY date) - 1 AS pos FROM daily WHERE dvs > 0),
 f AS (SELECT *, min(CASE WHEN dvs >= 2 THEN pos END) OVER (PARTITION BY location) AS cut FROM p)
-SELECT location, date, {rnd('dvs', 4)} AS dvs, {rnd('LAI_sim')} AS LAI_sim FROM f WHERE cut IS NULL OR pos <= cut""")
+SELECT location, date, {rnd('dvs', 4)} AS dvs, {rnd('LAI_sim', 4)} AS LAI_sim FROM f WHERE cut IS NULL OR pos <= cut""")
 def _(t):
     d = roles.daily_canopy(t).filter(F.col("dvs") > 0)
-    return rounded(R.truncate_at(d, ["location"], ["date"], F.col("dvs") >= 2).select("location", "date", "dvs", "LAI_sim"))
+    return rounded(R.truncate_at(d, ["location"], ["date"], F.col("dvs") >= 2).select("location", "date", "dvs", "LAI_sim"), 4)
 
 
 @query("positive_stage_filter", "FLT-11", f"""
 WITH {DAILY_SQL} SELECT location, date, {rnd('dvs', 4)} AS dvs FROM daily WHERE dvs > 0""")
 def _(t):
-    return rounded(roles.daily_canopy(t).filter(F.col("dvs") > 0).select("location", "date", "dvs"))
+    return rounded(roles.daily_canopy(t).filter(F.col("dvs") > 0).select("location", "date", "dvs"), 4)
 
 
 # ---------------------------------------------------------------------- joins
@@ -465,7 +463,7 @@ def _(t):
 @query("applied_nutrients", "JN-14", f"""
 WITH comp AS (SELECT p_type AS Fertilizertype, avg(p_size) / 1e2 AS Nitrate, avg(p_retailprice) / 1e4 AS Phosphorus FROM part GROUP BY 1),
 ev AS (SELECT l_orderkey AS location, l_linenumber AS Event, p_type AS vType, l_quantity AS Amount FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT location, Event, vType, {rnd('sum(Amount)')} AS amount, {rnd('sum(Amount * Nitrate)', 4)} AS nitrate, {rnd('sum(Amount * Phosphorus)', 4)} AS phosphorus
+SELECT location, Event, vType, {rnd('sum(Amount)', 4)} AS amount, {rnd('sum(Amount * Nitrate)', 4)} AS nitrate, {rnd('sum(Amount * Phosphorus)', 4)} AS phosphorus
 FROM ev JOIN comp ON vType = Fertilizertype GROUP BY 1, 2, 3""")
 def _(t):
     from ..operators.scenario import nutrients

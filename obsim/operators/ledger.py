@@ -103,11 +103,11 @@ def history(df: DataFrame, changed: str = "parameters_changed", **options) -> Da
     """Readable ledger: objective or FAILED, delta, improved mark, changed names, is-best."""
     best = running_best(df, **options)
     objective = options.get("objective", "objective")
-    order = options.get("order", "iteration")
+    order, status = options.get("order", "iteration"), options.get("status", "status")
     names = F.array_join(F.array_sort(F.map_keys(changed)), ", ")
     return best.select(
         *options.get("by", ()), order,
-        F.coalesce(F.format_number(F.when(F.col(options.get("status", "status")) == "completed", F.col(objective)), "0.0000"), F.lit("FAILED")).alias("objective_text"),
+        F.when(F.col(status) == "completed", F.format_string("%.4f", objective)).otherwise("FAILED").alias("objective_text"),
         F.col("delta_vs_best"),
         F.when(F.col("improved"), "+").otherwise(" ").alias("mark"),
         F.when(F.coalesce(F.size(changed), F.lit(0)) > 0, names).otherwise("baseline").alias("changed"),

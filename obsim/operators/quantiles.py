@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 SLICES = 128
 
 
@@ -47,9 +49,11 @@ def exact_quantiles(
         .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
     grid = [i / slices for i in range(1, slices)]
-    cuts = counts.groupBy(*g).agg(
+    # The approximate cuts depend on merge order, and two branches below use them,
+    # so they are fixed once (one short row per key) before slicing.
+    cuts = stage(counts.groupBy(*g).agg(
         F.percentile_approx("_v", grid, 10000).alias("_cuts"), F.sum("_n").alias("_total")
-    )
+    ), "cuts")
     sliced = _null_safe_join(counts, cuts, g).withColumn(
         "_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))
     ).drop("_cuts")
