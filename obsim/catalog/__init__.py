@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY, Registry
 
-MODULES = ("tables", "aggregates", "series", "places", "rules")
+MODULES = ("tables", "aggregates", "series", "places", "rules", "files", "analyses")
 
 
 def load() -> Registry:

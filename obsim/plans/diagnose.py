@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import in_range, ols_slope
 from ..operators import aggregates as A
-from ..operators.metrics import agreement, harvest_index
+from ..operators.metrics import agreement
 from ..operators.quantiles import exact_quantiles
 from ..operators.relational import top_abs, union_tagged
 from ..operators.shape import season_shape
@@ -87,36 +87,46 @@ def phenology_structure(df: DataFrame, latitude: str | None = None) -> DataFrame
     )
 
 
-def diagnose_phenology(df: DataFrame, points: DataFrame | None = None, place: str = "PointID") -> dict[str, DataFrame]:
+def _build(blocks: Mapping[str, Callable[[], DataFrame]], wanted: Sequence[str] | None) -> dict[str, DataFrame]:
+    """Only the wanted blocks; an unknown name is an error."""
+    names = list(blocks) if wanted is None else list(wanted)
+    return {name: blocks[name]() for name in names}
+
+
+def diagnose_phenology(
+    df: DataFrame, points: DataFrame | None = None, place: str = "PointID", blocks: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
     """Blocks: metrics, structure with verdict, by_year, by_latitude, worst_locations.
 
     ``points(PointID, Latitude)`` is optional; without it there is no latitude block.
     """
     located = df.join(points.select("PointID", "Latitude"), "PointID") if points is not None else None
-    metrics = union_tagged({k: agreement(df, o, s) for k, (o, s) in STAGES.items()}, "stage")
-    structure = phenology_structure(df)
-    if located is not None:
-        f = F.col("flowering_doy_sim") - F.col("flowering_doy")
-        slope = located.agg(
-            F.when(F.count(F.lit(1)) > MIN_LATITUDE_PAIRS, ols_slope(f, "Latitude")).alias("latitude_slope")
-        )
-        structure = structure.drop("latitude_slope").crossJoin(slope)
-    structure = structure.withColumn("verdict", phenology_verdict(
-        F.col("flowering_bias_median"), F.col("duration_bias_median"), F.col("warmth_slope"), F.col("latitude_slope")
-    ))
-    per = df.groupBy(place).agg(
-        A.small_domain_median(F.col("flowering_doy_sim") - F.col("flowering_doy")).alias("flowering_bias")
-    )
-    out = {
-        "metrics": metrics,
+    f = F.col("flowering_doy_sim") - F.col("flowering_doy")
+
+    def structure() -> DataFrame:
+        one = phenology_structure(df)
+        if located is not None:
+            slope = located.agg(
+                F.when(F.count(F.lit(1)) > MIN_LATITUDE_PAIRS, ols_slope(f, "Latitude")).alias("latitude_slope")
+            )
+            one = one.drop("latitude_slope").crossJoin(slope)
+        return one.withColumn("verdict", phenology_verdict(
+            F.col("flowering_bias_median"), F.col("duration_bias_median"), F.col("warmth_slope"), F.col("latitude_slope")
+        ))
+
+    def worst() -> DataFrame:
+        per = df.groupBy(place).agg(A.small_domain_median(f).alias("flowering_bias"))
+        return top_abs(per, "flowering_bias", WORST_PLACES, [place])
+
+    build = {
+        "metrics": lambda: union_tagged({k: agreement(df, o, s) for k, (o, s) in STAGES.items()}, "stage"),
         "structure": structure,
-        "by_year": A.bias_table(df, ["harvest_year"], STAGES),
-        "worst_locations": top_abs(per, "flowering_bias", WORST_PLACES, [place]),
+        "by_year": lambda: A.bias_table(df, ["harvest_year"], STAGES),
+        "worst_locations": worst,
     }
     if located is not None:
-        res = located.withColumn("_r", F.col("flowering_doy_sim") - F.col("flowering_doy"))
-        out["by_latitude"] = A.latitude_bands(res, "Latitude", "_r", LATITUDE_BANDS)
-    return out
+        build["by_latitude"] = lambda: A.latitude_bands(located.withColumn("_r", f), "Latitude", "_r", LATITUDE_BANDS)
+    return _build(build, blocks)
 
 
 SHAPE_FEATURES = {
@@ -140,21 +150,25 @@ def season_overview(seasons: DataFrame) -> DataFrame:
     )
 
 
-def diagnose_canopy(df: DataFrame, edges: Sequence[float], date: str = "date") -> dict[str, DataFrame]:
+def diagnose_canopy(
+    df: DataFrame, edges: Sequence[float], date: str = "date", blocks: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
     """Blocks: overall, years, by_stage, seasons, shape, season_overview, residuals, by_month, places, worst_locations."""
     seasons = season_shape(df, ["location", "year"], date, "dvs", "LAI", "LAI_sim")
-    return {
-        "overall": agreement(df, "LAI", "LAI_sim"),
-        "years": df.select("year").distinct(),
-        "by_stage": A.stage_bin_table(df, "dvs", edges, "LAI", "LAI_sim"),
-        "seasons": seasons,
-        "shape": A.difference_summary(seasons, SHAPE_FEATURES),
-        "season_overview": season_overview(seasons),
-        "residuals": A.residual_overview(df, "LAI", "LAI_sim", "dvs"),
-        "by_month": A.residual_by_month(df, date, "LAI", "LAI_sim"),
-        "places": A.place_bias_spread(df, "location", "LAI", "LAI_sim"),
-        "worst_locations": top_abs(A.place_bias(df, "location", "LAI", "LAI_sim"), "bias", WORST_PLACES, ["location"]),
-    }
+    return _build({
+        "overall": lambda: agreement(df, "LAI", "LAI_sim"),
+        "years": lambda: df.select("year").distinct(),
+        "by_stage": lambda: A.stage_bin_table(df, "dvs", edges, "LAI", "LAI_sim"),
+        "seasons": lambda: seasons,
+        "shape": lambda: A.difference_summary(seasons, SHAPE_FEATURES),
+        "season_overview": lambda: season_overview(seasons),
+        "residuals": lambda: A.residual_overview(df, "LAI", "LAI_sim", "dvs"),
+        "by_month": lambda: A.residual_by_month(df, date, "LAI", "LAI_sim"),
+        "places": lambda: A.place_bias_spread(df, "location", "LAI", "LAI_sim"),
+        "worst_locations": lambda: top_abs(
+            A.place_bias(df, "location", "LAI", "LAI_sim"), "bias", WORST_PLACES, ["location"]
+        ),
+    }, blocks)
 
 
 def yield_attribution(df: DataFrame, reference: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -189,27 +203,28 @@ def yield_attribution(df: DataFrame, reference: Mapping[str, tuple[float, float]
 
 
 def diagnose_yield(
-    df: DataFrame, reference: Mapping[str, tuple[float, float]] | None = None, driver_columns: Sequence[str] = ()
+    df: DataFrame, reference: Mapping[str, tuple[float, float]] | None = None, driver_columns: Sequence[str] = (),
+    blocks: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Blocks: overall, temporal, by_year, worst_years, spatial, by_state, attribution, drivers, translocation."""
     by_year = A.temporal_decomposition(df, "year", "yield", "yield_sim")
     by_state = A.temporal_decomposition(df, "STATE_NAME", "yield", "yield_sim")
-    out = {
-        "overall": agreement(df, "yield", "yield_sim"),
-        "by_year": by_year,
-        "temporal": A.temporal_summary(by_year, "year"),
-        "worst_years": top_abs(by_year, "bias", WORST_YEARS, ["year"]),
-        "by_state": by_state.orderBy("bias"),
-        "spatial": A.spatial_summary(by_state, df, "NUTS_ID", "yield", "yield_sim"),
+    build = {
+        "overall": lambda: agreement(df, "yield", "yield_sim"),
+        "by_year": lambda: by_year,
+        "temporal": lambda: A.temporal_summary(by_year, "year"),
+        "worst_years": lambda: top_abs(by_year, "bias", WORST_YEARS, ["year"]),
+        "by_state": lambda: by_state.orderBy("bias"),
+        "spatial": lambda: A.spatial_summary(by_state, df, "NUTS_ID", "yield", "yield_sim"),
     }
     if "biomass" in df.columns:
-        out["attribution"] = yield_attribution(df, reference)
+        build["attribution"] = lambda: yield_attribution(df, reference)
     if driver_columns:
         residual = df.withColumn("residual", F.col("yield_sim") - F.col("yield"))
-        out["drivers"] = A.drivers(residual, "residual", driver_columns)
+        build["drivers"] = lambda: A.drivers(residual, "residual", driver_columns)
     if "translocated" in df.columns:
-        out["translocation"] = A.compare_series(df, "yield", "yield_sim", "translocated")
-    return out
+        build["translocation"] = lambda: A.compare_series(df, "yield", "yield_sim", "translocated")
+    return _build(build, blocks)
 
 
 def match_coverage(simulated: DataFrame, matched: DataFrame, key: str, share: float = 0.5) -> DataFrame:
@@ -220,9 +235,3 @@ def match_coverage(simulated: DataFrame, matched: DataFrame, key: str, share: fl
     return a.crossJoin(b).select(
         "*", F.when(few, "few locations matched: another point set").otherwise("ok").alias("note")
     )
-
-
-__all__ = [
-    "diagnose_canopy", "diagnose_phenology", "diagnose_yield", "harvest_index", "match_coverage",
-    "phenology_structure", "phenology_verdict", "season_overview", "yield_attribution",
-]
