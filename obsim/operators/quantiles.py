@@ -1,11 +1,12 @@
-"""Exact grouped quantiles that never hold one group's values in one task.
+"""Exact grouped quantiles that never hold one large group's values in one task.
 
 Spark's ``percentile`` keeps a value -> count map per group. That is fine where
 the domain is small (days of a year: at most a few hundred values, merged map
 side), and the operators use it there. For continuous values the map grows with
-the group, so ``exact_quantiles`` narrows first: approximate cut points split
-each group into near-equal slices, slice counts locate the wanted ranks, and
-only the one or two slices that hold them are sorted.
+the group, so ``exact_quantiles`` works on a staged table of distinct values and
+counts. Groups below a checked size are ranked directly. A larger group is first
+narrowed: approximate cut points split it into near-equal slices, slice counts
+locate the wanted ranks, and only the slices that hold them are sorted.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-SLICES = 128
+# Distinct values one group may have to be sorted whole in a task.
+WHOLE_GROUP = 200_000
+# Slices of a larger group.
+SLICES = 256
 
 
 def exact_quantiles(
@@ -25,11 +29,12 @@ def exact_quantiles(
     by: Sequence[str],
     values: Mapping[str, Column | str],
     probs: Sequence[float],
+    whole_group: int = WHOLE_GROUP,
     slices: int = SLICES,
 ) -> DataFrame:
     """One row per key with ``array<double>`` of linear-interpolated quantiles per value.
 
-    Null and NaN values are skipped; a key without any value gets a null array.
+    Null and NaN values are skipped; a key without any value is absent.
     """
     by = list(by)
     pairs = F.array(*[
@@ -44,76 +49,95 @@ def exact_quantiles(
     )
     g = [*by, "_m"]
     # Copies collapse to counts map side, so a hot value costs one row per task.
-    counts = (
-        flat.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(
+        flat.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n")),
+        "values",
     )
-    grid = [i / slices for i in range(1, slices)]
-    # The approximate cuts depend on merge order, and two branches below use them,
-    # so they are fixed once (one short row per key) before slicing.
-    cuts = stage(counts.groupBy(*g).agg(
-        F.percentile_approx("_v", grid, 10000).alias("_cuts"), F.sum("_n").alias("_total")
-    ), "cuts")
-    sliced = _null_safe_join(counts, cuts, g).withColumn(
-        "_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-
-    # At most `slices` rows per key from here on.
-    sizes = sliced.groupBy(*g, "_b", "_total").agg(F.sum("_n").alias("_size"))
-    below = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(p))).alias("h"))
-        for i, p in enumerate(probs)
-    ])
-    wanted = (
-        sizes.withColumn("_below", F.coalesce(F.sum("_size").over(below), F.lit(0)))
-        .select(*g, "_b", "_below", "_size", F.explode(ranks).alias("_r"))
-        .select(
-            *g, "_b", "_below", "_size", F.col("_r.i").alias("_i"), F.col("_r.h").alias("_h"),
-            F.floor("_r.h").alias("_lo"), F.ceil("_r.h").alias("_hi"),
-        )
-        .filter(
-            ((F.col("_lo") >= F.col("_below")) & (F.col("_lo") < F.col("_below") + F.col("_size")))
-            | ((F.col("_hi") >= F.col("_below")) & (F.col("_hi") < F.col("_below") + F.col("_size")))
+    sizes = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_total"))
+    largest = sizes.agg(F.max("_k").alias("k")).first().k or 0
+    if largest <= whole_group:
+        kept = counts.withColumn("_b", F.lit(0)).withColumn("_below", F.lit(0).cast("bigint"))
+        hits = _ranked(kept, [*g, "_b"]).join(
+            *_null_safe(sizes.drop("_k"), g)
+        ).drop(*[f"_r_{k}" for k in g])
+        hits = hits.select(*g, "_v", "_start", "_end", F.explode(_ranks(probs)).alias("_w")).select(
+            *g, "_v", "_start", "_end", "_w.*"
         )
-    )
-    slots = wanted.groupBy(*g, "_b", "_below").agg(
-        F.collect_list(F.struct("_i", "_h", "_lo", "_hi")).alias("_want")  # at most one entry per prob
-    )
-    within = Window.partitionBy(*g, "_b").orderBy("_v")
-    hits = (
-        _null_safe_join(sliced.drop("_total"), slots, [*g, "_b"])
-        .withColumn("_end", F.col("_below") + F.sum("_n").over(within))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .select(*g, "_v", "_start", "_end", F.explode("_want").alias("_w"))
-        .select(*g, "_v", "_start", "_end", "_w.*")
-    )
+    else:
+        hits = _sliced_hits(counts, sizes, g, probs, whole_group, slices)
 
     def at(rank: str) -> Column:
         inside = (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
         return F.max(F.when(inside, F.col("_v")))
 
-    q = (
-        hits.groupBy(*g, "_i").agg(at("_lo").alias("_a"), at("_hi").alias("_z"), F.first("_h").alias("_h"))
-        .select(*g, "_i", (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("_q"))
-    )
+    q = hits.groupBy(*g, "_i").agg(
+        at("_lo").alias("_a"), at("_hi").alias("_z"), F.max("_h").alias("_h")
+    ).select(*g, "_i", (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("_q"))
 
     def of(name: str, i: int) -> Column:
         return F.max(F.when((F.col("_m") == name) & (F.col("_i") == i), F.col("_q")))
 
-    exprs = [
-        F.array(*[of(name, i) for i in range(len(probs))]).alias(name) for name in values
-    ]
-    out = q.groupBy(*by).agg(*exprs) if by else q.agg(*exprs)
-    return out
+    exprs = [F.array(*[of(name, i) for i in range(len(probs))]).alias(name) for name in values]
+    return q.groupBy(*by).agg(*exprs)
+
+
+def _ranks(probs: Sequence[float]) -> Column:
+    """``array<struct<_i, _h, _lo, _hi>>``: wanted 0-based ranks of each probability."""
+    def one(i: int, p: float) -> Column:
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        return F.struct(F.lit(i).alias("_i"), h.alias("_h"), F.floor(h).alias("_lo"), F.ceil(h).alias("_hi"))
+
+    return F.array(*[one(i, p) for i, p in enumerate(probs)])
+
 
+def _ranked(df: DataFrame, g: Sequence[str]) -> DataFrame:
+    """Rank interval [_start, _end) of each distinct value inside its group or slice."""
+    within = Window.partitionBy(*g).orderBy("_v")
+    return df.withColumn("_end", F.col("_below") + F.sum("_n").over(within)).withColumn(
+        "_start", F.col("_end") - F.col("_n")
+    )
+
+
+def _sliced_hits(
+    counts: DataFrame, sizes: DataFrame, g: Sequence[str], probs: Sequence[float], whole_group: int, slices: int
+) -> DataFrame:
+    """Ranked values of the slices that hold a wanted rank."""
+    grid = [i / slices for i in range(1, slices)]
+    # The approximate cuts depend on merge order, and two branches below use them,
+    # so they are fixed once (one short row per key) before slicing. Groups small
+    # enough to be sorted whole stay in one slice.
+    cuts = stage(
+        counts.groupBy(*g).agg(
+            F.array_distinct(F.percentile_approx("_v", grid, 10000)).alias("_c"),
+            F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_total"),
+        ).select(*g, "_total", F.when(F.col("_k") > whole_group, F.col("_c")).otherwise(F.array().cast("array<double>")).alias("_cuts")),
+        "cuts",
+    )
+    sliced = counts.join(*_null_safe(cuts, g)).drop(*[f"_r_{k}" for k in g]).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    ).drop("_cuts")
+    # At most `slices` rows per key.
+    per = sliced.groupBy(*g, "_b", "_total").agg(F.sum("_n").alias("_size"))
+    below = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_size"))
+
+    wanted = (
+        per.withColumn("_below", F.coalesce(F.sum("_size").over(below), F.lit(0)))
+        .withColumn("_want", F.filter(_ranks(probs), lambda r: holds(r["_lo"]) | holds(r["_hi"])))
+        .filter(F.size("_want") > 0).select(*g, "_b", "_below", "_want")
+    )
+    rows = sliced.drop("_total").join(*_null_safe(wanted, [*g, "_b"])).drop(*[f"_r_{k}" for k in [*g, "_b"]])
+    return _ranked(rows, [*g, "_b"]).select(*g, "_v", "_start", "_end", F.explode("_want").alias("_w")).select(
+        *g, "_v", "_start", "_end", "_w.*"
+    )
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join on keys where null equals null; the right keys are dropped."""
-    r = right
+
+def _null_safe(right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The right side with renamed keys, and a join condition where null equals null."""
     cond = F.lit(True)
     for k in on:
-        r = r.withColumnRenamed(k, f"_r_{k}")
-    for k in on:
-        cond = cond & left[k].eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(r, cond).drop(*[f"_r_{k}" for k in on])
+        right = right.withColumnRenamed(k, f"_r_{k}")
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return right, cond

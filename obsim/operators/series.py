@@ -104,18 +104,23 @@ def _line():
     return F.col("y0") + slope * (F.col("_x") - F.col("x0"))
 
 
-def _interpolate_sorted(df: DataFrame, x: str, k: DataFrame, name: str) -> DataFrame:
-    """Carry the nearest knot forward and backward over the sorted union of rows and knots."""
-    rows = df.withColumn("_x", F.col(x).cast("double")).withColumn("_row", F.struct(*df.columns))
-    both = rows.select("_x", "_row", F.lit(None).cast("struct<x:double,y:double>").alias("_k")).unionByName(
+def _interpolate_sorted(df: DataFrame, x: str, k: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Carry the nearest knot forward and backward over the sorted union of rows and knots.
+
+    ``k`` holds ``by``, ``_kx`` and ``_ky``. Range sorting keeps a key with very
+    many rows or knots spread over tasks.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.struct(*df.columns).alias("_row"))
+    both = rows.withColumn("_k", F.lit(None).cast("struct<x:double,y:double>")).unionByName(
         k.select(
-            F.col("_kx").alias("_x"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
+            *by, F.col("_kx").alias("_x"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
             F.struct(F.col("_kx").alias("x"), F.col("_ky").alias("y")).alias("_k"),
         )
     )
     is_row = F.col("_row").isNotNull()
-    fwd = running(both, [], [F.col("_x").asc(), is_row.asc()], {"_before": ("last", "_k")})
-    back = running(fwd, [], [F.col("_x").desc(), is_row.asc()], {"_after": ("last", "_k")})
+    fwd = running(both, by, [F.col("_x").asc(), is_row.asc()], {"_before": ("last", "_k")})
+    back = running(fwd, by, [F.col("_x").desc(), is_row.asc()], {"_after": ("last", "_k")})
     b, a = F.col("_before"), F.col("_after")
     line = b["y"] + F.try_divide(a["y"] - b["y"], a["x"] - b["x"]) * (F.col("_x") - b["x"])
     value = F.when(b.isNull(), a["y"]).when(a.isNull() | (a["x"] == b["x"]), b["y"]).otherwise(line)
@@ -125,18 +130,25 @@ def _interpolate_sorted(df: DataFrame, x: str, k: DataFrame, name: str) -> DataF
 def interpolate_within(
     df: DataFrame, x: str, knots: DataFrame, on: Sequence[str], kx: str, ky: str, name: str = "interpolated"
 ) -> DataFrame:
-    """As ``interpolate`` with its own short knot table per key (parameter tables)."""
-    arr = knots.groupBy(*on).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(kx).cast("double").alias("x"), F.col(ky).cast("double").alias("y")))).alias("_t")
+    """As ``interpolate`` with its own knots per key.
+
+    Keys whose knot lists are all short (checked) carry them as an array;
+    otherwise the sorted merge is used. Keys without knots give null.
+    """
+    on = list(on)
+    k = knots.select(*on, F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky"))
+    most = k.groupBy(*on).count().agg(F.max("count").alias("m")).first().m or 0
+    if most > CELL_KNOTS:
+        return _interpolate_sorted(df, x, k, name, on)
+    arr = k.groupBy(*on).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_kx").alias("x"), F.col("_ky").alias("y")))).alias("_t")
     )
     v = F.col(x).cast("double")
-    lower = F.filter("_t", lambda s: s["x"] <= v)
-    upper = F.filter("_t", lambda s: s["x"] >= v)
-    lo = F.try_element_at(lower, F.lit(-1))
-    hi = F.try_element_at(upper, F.lit(1))
+    lo = F.try_element_at(F.filter("_t", lambda s: s["x"] <= v), F.lit(-1))
+    hi = F.try_element_at(F.filter("_t", lambda s: s["x"] >= v), F.lit(1))
     line = lo["y"] + F.try_divide(hi["y"] - lo["y"], hi["x"] - lo["x"]) * (v - lo["x"])
     value = F.when(lo.isNull(), hi["y"]).when(hi.isNull() | (lo["x"] == hi["x"]), lo["y"]).otherwise(line)
-    return df.join(arr, list(on), "left").select(*df.columns, value.alias(name))
+    return df.join(arr, on, "left").select(*df.columns, value.alias(name))
 
 
 def splice_offset(
