@@ -196,7 +196,7 @@ SELECT {rnd('quantile_cont(yield_sim / biomass, 0.5)')} AS hi_sim, {rnd('quantil
        {rnd('quantile_cont(yield_sim / biomass, 0.5) - quantile_cont(yield / biomass, 0.5)')} AS hi_bias, {rnd('avg(biomass)')} AS mean_biomass
 FROM pairs WHERE biomass > 0""")
 def _(t):
-    return rounded(V.harvest_index_medians(roles.yield_pairs(t)))
+    return rounded(V.harvest_index_medians(roles.staged_yield_pairs(t)))
 
 
 @query("translocated_metrics", "AGG-17", f"""
@@ -438,7 +438,7 @@ d AS (SELECT avg(yield_sim - yield) AS b FROM pairs GROUP BY NUTS_ID)
 SELECT (SELECT {rnd('sqrt(avg(pow(s - o, 2)))')} FROM s) AS rmse_state_means, (SELECT {rnd('min(s - o)')} FROM s) AS state_bias_min,
        (SELECT {rnd('max(s - o)')} FROM s) AS state_bias_max, {rnd('quantile_cont(b, 0.25)')} AS district_bias_q25, {rnd('quantile_cont(b, 0.75)')} AS district_bias_q75 FROM d""")
 def _(t):
-    p = roles.yield_pairs(t)
+    p = roles.staged_yield_pairs(t)
     states = A.temporal_decomposition(p, "STATE_NAME", "yield", "yield_sim")
     return rounded(A.spatial_summary(states, p, "NUTS_ID", "yield", "yield_sim"))
 
@@ -451,7 +451,7 @@ SELECT n, {rnd('a')} AS rmse_plain, {rnd('b')} AS rmse_other, {rnd('b - a')} AS
        {rnd('mp')} AS mean_plain, {rnd('mo')} AS mean_other,
        CASE WHEN abs(b - a) < 5e-2 THEN 'indistinguishable' WHEN b < a THEN 'other fits better' ELSE 'other fits worse' END AS verdict FROM m WHERE n >= 5""")
 def _(t):
-    return rounded(A.compare_series(roles.yield_pairs(t), "yield", "yield_sim", "translocated"))
+    return rounded(A.compare_series(roles.staged_yield_pairs(t), "yield", "yield_sim", "translocated"))
 
 
 @query("exact_quantiles_by_group", "AGG-24 AGG-25", f"""

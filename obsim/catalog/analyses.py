@@ -25,7 +25,7 @@ scales AS (SELECT scale, {corr_sql('yield', 'yield_sim')} FROM a GROUP BY 1)"""
 
 @query("yield_comparison_four_scales", "PIP-10 SET-2 AGG-1 JN-1 AGG-13", f"WITH {PAIRS_SQL}, {_SCALES_SQL} SELECT * FROM scales")
 def _(t):
-    return rounded(M.multi_scale(roles.yield_pairs(t), SCALES, "yield", "yield_sim"))
+    return rounded(M.multi_scale(roles.staged_yield_pairs(t), SCALES, "yield", "yield_sim"))
 
 
 @query("correlation_pivot_by_scale", "SET-4 PIP-10", f"""
@@ -33,7 +33,7 @@ WITH {PAIRS_SQL}, {_SCALES_SQL}
 SELECT 'all' AS crop, max(CASE WHEN scale = 'district-year' THEN r END) AS "district-year", max(CASE WHEN scale = 'nuts3-clim' THEN r END) AS "nuts3-clim",
        max(CASE WHEN scale = 'state' THEN r END) AS state, max(CASE WHEN scale = 'yearly' THEN r END) AS yearly FROM scales""")
 def _(t):
-    m = M.multi_scale(roles.yield_pairs(t), SCALES, "yield", "yield_sim").withColumn("crop", F.lit("all"))
+    m = M.multi_scale(roles.staged_yield_pairs(t), SCALES, "yield", "yield_sim").withColumn("crop", F.lit("all"))
     return rounded(R.pivot_wide(m, ["crop"], "scale", "r", list(SCALES)))
 
 
@@ -172,7 +172,7 @@ SELECT {rnd('bias')} AS bias, {rnd('hi')} AS hi, {rnd('hn')} AS hi_needed, {rnd(
   WHEN a AND NOT b THEN 'biomass: biomass implausible, harvest index plausible' WHEN c AND NOT d THEN 'prefer partitioning: only the index can close the gap'
   WHEN d AND NOT c THEN 'prefer biomass: only biomass can close the gap' ELSE 'both routes plausible: use drivers and structure' END AS verdict FROM f""")
 def _(t):
-    return rounded(DG.yield_attribution(roles.yield_pairs(t), {"harvest_index": (0.35, 0.55), "biomass": (8.0, 14.0)}))
+    return rounded(DG.yield_attribution(roles.staged_yield_pairs(t), {"harvest_index": (0.35, 0.55), "biomass": (8.0, 14.0)}))
 
 
 @query("yield_spatial_block", "PIP-16 AGG-37", f"""

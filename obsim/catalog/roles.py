@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import district_year
 from ..operators.relational import pair
+from ..session import stage
 
 # ------------------------------------------------------------ points and admin
 
@@ -96,6 +97,11 @@ def yield_pairs(t) -> DataFrame:
     return pair(district, obs_yield(t), ["NUTS_ID", "year"]).filter(F.col("yield") > 0)
 
 
+def staged_yield_pairs(t) -> DataFrame:
+    """The pairs written once (one row per district and year) for analyses that read them several times."""
+    return stage(yield_pairs(t), "pairs")
+
+
 # ----------------------------------------------------------------- phenology
 
 SIM_PHEN_SQL = """sim_phen AS (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col, edge_bin, finite_pair, ratio, safe_corr
+from ..session import stage
 
 
 def rmse(obs: Column | str, sim: Column | str) -> Column:
@@ -107,18 +108,18 @@ def binned_loss(
 def two_dimension_loss(df: DataFrame, obs: str, sim: str, dim1: str, dim2: str) -> DataFrame:
     """Mean of the RMSE over dim1 means and the RMSE over dim2 means, plus the raw scores.
 
-    One pass feeds both dimensions: sums per (dim1, dim2) are far fewer rows
-    than the pairs, and both dimension means come from them.
+    One pass over the pairs gives sums per (dim1, dim2); that short table is
+    staged, and every score comes from it.
     """
     ok = df.select(
         dim1, dim2, F.col(obs).cast("double").alias("_o"), F.col(sim).cast("double").alias("_s")
     )
     d = F.col("_s") - F.col("_o")
-    cells = ok.groupBy(dim1, dim2).agg(
+    cells = stage(ok.groupBy(dim1, dim2).agg(
         F.sum("_o").alias("so"), F.sum("_s").alias("ss"),
         F.count("_o").alias("no"), F.count("_s").alias("ns"),
         F.sum(d * d).alias("sq"), F.sum(d).alias("sd"), F.count(d).alias("nd"),
-    )
+    ), "cells")
 
     def over(dim: str, name: str) -> DataFrame:
         means = cells.filter(F.col(dim).isNotNull()).groupBy(dim).agg(

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import STRUCTURAL_ZERO, as_col
+from ..functions.numeric import STRUCTURAL_ZERO
 from .ordered import previous
+from .series import CELL_KNOTS, interpolate_within, knot_lists, on_knot_list
 
 
 def _out(df: DataFrame, rule: str, group: Sequence[str], *cols) -> DataFrame:
@@ -55,12 +56,7 @@ def check_monotone(
 
 
 def check_endpoint(df: DataFrame, group: Sequence[str], idx: str, value: str, rule: str = "last_le_max", tolerance: float = 0.0) -> DataFrame:
-    """The last element against the largest earlier one, or against the first.
-
-    One pass of mergeable aggregates: the two largest (value, idx) pairs decide
-    the largest earlier element without knowing the last position beforehand.
-    """
-    at = F.struct(F.col(value).alias("v"), F.col(idx).alias("i"))
+    """The last element against the largest earlier one, or against the first."""
     ends = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.max(idx).alias("_last_i"),
         F.max_by(value, idx).alias("last_value"), F.min_by(value, idx).alias("first_value"),
@@ -77,25 +73,29 @@ def check_endpoint(df: DataFrame, group: Sequence[str], idx: str, value: str, ru
 
 
 def closure_sums(df: DataFrame, group: Sequence[str], member: str, x: str, value: str) -> DataFrame:
-    """Sum of linearly interpolated members on the union of their grids, per group.
-
-    Members are short parameter tables: each is a small sorted knot list.
-    """
-    from .series import interpolate_within
-
+    """Sum of linearly interpolated members on the union of their grids, per group."""
     nodes = df.select(*group, F.col(x).alias("node")).distinct()
-    members = df.select(*group, member).distinct()
-    grid = nodes.join(members, list(group))
-    at = interpolate_within(grid, "node", df, [*group, member], x, value, "_v")
+    keys = [*group, member]
+    most = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first().m or 0
+    if most <= CELL_KNOTS:
+        # Every member's knots are a short list: one join brings all lists to the nodes.
+        at = nodes.join(knot_lists(df, keys, x, value), list(group)).withColumn("_v", on_knot_list("_t", "node"))
+    else:
+        grid = nodes.join(df.select(*keys).distinct(), list(group))
+        at = interpolate_within(grid, "node", df, keys, x, value, "_v")
     return at.groupBy(*group, "node").agg(F.sum("_v").alias("total"))
 
 
 def check_closure(before: DataFrame, after: DataFrame, group: Sequence[str], member: str, x: str, value: str, tolerance: float = 0.005) -> DataFrame:
     """Nodes where the members no longer sum to 1, only where they did before."""
-    b = closure_sums(before, group, member, x, value).withColumnRenamed("total", "before_total")
-    a = closure_sums(after, group, member, x, value)
-    joined = a.join(b, [*group, "node"], "left").withColumn("before_total", F.coalesce("before_total", "total"))
-    bad = joined.filter(
+    both = before.select(*group, member, x, value, F.lit(0).alias("_when")).unionByName(
+        after.select(*group, member, x, value, F.lit(1).alias("_when"))
+    )
+    sums = closure_sums(both, [*group, "_when"], member, x, value).groupBy(*group, "node").agg(
+        F.max(F.when(F.col("_when") == 0, F.col("total"))).alias("_b"),
+        F.max(F.when(F.col("_when") == 1, F.col("total"))).alias("total"),
+    ).filter(F.col("total").isNotNull()).withColumn("before_total", F.coalesce("_b", "total"))
+    bad = sums.filter(
         (F.abs(F.col("before_total") - 1) <= tolerance) & (F.abs(F.col("total") - 1) > tolerance)
     )
     return _out(bad, "closure", group, "node", "before_total", "total")

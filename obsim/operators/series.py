@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import decimal_year
@@ -140,15 +140,23 @@ def interpolate_within(
     most = k.groupBy(*on).count().agg(F.max("count").alias("m")).first().m or 0
     if most > CELL_KNOTS:
         return _interpolate_sorted(df, x, k, name, on)
-    arr = k.groupBy(*on).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_kx").alias("x"), F.col("_ky").alias("y")))).alias("_t")
-    )
+    lists = knot_lists(k, on, "_kx", "_ky")
+    return df.join(lists, on, "left").select(*df.columns, on_knot_list("_t", x).alias(name))
+
+
+def knot_lists(knots: DataFrame, on: Sequence[str], kx: str, ky: str) -> DataFrame:
+    """``(on..., _t)``: each key's knots as a sorted array; for keys checked to be short."""
+    knot = F.struct(F.col(kx).cast("double").alias("x"), F.col(ky).cast("double").alias("y"))
+    return knots.groupBy(*on).agg(F.array_sort(F.collect_list(knot)).alias("_t"))
+
+
+def on_knot_list(knots: str, x: str) -> Column:
+    """Linear interpolation at x on a sorted knot array, ends held flat."""
     v = F.col(x).cast("double")
-    lo = F.try_element_at(F.filter("_t", lambda s: s["x"] <= v), F.lit(-1))
-    hi = F.try_element_at(F.filter("_t", lambda s: s["x"] >= v), F.lit(1))
+    lo = F.try_element_at(F.filter(knots, lambda s: s["x"] <= v), F.lit(-1))
+    hi = F.try_element_at(F.filter(knots, lambda s: s["x"] >= v), F.lit(1))
     line = lo["y"] + F.try_divide(hi["y"] - lo["y"], hi["x"] - lo["x"]) * (v - lo["x"])
-    value = F.when(lo.isNull(), hi["y"]).when(hi.isNull() | (lo["x"] == hi["x"]), lo["y"]).otherwise(line)
-    return df.join(arr, on, "left").select(*df.columns, value.alias(name))
+    return F.when(lo.isNull(), hi["y"]).when(hi.isNull() | (lo["x"] == hi["x"]), lo["y"]).otherwise(line)
 
 
 def splice_offset(
