@@ -74,7 +74,7 @@ def _(t):
     path = scratch_path(t.spark, "annual")
     a = roles.annual(t).select(F.concat(F.col("year").cast("string"), F.lit(","), F.col("level").cast("string")).alias("value"))
     notes = t.region.select(F.concat(F.lit("# region "), F.col("r_name")).alias("value"))
-    head = t.region.limit(1).select(F.lit("# first line").alias("value"))
+    head = t.spark.createDataFrame([("# first line",)], "value string")
     notes.unionByName(head).unionByName(a).write.text(path)
     return t.spark.read.schema("year int, co2_ppm double").option("comment", "#").csv(path)
 
@@ -160,9 +160,9 @@ def _(t):
         F.col("l_orderkey").cast("string"),
     )
     line = F.when(n == 1, limits).when(n == 7, F.lit("short\tline")).otherwise(text)
-    head = t.region.limit(1).select(F.explode(F.array(
-        F.lit("Session 1 started"), F.lit("CheckMethod\tDate\tComponent\tType\tVariableName\tAdditionalInformation\tMin\tMax")
-    )).alias("value"))
+    head = t.spark.createDataFrame([
+        ("Session 1 started",), ("CheckMethod\tDate\tComponent\tType\tVariableName\tAdditionalInformation\tMin\tMax",)
+    ], "value string")
     head.unionByName(t.lineitem.select(line.alias("value"))).write.text(path)
     return SN.scan_check_log(t.spark, path).groupBy("method", "variable", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -199,11 +199,11 @@ def _(t):
 
 @query("stale_experiments", "SNK-4", """
 WITH s AS (SELECT o_orderstatus AS crop, o_orderpriority AS exp_id, max(o_orderdate) AS m FROM orders GROUP BY 1, 2),
-w AS (SELECT o_orderstatus AS crop, o_orderpriority AS exp_id, max(o_orderdate) AS w FROM orders WHERE o_custkey % 2 = 0 AND o_orderpriority <> '5-LOW' GROUP BY 1, 2)
+w AS (SELECT o_orderstatus AS crop, o_orderpriority AS exp_id, max(o_orderdate) AS w FROM orders WHERE o_totalprice < 4e5 AND o_orderpriority <> '5-LOW' GROUP BY 1, 2)
 SELECT crop, exp_id FROM s LEFT JOIN w USING (crop, exp_id) WHERE w IS NULL OR w < m""")
 def _(t):
     src = t.orders.select(F.col("o_orderstatus").alias("crop"), F.col("o_orderpriority").alias("exp_id"), F.col("o_orderdate").alias("modified"))
-    done = t.orders.filter((F.col("o_custkey") % 2 == 0) & (F.col("o_orderpriority") != "5-LOW")).groupBy(
+    done = t.orders.filter((F.col("o_totalprice") < 4e5) & (F.col("o_orderpriority") != "5-LOW")).groupBy(
         F.col("o_orderstatus").alias("crop"), F.col("o_orderpriority").alias("exp_id")
     ).agg(F.max("o_orderdate").alias("written"))
     return K.stale_experiments(src, done, ["crop", "exp_id"])

@@ -40,11 +40,11 @@ def _(t):
 
 _YEAR_STATIONS_SQL = f"""{STATIONS_SQL}, ys AS (
   SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year, station, sx, sy FROM lineitem JOIN stations ON l_suppkey = station
-  WHERE l_linenumber = 1 AND l_quantity <= 5)"""
+  WHERE l_quantity = 50 AND l_discount >= 9e-2)"""
 
 
 def year_stations(t):
-    seen = t.lineitem.filter((F.col("l_linenumber") == 1) & (F.col("l_quantity") <= 5)).select(
+    seen = t.lineitem.filter((F.col("l_quantity") == 50) & (F.col("l_discount") >= 0.09)).select(
         F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("station")
     ).distinct()
     return seen.join(stations(t), "station")
@@ -225,12 +225,12 @@ def _(t):
 
 
 BASELINE_SQL = """base AS (SELECT o_custkey AS vLocationID, concat('N', CAST(c_nationkey AS VARCHAR)) AS vNUTS_ID, CAST(dayofyear(o_orderdate) AS INTEGER) AS vIDPL
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0 AND c_nationkey <> 7)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' AND c_nationkey <> 7)"""
 
 
 def baseline(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).filter(
-        (F.col("c_custkey") % 3 != 0) & (F.col("c_nationkey") != 7)
+        (F.col("c_mktsegment") != "BUILDING") & (F.col("c_nationkey") != 7)
     ).select(
         F.col("o_custkey").alias("vLocationID"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("vNUTS_ID"),
         F.dayofyear("o_orderdate").alias("vIDPL"),
@@ -305,11 +305,11 @@ def _(t):
 
 
 @query("cells_with_a_weather_file", "JN-6", f"""
-WITH {POINTS_SQL} SELECT location, cell FROM points WHERE location % 97 IN (SELECT s_suppkey % 97 FROM supplier WHERE s_suppkey < 60)
+WITH {POINTS_SQL} SELECT location, cell FROM points WHERE location % 97 IN (SELECT s_suppkey % 97 FROM supplier WHERE s_acctbal > 4e3)
   AND (location * 7) % 83 IN (SELECT (s_suppkey * 3) % 83 FROM supplier)""")
 def _(t):
     # A catalog of file names built from the tables: one per (column, row).
-    cols = t.supplier.filter(F.col("s_suppkey") < 60).select((F.col("s_suppkey") % 97).alias("c")).distinct()
+    cols = t.supplier.filter(F.col("s_acctbal") > 4e3).select((F.col("s_suppkey") % 97).alias("c")).distinct()
     rows = t.supplier.select(((F.col("s_suppkey") * 3) % 83).alias("r")).distinct()
     files = cols.crossJoin(F.broadcast(rows)).select(
         F.concat(F.lit("/climate/"), F.col("r").cast("string"), F.lit("/daily_mean_RES1_C"), F.col("c").cast("string"),

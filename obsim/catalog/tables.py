@@ -397,9 +397,9 @@ def _(t):
 
 @query("attach_district_lookup", "JN-3", f"""
 WITH {POINTS_SQL}, {SIM_SQL}
-SELECT row_id, location, NUTS_NAME, STATE_NAME FROM sim LEFT JOIN (SELECT * FROM points WHERE location % 5 <> 0) USING (location)""")
+SELECT row_id, location, NUTS_NAME, STATE_NAME FROM sim LEFT JOIN (SELECT * FROM points WHERE STATE_NAME <> 'ASIA') USING (location)""")
 def _(t):
-    dim = roles.points(t).filter(F.col("location") % 5 != 0).select("location", "NUTS_NAME", "STATE_NAME")
+    dim = roles.points(t).filter(F.col("STATE_NAME") != "ASIA").select("location", "NUTS_NAME", "STATE_NAME")
     return R.lookup(roles.sim_yearly(t).select("row_id", "location"), dim, ["location"])
 
 

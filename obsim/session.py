@@ -19,6 +19,10 @@ SETTINGS = {
 }
 
 
+# Temporary folders of local-mode sessions that name no shared folder.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in SETTINGS.items():
@@ -55,9 +59,10 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_SCRATCH[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 
-from obsim.session import scratch_path, scratch_root
+from obsim import session
 from obsim.sources import catalog, consolidate, scan
 from obsim.streaming import incremental
 
@@ -16,9 +16,27 @@ def write(folder, name, lines, newline=True):
     (folder / name).write_text("\n".join(lines) + ("\n" if newline else ""))
 
 
-def test_scratch_folder_comes_from_the_session(spark):
-    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
-    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_scratch_folder_comes_from_the_session(spark, monkeypatch):
+    named = {"spark.checkpoint.dir": "/shared/stage/"}
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: named.get(key, default))
+
+        sparkContext = spark.sparkContext
+
+    assert session.scratch_path(Session, "x").startswith("/shared/stage/x-")
+    named.clear()
+    monkeypatch.setattr(session, "_LOCAL_SCRATCH", {})
+    local = session.scratch_root(Session)
+    assert local.startswith("/tmp/spark-") and session.scratch_root(Session) == local
+
+    class Remote:
+        master, applicationId = "k8s://cluster", "a"
+
+    Session.sparkContext = Remote
+    with pytest.raises(ValueError, match="shared folder"):
+        session.scratch_root(Session)
 
 
 def test_scan_handles_missing_newline_and_empty_files(spark, tmp_path):
