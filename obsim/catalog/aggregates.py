@@ -9,6 +9,7 @@ from ..operators import aggregates as A
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..plans import views as V
+from ..session import stage
 from . import roles
 from .registry import query, rnd, rounded
 from .roles import CANOPY_SQL, PAIRS_SQL, PHEN_SQL, POINTS_SQL, SIM_SQL, STAGE_EDGES
@@ -310,7 +311,7 @@ SELECT {_BANDS} AS band, {rnd('avg(dvs)')} AS dvs_mean, {rnd('quantile_cont(LAI,
        {rnd('quantile_cont(LAI_sim, 0.5)')} AS "LAI_sim_median", {rnd('quantile_cont(LAI_sim, 0.75)')} AS "LAI_sim_q75"
 FROM canopy WHERE {_BANDS} IS NOT NULL GROUP BY 1""")
 def _(t):
-    return rounded(A.banded_quartiles(canopy(t), "dvs", _GRID, ["LAI", "LAI_sim"]))
+    return rounded(A.banded_quartiles(stage(canopy(t), "pairs"), "dvs", _GRID, ["LAI", "LAI_sim"]))
 
 
 @query("point_density_2d", "AGG-26", f"""

@@ -9,6 +9,7 @@ from ..operators import ledger as L
 from ..operators import series as SR
 from ..operators import shape as SH
 from ..operators.ordered import running
+from ..session import stage
 from ..operators.aggregates import difference_summary
 from . import roles
 from .registry import query, rnd, rounded
@@ -213,7 +214,7 @@ SELECT feature, count(*) AS n, {rnd('quantile_cont(o, 0.5)', 4)} AS obs_median,
        {rnd('quantile_cont(s - o, 0.5)', 4)} AS median_diff, {rnd('quantile_cont(s - o, 0.25)', 4)} AS diff_q25, {rnd('quantile_cont(s - o, 0.75)', 4)} AS diff_q75
 FROM f WHERE o IS NOT NULL AND s IS NOT NULL GROUP BY 1""")
 def _(t):
-    shape = SH.season_shape(roles.season_pairs(t), ["location", "year"], "date", "dvs", "LAI", "LAI_sim")
+    shape = stage(SH.season_shape(roles.season_pairs(t), ["location", "year"], "date", "dvs", "LAI", "LAI_sim"), "seasons")
     return rounded(difference_summary(shape, {
         "peak": ("obs_peak", "sim_peak"), "peak_doy": ("obs_peak_doy", "sim_peak_doy"), "early": ("obs_early", "sim_early"),
         "rise": ("obs_rise", "sim_rise"), "decline": ("obs_decline", "sim_decline"),

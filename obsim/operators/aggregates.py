@@ -11,6 +11,7 @@ from ..functions.arrays import slice_avg, slice_sum
 from ..functions.numeric import (
     as_col, edge_bin, equal_bin, half_open_edge_bin, histogram_bin, ols_slope, safe_corr,
 )
+from ..session import stage
 from .metrics import bias, rmse
 from .ordered import running
 from .quantiles import exact_quantiles
@@ -116,7 +117,7 @@ def place_bias(df: DataFrame, place: str, obs: str, sim: str) -> DataFrame:
 
 def place_bias_spread(df: DataFrame, place: str, obs: str, sim: str) -> DataFrame:
     """Quartiles of per-place mean bias and the share of places biased high."""
-    per = place_bias(df, place, obs, sim)
+    per = stage(place_bias(df, place, obs, sim), "places")  # one row per place, read twice
     q = exact_quantiles(per, [], {"bias": "bias"}, [0.25, 0.75])
     high = per.agg((100 * F.avg((F.col("bias") > 0).cast("double"))).alias("biased_high_pct"))
     return q.crossJoin(high).select(

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import STRUCTURAL_ZERO
+from ..session import stage
 from .ordered import previous
-from .series import CELL_KNOTS, interpolate_within, knot_lists, on_knot_list
+from .series import interpolate_within
 
 
 def _out(df: DataFrame, rule: str, group: Sequence[str], *cols) -> DataFrame:
@@ -73,17 +74,32 @@ def check_endpoint(df: DataFrame, group: Sequence[str], idx: str, value: str, ru
 
 
 def closure_sums(df: DataFrame, group: Sequence[str], member: str, x: str, value: str) -> DataFrame:
-    """Sum of linearly interpolated members on the union of their grids, per group."""
-    nodes = df.select(*group, F.col(x).alias("node")).distinct()
-    keys = [*group, member]
-    most = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first().m or 0
-    if most <= CELL_KNOTS:
-        # Every member's knots are a short list: one join brings all lists to the nodes.
-        at = nodes.join(knot_lists(df, keys, x, value), list(group)).withColumn("_v", on_knot_list("_t", "node"))
-    else:
-        grid = nodes.join(df.select(*keys).distinct(), list(group))
-        at = interpolate_within(grid, "node", df, keys, x, value, "_v")
-    return at.groupBy(*group, "node").agg(F.sum("_v").alias("total"))
+    """Sum of linearly interpolated members on the union of their grids, per group.
+
+    A member has at most one knot per position. Where every member of a group
+    has a knot, the sum needs no interpolation; only positions that some member
+    lacks are interpolated, and only for that member.
+    """
+    group = list(group)
+    knots = df.select(*group, member, F.col(x).alias("node"), F.col(value).alias("_y"))
+    members = knots.select(*group, member).distinct()
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_members"))
+    nodes = stage(
+        knots.groupBy(*group, "node").agg(F.sum("_y").alias("_sum"), F.count("_y").alias("_have")).join(sizes, group),
+        "nodes",
+    )
+    full = nodes.filter(F.col("_have") == F.col("_members")).select(*group, "node", F.col("_sum").alias("total"))
+    partial = nodes.filter(F.col("_have") < F.col("_members"))
+    if partial.isEmpty():
+        return full
+    gaps = partial.select(*group, "node").join(members, group).join(
+        knots.select(*group, member, "node"), [*group, member, "node"], "left_anti"
+    )
+    used = knots.join(partial.select(*group).distinct(), group, "left_semi")
+    filled = interpolate_within(gaps, "node", used, [*group, member], "node", "_y", "_v")
+    extra = filled.groupBy(*group, "node").agg(F.sum("_v").alias("_extra"))
+    rest = partial.join(extra, [*group, "node"]).select(*group, "node", (F.col("_sum") + F.col("_extra")).alias("total"))
+    return full.unionByName(rest)
 
 
 def check_closure(before: DataFrame, after: DataFrame, group: Sequence[str], member: str, x: str, value: str, tolerance: float = 0.005) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators.metrics import agreement
 from ..operators.quantiles import exact_quantiles
 from ..operators.relational import top_abs, union_tagged
 from ..operators.shape import season_shape
+from ..session import stage
 
 # Thresholds of the verdicts (fixed values).
 TOLERANCE_DAYS = 2.0
@@ -154,14 +156,18 @@ def diagnose_canopy(
     df: DataFrame, edges: Sequence[float], date: str = "date", blocks: Sequence[str] | None = None
 ) -> dict[str, DataFrame]:
     """Blocks: overall, years, by_stage, seasons, shape, season_overview, residuals, by_month, places, worst_locations."""
-    seasons = season_shape(df, ["location", "year"], date, "dvs", "LAI", "LAI_sim")
+    @cache
+    def seasons() -> DataFrame:
+        # One row per season, read by three blocks.
+        return stage(season_shape(df, ["location", "year"], date, "dvs", "LAI", "LAI_sim"), "seasons")
+
     return _build({
         "overall": lambda: agreement(df, "LAI", "LAI_sim"),
         "years": lambda: df.select("year").distinct(),
         "by_stage": lambda: A.stage_bin_table(df, "dvs", edges, "LAI", "LAI_sim"),
-        "seasons": lambda: seasons,
-        "shape": lambda: A.difference_summary(seasons, SHAPE_FEATURES),
-        "season_overview": lambda: season_overview(seasons),
+        "seasons": seasons,
+        "shape": lambda: A.difference_summary(seasons(), SHAPE_FEATURES),
+        "season_overview": lambda: season_overview(seasons()),
         "residuals": lambda: A.residual_overview(df, "LAI", "LAI_sim", "dvs"),
         "by_month": lambda: A.residual_by_month(df, date, "LAI", "LAI_sim"),
         "places": lambda: A.place_bias_spread(df, "location", "LAI", "LAI_sim"),

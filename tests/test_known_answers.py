@@ -207,7 +207,6 @@ def test_closure_reports_only_new_breakage(spark, monkeypatch):
     moved = closure_rows(spark, [(1, "a", 0.0, 0.4), (1, "a", 2.0, 0.8), (1, "b", 0.0, 0.6), (1, "b", 1.0, 0.5), (1, "b", 2.0, 0.4)])
     broken = closure_rows(spark, [(1, "a", 0.0, 0.4), (1, "a", 2.0, 0.9), (1, "b", 0.0, 0.6), (1, "b", 1.0, 0.5), (1, "b", 2.0, 0.4)])
     for limit in (1, 64):
-        monkeypatch.setattr(quality, "CELL_KNOTS", limit)
         monkeypatch.setattr(series, "CELL_KNOTS", limit)
         args = (["g"], "m", "x", "v")
         assert quality.check_closure(before, before, *args).count() == 0
