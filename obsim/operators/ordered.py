@@ -25,10 +25,13 @@ def _cols(order: Sequence[Column | str]) -> list[Column]:
 
 
 def sorted_stage(df: DataFrame, order: Sequence[Column | str], parts: int | None = None) -> DataFrame:
-    """Range-sort a table, stage it, and add ``_part`` and ``_pos`` (0-based)."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range-sort a table, stage it, and add ``_part`` and ``_pos`` (0-based).
+
+    Without ``parts`` the session's shuffle partitions apply, and AQE joins
+    neighbouring ranges that turn out small.
+    """
     cols = _cols(order)
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ranged = (df.repartitionByRange(parts, *cols) if parts else df.repartitionByRange(*cols)).sortWithinPartitions(*cols)
     # The generated id holds the partition number above bit 33 and the row
     # position below it.
     marked = ranged.withColumn("_id", F.monotonically_increasing_id()).select(

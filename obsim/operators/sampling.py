@@ -87,5 +87,5 @@ def even_ranges(start: int, end: int, n: int) -> list[tuple[int, int]]:
 
 def contiguous_layout(df: DataFrame, key: str, order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Range-partition on a key and sort inside, so each key's rows are contiguous."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    ranged = df.repartitionByRange(parts, key, *order) if parts else df.repartitionByRange(key, *order)
+    return ranged.sortWithinPartitions(key, *order)

@@ -52,8 +52,7 @@ def consolidate(df: DataFrame, out: str, keys: Sequence[str], sort: Sequence[str
     Returns rows and locations per experiment.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(n, *keys, *sort).sortWithinPartitions(*keys, *sort)
+    laid = df.repartitionByRange(*keys, *sort).sortWithinPartitions(*keys, *sort)
     laid.write.mode(mode).partitionBy(*keys).parquet(out)
     written = spark.read.schema(df.schema).parquet(out)
     return written.groupBy(*keys).agg(
