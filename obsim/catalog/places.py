@@ -11,10 +11,14 @@ from ..operators import scenario as SC
 from ..operators import spatial as SP
 from ..operators.aggregates import coverage
 from ..operators.ordered import number_rows
+from ..operators.sampling import stratified_two_phase
 from . import roles
 from .registry import query, rnd, rounded
 from .roles import POINTS_SQL
-from .tables import PHASES_SQL, seasons
+from .tables import CROP_CODES, CROP_NAMES, PHASES_SQL, seasons
+
+# Code of missing data in the crop raster (fixed value).
+NODATA = 65535
 
 STATIONS_SQL = """stations AS (
   SELECT s_suppkey AS station, 6e0 + (s_suppkey % 31) * 29e-2 AS sx, 47e0 + abs(s_acctbal) / 13e2 AS sy FROM supplier)"""
@@ -162,7 +166,70 @@ def _(t):
     return rounded(p.select("location", G.sinusoidal_x("lon", "lat").alias("x"), G.sinusoidal_y("lat").alias("y")), 3)
 
 
-@query("metric_grid_coordinates", "FN-G2", None, "closed series; tests check known points")
+_E2 = "(2e0 / 298.257222101e0 - pow(1e0 / 298.257222101e0, 2))"
+_EP2 = f"({_E2} / (1 - {_E2}))"
+
+
+def utm_sql(src: str, keep: str, lon: str, lat: str) -> str:
+    """Subquery: the columns ``keep`` with x, y on the zone-32 grid."""
+    return f"""(SELECT {keep},
+      5e5 + 9996e-4 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_EP2}) * pow(a, 5) / 120) AS x,
+      9996e-4 * (m + n * sqrt(t) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24
+        + (61 - 58 * t + t * t + 600 * c - 330 * {_EP2}) * pow(a, 6) / 720)) AS y
+    FROM (SELECT *, 6378137e0 / sqrt(1 - {_E2} * pow(sin(radians({lat})), 2)) AS n, pow(tan(radians({lat})), 2) AS t,
+      {_EP2} * pow(cos(radians({lat})), 2) AS c, radians({lon} - 9) * cos(radians({lat})) AS a,
+      6378137e0 * ((1 - {_E2} / 4 - 3 * pow({_E2}, 2) / 64 - 5 * pow({_E2}, 3) / 256) * radians({lat})
+        - (3 * {_E2} / 8 + 3 * pow({_E2}, 2) / 32 + 45 * pow({_E2}, 3) / 1024) * sin(2 * radians({lat}))
+        + (15 * pow({_E2}, 2) / 256 + 45 * pow({_E2}, 3) / 1024) * sin(4 * radians({lat})) - 35 * pow({_E2}, 3) / 3072 * sin(6 * radians({lat}))) AS m
+      FROM {src}))"""
+
+
+def metric(df, lon: str, lat: str, x: str = "x", y: str = "y"):
+    u = G.utm_xy(lon, lat)
+    return df.withColumn("_u", u).select(*df.columns, F.col("_u.x").alias(x), F.col("_u.y").alias(y))
+
+
+@query("nearest_station_on_metric_grid", "PIP-2 JN-10 FN-G2", f"""
+WITH {POINTS_SQL}, {_YEAR_STATIONS_SQL}, p AS (SELECT * FROM {utm_sql('points', 'location', 'lon', 'lat')}),
+s AS (SELECT * FROM {utm_sql('ys', 'year, station', 'sx', 'sy')}),
+d AS (SELECT location, year, station, (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) AS d FROM p, s)
+SELECT location, year, arg_min(station, (d, station)) AS nearest_id, {rnd('sqrt(min(d))', 2)} AS distance FROM d GROUP BY 1, 2""")
+def _(t):
+    p = metric(roles.points(t).select("location", "lon", "lat"), "lon", "lat")
+    s = metric(year_stations(t), "sx", "sy", "mx", "my")
+    return rounded(SP.nearest(p, s, "x", "y", "mx", "my", "station", by=["year"]).select("location", "year", "nearest_id", "distance"), 2)
+
+
+_SAMPLE_SQL = f"""r AS (SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 1110 WHEN p_size % 6 = 1 THEN 1130 WHEN p_size % 6 = 2 THEN 1310 WHEN p_size % 6 = 3 THEN 2200 WHEN p_size % 6 = 4 THEN 1430 ELSE 65535 END AS crop_id,
+  p_partkey // 500 AS block, 6e0 + 9e-2 * (p_partkey % 97) AS x, 47e0 + 95e-3 * ((p_partkey // 97) % 83) AS y FROM part),
+a AS (SELECT *, row_number() OVER (PARTITION BY block, crop_id ORDER BY p_partkey) AS k FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY p_partkey) AS k2 FROM a WHERE k <= 30)"""
+
+
+@query("class_sample_with_states", "PIP-7 SMP-1 JN-8 PRJ-4", f"""
+WITH {_SAMPLE_SQL}, {_DIAMOND_SQL},
+j AS (SELECT p_partkey, crop_id, n_name AS "STATE_NAME" FROM b JOIN poly ON abs(x - cx) + abs(y - cy) <= 10123e-4 WHERE k2 <= 120 AND crop_id <> 65535)
+SELECT row_number() OVER (ORDER BY crop_id, p_partkey, "STATE_NAME") - 1 AS point_id, p_partkey, crop_id,
+       CASE crop_id WHEN 1110 THEN 'Wheat' WHEN 1130 THEN 'Maize' WHEN 1310 THEN 'Potatoes' ELSE 'Rapeseed' END AS crop_type, "STATE_NAME"
+FROM j WHERE crop_id <> 2200""")
+def _(t):
+    k, z = F.col("p_partkey"), F.col("p_size") % 6
+    code = F.when(z == 0, 1110).when(z == 1, 1130).when(z == 2, 1310).when(z == 3, 2200).when(z == 4, 1430).otherwise(65535)
+    raster = t.part.select(
+        "p_partkey", code.alias("crop_id"), F.floor(k / 500).alias("block"), (F.lit(6.0) + F.lit(0.09) * (k % 97)).alias("x"),
+        (F.lit(47.0) + F.lit(0.095) * (F.floor(k / 97) % 83)).alias("y"),
+    )
+    drawn = stratified_two_phase(raster, "block", "crop_id", ["p_partkey"], 30, 120, order=[k])
+    named = drawn.filter(F.col("crop_id") != NODATA).withColumn(
+        "crop_type", R.recode(F.col("crop_id").cast("string"), {str(c): n for c, n in CROP_CODES.items()})
+    )
+    placed = SP.points_in_polygons(named, diamonds(t, 1.0123, "STATE_NAME"), "x", "y", how="inner")
+    wanted = placed.filter(F.col("crop_type").isin(*CROP_NAMES)).select("p_partkey", "crop_id", "crop_type", "STATE_NAME")
+    return number_rows(wanted, ["crop_id", "p_partkey", "STATE_NAME"], "point_id", start=0)
+
+
+@query("metric_grid_coordinates", "FN-G2", f"""
+WITH {POINTS_SQL} SELECT location, {rnd('x', 3)} AS x, {rnd('y', 3)} AS y FROM {utm_sql('points', 'location', 'lon', 'lat')}""")
 def _(t):
     p = roles.points(t)
     return rounded(p.select("location", G.utm_xy("lon", "lat").alias("u")).select("location", "u.x", "u.y"), 3)

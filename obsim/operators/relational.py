@@ -136,10 +136,15 @@ def drop_flagged(df: DataFrame, flag: str, key: Sequence[str], whole_key: bool =
 
 
 def drop_unusable(df: DataFrame, cols: Sequence[str], positive: Sequence[str] = ()) -> DataFrame:
-    """Drop rows with a null or NaN in any column, or a non-positive value in some."""
+    """Drop rows with a missing value in any column, or a non-positive value in some.
+
+    NaN and infinities are missing too; other types need only a null test, which
+    reaches the scan.
+    """
     out = df
+    kinds = dict(df.dtypes)
     for c in cols:
-        out = out.filter(finite(c))
+        out = out.filter(finite(c) if kinds[c] in ("double", "float") else F.col(c).isNotNull())
     for c in positive:
         out = out.filter(F.col(c) > 0)
     return out
