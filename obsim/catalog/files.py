@@ -59,13 +59,20 @@ def _(t):
     return _tally(SN.scan_results(t.spark, _result_files(t, "pairs", "gzip"), YEARLY))
 
 
-@query("scan_even_sample_of_files", "SRC-2", None, "which files exist depends on the writer's tasks")
+@query("scan_even_sample_of_files", "SRC-2", f"""
+WITH {_YEARLY_SQL}, s AS (SELECT slot, row_number() OVER (ORDER BY CAST(slot AS VARCHAR)) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT Location % 16 AS slot FROM yearly)),
+i AS (SELECT CAST(floor(i * ((SELECT max(n) - 1 FROM s) / 4e0)) AS BIGINT) AS pos FROM range(5) t(i))
+SELECT count(DISTINCT Location % 16) AS n_files, count(*) AS n_rows, count(DISTINCT Location) AS n_locations FROM yearly
+WHERE Location % 16 IN (SELECT slot FROM s WHERE r IN (SELECT pos FROM i))""")
 def _(t):
     path = scratch_path(t.spark, "byplace")
-    yearly(t).select((F.col("Location") % 16).alias("slot"), "*").repartition(16, "slot").write.partitionBy("slot").option(
+    # One file per slot; the sample takes five files at even positions of the sorted names.
+    yearly(t).withColumn("slot", F.col("Location") % 16).repartition("slot").write.partitionBy("slot").option(
         "sep", ";").option("header", True).csv(path)
     df = SN.scan_results(t.spark, path, YEARLY, sample=5, with_file=True)
-    return df.agg(F.count_distinct("file").alias("n_files"), F.count(F.lit(1)).alias("n_rows"))
+    return df.agg(
+        F.count_distinct("file").alias("n_files"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("Location").alias("n_locations")
+    )
 
 
 @query("scan_commented_series", "SRC-5", """
@@ -167,18 +174,25 @@ def _(t):
     return SN.scan_check_log(t.spark, path).groupBy("method", "variable", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("file_catalog_of_runs", "SRC-11", None, "file sizes and times are the file system's")
+_RUNS = (("O", "1-URGENT__S0"), ("F", "2-HIGH__S1"), ("P", "5-LOW__S2"))
+
+
+@query("file_catalog_of_runs", "SRC-11 FN-S3", f"""
+WITH {_YEARLY_SQL}
+SELECT crop, exp_id, regexp_replace(exp_id, '__.*$', '') AS climate, regexp_replace(exp_id, '^.*__', '') AS soil, true AS has_files, count(*) AS n_rows
+FROM yearly WHERE (crop, exp_id) IN (('O', '1-URGENT__S0'), ('F', '2-HIGH__S1')) GROUP BY 1, 2""")
 def _(t):
     path = scratch_path(t.spark, "tree")
-    y = yearly(t).withColumn("_x", F.concat("crop", F.lit("-"), "exp_id"))
-    for crop, exp in (("O", "1-URGENT__S0"), ("F", "2-HIGH__S1")):
-        y.filter((F.col("crop") == crop) & (F.col("exp_id") == exp)).drop("_x").write.option("sep", ";").option("header", True).csv(
-            f"{path}/{crop}/runs/{exp}/out/{exp}/yearly"
-        )
-    found = C.runs(C.file_catalog(t.spark, path, "*.csv"), soils=["S0", "S1"])
-    return found.groupBy("crop", "exp_id", "climate", "soil").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes")
-    )
+    for crop, exp in _RUNS:
+        run = f"{path}/{crop}/runs/{exp}/out"
+        rows = yearly(t).filter((F.col("crop") == crop) & (F.col("exp_id") == exp))
+        K.write_delimited(rows, f"{run}/{exp}/yearly")
+        K.write_delimited(rows, f"{run}/SMOKE_{exp}/yearly")  # a trial run's namespace, to be ignored
+    files = C.file_catalog(t.spark, path, "*.csv")
+    found = C.runs(files, soils=["S0", "S1"]).groupBy("crop", "exp_id", "climate", "soil").agg(
+        (F.count(F.lit(1)) > 0).alias("has_files"))
+    n = yearly(t).groupBy("crop", "exp_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.join(n, ["crop", "exp_id"])
 
 
 @query("consolidated_experiments", "SNK-3 PIP-19 AGG-35", f"""

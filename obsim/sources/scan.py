@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import base_name, message_kind
+from ..functions.text import message_kind
 from ..operators.relational import assert_not_empty
 from ..operators.sampling import evenly_spaced_keys
 from .catalog import file_catalog
@@ -30,7 +30,8 @@ def scan_results(
     """All delimited result files below a path as one table; an empty set is an error.
 
     ``columns`` prunes the scan, ``sample`` reads only that many evenly spaced
-    files of the sorted list. The schema is given, never inferred.
+    files of the sorted list, ``with_file`` adds each row's path. The schema is
+    given, never inferred.
     """
     reader = spark.read.schema(schema).option("sep", sep).option("header", True).option(
         "dateFormat", date_format
@@ -45,7 +46,7 @@ def scan_results(
         paths = names
     df = reader.csv(paths)
     if with_file:
-        df = df.withColumn("file", base_name(F.col("_metadata.file_path")))
+        df = df.withColumn("file", F.col("_metadata.file_path"))
     if must_exist and sample is None:
         assert_not_empty(file_catalog(spark, paths, "*.csv*"), "result files")
     return df.select(*columns, *(["file"] if with_file else [])) if columns else df
