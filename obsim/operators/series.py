@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import decimal_year
+from ..session import stage
 from .ordered import running
 from .relational import missing_keys
 
@@ -61,7 +62,8 @@ def interpolate(
     knots cluster so that a cell would hold many, a sorted merge with carried
     knots is used instead; both are exact.
     """
-    k = knots.select(F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky"))
+    # Staged, so that whatever produces the knots runs once.
+    k = stage(knots.select(F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky")), "knots")
     span = k.agg(F.min("_kx").alias("lo"), F.max("_kx").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if span.n == 0:
         return df.withColumn(name, F.lit(None).cast("double"))
@@ -136,7 +138,9 @@ def interpolate_within(
     otherwise the sorted merge is used. Keys without knots give null.
     """
     on = list(on)
-    k = knots.select(*on, F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky"))
+    k = stage(
+        knots.select(*on, F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky")), "knots"
+    )
     most = k.groupBy(*on).count().agg(F.max("count").alias("m")).first().m or 0
     if most > CELL_KNOTS:
         return _interpolate_sorted(df, x, k, name, on)
@@ -177,6 +181,8 @@ def splice(
     to two decimals; observed months are kept verbatim. ``obs`` has year, month,
     average; ``trend`` has year and level, placed at mid-year.
     """
+    # Monthly and annual rows are few; several steps below read them.
+    obs, trend = stage(obs, "months"), stage(trend, "years")
     cycle = seasonal_cycle(obs, *base)
     knots = trend.select((F.col("year") + 0.5).alias("x"), F.col("level").alias("y"))
     offset = splice_offset(obs, knots, overlap, cycle)

@@ -32,6 +32,12 @@ def test_number_rows_with_one_value_everywhere(spark):
     assert got.filter("no = id").count() == 1000
 
 
+def test_a_hot_key_spreads_over_partitions(spark):
+    staged = ordered.sorted_stage(spark.createDataFrame(skewed(20000)), ["k", "t", "id"], parts=8)
+    sizes = [r["count"] for r in staged.filter("k = 0").groupBy("_part").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 20000 / 4
+
+
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running_values(spark, inclusive):
     pdf = skewed()
