@@ -72,16 +72,17 @@ def stop_status(
     patience: int | None = None,
 ) -> DataFrame:
     """Whether the stopping rules are met: count, best, records since the best, reasons."""
-    done = completed(df, objective)
-    best = done.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_completed"),
-        F.min(F.struct(F.col(objective).alias("o"), F.col(order).alias("i"))).alias("_b"),
+    done = (F.col("status") == "completed") & F.col(objective).isNotNull()
+    best = df.groupBy(*by).agg(
+        F.count_if(done).alias("n_completed"),
+        F.min(F.when(done, F.struct(F.col(objective).alias("o"), F.col(order).alias("i")))).alias("_b"),
     )
-    joined = done.join(best, list(by)) if by else done.crossJoin(F.broadcast(best))
     # Counting the later records needs no ordering: it is one more aggregate.
-    out = joined.groupBy(*by, "n_completed", "_b").agg(
-        F.count_if(F.col(order) > F.col("_b.i")).alias("since_improvement")
-    )
+    later = F.count_if(done & (F.col(order) > F.col("_b.i"))).alias("since_improvement")
+    if by:
+        out = best.join(df.join(best, list(by)).groupBy(*by).agg(later), list(by))
+    else:
+        out = best.crossJoin(df.crossJoin(F.broadcast(best)).agg(later))  # one row each
 
     def rule(active: bool, test, text):
         return F.when(test, text) if active else F.lit(None).cast("string")
@@ -95,7 +96,8 @@ def stop_status(
     return out.select(
         *by, "n_completed", F.col("_b.o").alias("best_objective"), F.col("_b.i").alias("best_iteration"),
         "since_improvement", (reasons != "").alias("stop"),
-        F.when(reasons != "", reasons).otherwise("criteria not met").alias("reason"),
+        F.when(F.col("n_completed") == 0, "no completed iterations yet")
+        .when(reasons != "", reasons).otherwise("criteria not met").alias("reason"),
     )
 
 

@@ -172,6 +172,9 @@ def test_failed_records_never_count(spark):
     assert ledger.best_record(df).first().iteration == 0
     assert ledger.stop_status(df).first().n_completed == 1
     assert ledger.next_id(df.limit(0)).first().next_id == 0
+    for none in (df.limit(0), df.filter("status = 'failed'")):
+        s = ledger.stop_status(none, patience=1, target=1.0, max_iterations=1).first()
+        assert (s.n_completed, s.stop, s.since_improvement, s.reason) == (0, False, 0, "no completed iterations yet")
 
 
 # ----------------------------------------------------------------------- rules
