@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sql
+from . import quality, secret_scan, sql
 from .tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,22 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, folder).select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    return found.select(
+        "doc_id",
+        *[F.size(secret_scan.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.listed(secret_scan.of_kind(spans, *secret_scan.BASE_KINDS)), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op4_quality_rules": quality_rules,
+    "op9_secret_scans": secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": sql.QUALITY,
+    "op9_secret_scans": sql.SECRETS,
 }

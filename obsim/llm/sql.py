@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import secret_scan
 from .quality import RULES, STOP_WORDS
 
 
@@ -44,3 +45,30 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND broken_rules = '' AS kept, broken_rules
 FROM judged"""
+
+
+def _secret(rank: int, rule: secret_scan.Rule) -> str:
+    quoted = rule.java.replace("'", "''")
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, string_split_regex(body, '{quoted}') AS between,
+    regexp_extract_all(body, '{quoted}', 0) AS whole, regexp_extract_all(body, '{quoted}', {rule.group}) AS judged,
+    {rule.least} AS least
+  FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) WHERE regexp_matches(body, '{quoted}')"""
+
+
+SECRETS = f"""
+WITH raw AS ({" UNION ALL ".join(_secret(n, r) for n, r in enumerate(secret_scan.RULES))}),
+pos AS (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM raw),
+spans AS (
+  SELECT doc_id, rank, kind,
+    list_sum(list_transform(between[1:k], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS start, length(whole[k]) AS n
+  FROM pos WHERE length(judged[k]) >= least),
+per AS (
+  SELECT doc_id, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, rank) AS spans,
+    string_agg(CASE WHEN rank < 3 THEN kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT) END, ',' ORDER BY start, rank) AS base,
+    count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN per USING (doc_id)"""
