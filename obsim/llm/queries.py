@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, sql
+from . import quality, secret_scan, sharding, sql
 from .tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def sharded(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    # Only the digest travels with the records; the operator itself carries any columns.
+    docs = docs.select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    return sharding.shard(docs).select(
+        "doc_id", F.col("shard_bytes").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(documents(spark, folder))
     return judged.select(
@@ -33,6 +43,7 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sharding": sharded,
     "op4_quality_rules": quality_rules,
     "op9_secret_scans": secret_scans,
 }
