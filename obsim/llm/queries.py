@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, sharding, sql
+from . import jaccard, quality, secret_scan, sharding, sql
 from .tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, folder))
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(documents(spark, folder))
     return judged.select(
@@ -44,6 +48,7 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": sharded,
+    "op3_ngram_jaccard_join": jaccard_join,
     "op4_quality_rules": quality_rules,
     "op9_secret_scans": secret_scans,
 }
