@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, quality, secret_scan, sharding, sql
-from .tables import documents
+from . import decontam, jaccard, quality, secret_scan, sharding, sql
+from .tables import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(documents(spark, folder), table(spark, folder, "benchmark")).drop("text_key")
+
+
 def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, folder).select("doc_id", "text"))
     spans = F.col("secret_spans")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": sharded,
     "op3_ngram_jaccard_join": jaccard_join,
     "op4_quality_rules": quality_rules,
+    "op6_benchmark_decontamination": decontamination,
     "op9_secret_scans": secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
