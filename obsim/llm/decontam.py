@@ -59,7 +59,7 @@ class Tokens(dict):
         low = bare.lower()
         kind = NUMBER if low in NUMBER_WORDS or _NUMBER.fullmatch(low) else UNIT if low in UNITS else PLAIN
         packed = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & ~15
-        packed |= (kind << _KIND) | (_END if word[-1] in ".!?:" else 0) | (_CAPITAL if bare[:1].isupper() else 0)
+        packed |= (kind << _KIND) | (_END if word[-1] in ".!?:" else 0) | (_CAPITAL if bare[:1].isupper() and bare[1:].islower() else 0)
         self[word] = packed
         return packed
 
@@ -70,7 +70,7 @@ class Tokens(dict):
         kinds = ((x >> np.uint64(_KIND)) & np.uint64(3)).astype(np.int8)
         starts = np.ones(len(x), bool)
         starts[1:] = (x[:-1] & np.uint64(_END)) != 0
-        # A capital that does not begin a sentence marks a name.
+        # A capital that does not begin a sentence marks a name; words all in capitals do not tell.
         kinds[((x & np.uint64(_CAPITAL)) != 0) & ~starts & (kinds == PLAIN)] = NAME
         values = x & ~np.uint64(15)
         return np.where(kinds == PLAIN, values, kinds.astype(np.uint64) + np.uint64(1)), kinds, values
