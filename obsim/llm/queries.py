@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, quality, secret_scan, sharding, sql
+from . import decontam, jaccard, mixing, quality, secret_scan, sharding, sql
 from .tables import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(documents(spark, folder), table(spark, folder, "benchmark")).drop("text_key")
 
 
+def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder)).select("doc_id", "source", "mix_block", "mix_slot", "in_mix")
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, folder).select("doc_id", "text"))
     spans = F.col("secret_spans")
@@ -55,7 +65,9 @@ QUERIES: dict[str, Query] = {
     "op3_ngram_jaccard_join": jaccard_join,
     "op4_quality_rules": quality_rules,
     "op6_benchmark_decontamination": decontamination,
+    "op8_source_mixing": source_mixing,
     "op9_secret_scans": secret_scans,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": sql.QUALITY,
