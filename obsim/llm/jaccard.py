@@ -2,8 +2,9 @@
 
 Texts with equal n-gram sets form one set class and travel as one. Classes that share a band hash meet in a bucket; each
 is verified against the bucket's first class, which costs as many pairs as members, and links are contracted to groups.
-Where a bucket still holds several groups, every pair of classes across them is verified too. So whatever pair of a
-bucket is left out lies inside one group already, and no group is split: groups are exactly those of all candidate pairs.
+Where a bucket still holds several groups, all pairs of classes across them are verified too, in blocks where there are
+many. So whatever pair of a bucket is left out lies inside one group already, and no group is split: groups are exactly
+those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -27,6 +28,9 @@ SIMILARITY = 0.8
 # Chance that a pair just at the threshold shares a band.
 RECALL = 0.999
 MOST_HASHES = 160
+# Buckets of up to so many classes list their pairs across groups; larger ones are compared in blocks of BLOCK classes.
+LISTED = 32
+BLOCK = 512
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -100,6 +104,37 @@ def verifier(words: int, similarity: float):
     return run
 
 
+def cell_verifier(words: int, similarity: float):
+    """One cell: every asker against every member of another group, through an index of the members' n-grams."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        codes = WordCodes()
+        ask = cell.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        keys, roots = cell.column("set_key").to_numpy(), cell.column("root").to_numpy()
+        sets = [shingle_set(codes.of(t.as_py().split()), words) for t in cell.column("text")]
+        members = np.flatnonzero(~ask)
+        found = ([], [], [])
+        if len(members):
+            sizes = np.array([len(sets[m]) for m in members])
+            grams = np.concatenate([sets[m] for m in members])
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], np.repeat(np.arange(len(members)), sizes)[order]
+            for x in np.flatnonzero(ask):
+                low, high = np.searchsorted(grams, sets[x], "left"), np.searchsorted(grams, sets[x], "right")
+                length = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                common = np.bincount(owner[at], minlength=len(members))
+                value = common / (len(sets[x]) + sizes - common)
+                for m in np.flatnonzero((value >= similarity) & (roots[members] != roots[x])):
+                    y = keys[members[m]]
+                    found[0].append(min(keys[x], y))
+                    found[1].append(max(keys[x], y))
+                    found[2].append(value[m])
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "jaccard": pa.array(found[2], pa.float64())})
+
+    return run
+
+
 class JaccardJoin:
     """The join of a table of texts with itself. Every table below is staged in the shared folder.
 
@@ -130,8 +165,7 @@ class JaccardJoin:
         self.texts = self._texts(present, buckets)
         first = self._verified(buckets.filter("set_key <> lead").select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct())
         groups = stage(components(first.select("a", "b")), "groups")
-        crossing = self._crossing(buckets, groups)
-        second = self._verified(crossing)
+        second = self._across(buckets, groups)
         self.links = first.unionByName(second)
         self.groups = groups
         if not second.isEmpty():
@@ -164,22 +198,43 @@ class JaccardJoin:
         )
         return stage(both.mapInArrow(verifier(self.words, self.similarity), "a bigint, b bigint, jaccard double").distinct(), "links")
 
-    @staticmethod
-    def _crossing(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of classes that share a bucket, lie in different groups, and were not compared with its first class."""
+    def _across(self, buckets: DataFrame, groups: DataFrame) -> DataFrame:
+        """Verified pairs of classes that share a bucket but lie in different groups.
+
+        The largest group of a bucket need not be compared with itself, so only the other members ask. Small buckets
+        list their pairs. In larger ones askers and members are cut into blocks, and each cell of two blocks is compared
+        in one task, which returns verified pairs alone.
+        """
         named = buckets.join(groups.withColumnsRenamed({"node": "set_key"}), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-        home = named.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-        split = home.filter("r0 <> r1").select("band", "key")
-        mixed_ones = stage(named.join(split, ["band", "key"]).filter("set_key <> lead"), "mixed-buckets")
-        # The largest group of a bucket need not be compared with itself, so only the other members ask.
-        sizes = mixed_ones.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("top")).select("band", "key", F.col("top.root").alias("top"))
-        asking = mixed_ones.join(largest, ["band", "key"]).filter("root <> top").select(
-            "band", "key", F.col("set_key").alias("x"), F.col("root").alias("rx"), "top"
-        )
-        members = mixed_ones.select("band", "key", F.col("set_key").alias("y"), F.col("root").alias("ry"))
+        sizes = named.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("band", "key").agg(
+            F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("n_groups")
+        ).filter("n_groups > 1").select("band", "key", "members", (F.col("members") - F.col("top.n")).alias("askers"), F.col("top.root").alias("top"))
+        # The first class of a bucket was compared with everyone already.
+        mixed_ones = stage(named.join(largest, ["band", "key"]).filter("set_key <> lead"), "mixed-buckets")
+        asks = F.col("root") != F.col("top")
+
+        small = mixed_ones.filter(F.col("members") <= LISTED)
+        asking = small.filter(asks).select("band", "key", F.col("set_key").alias("x"), F.col("root").alias("rx"))
+        members = small.select("band", "key", F.col("set_key").alias("y"), F.col("root").alias("ry"), "top")
         pairs = asking.join(members, ["band", "key"]).filter("rx <> ry and (ry = top or x < y)")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        listed = self._verified(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+        def spread(count: str) -> Column:
+            return F.sequence(F.lit(0), F.ceil(F.col(count) / BLOCK).cast("int") - 1)
+
+        def own(count: str) -> Column:
+            return F.pmod(F.xxhash64("set_key"), F.ceil(F.col(count) / BLOCK)).cast("int")
+
+        large = mixed_ones.filter(F.col("members") > LISTED)
+        cells = large.filter(asks).withColumns({"ask_block": own("askers"), "member_block": F.explode(spread("members")), "asks": F.lit(True)}).unionByName(
+            large.withColumns({"member_block": own("members"), "ask_block": F.explode(spread("askers")), "asks": F.lit(False)})
+        )
+        cells = cells.select("band", "key", "ask_block", "member_block", "asks", "set_key", "root").join(self.texts, "set_key")
+        blocked = cells.groupBy("band", "key", "ask_block", "member_block").applyInArrow(
+            cell_verifier(self.words, self.similarity), "a bigint, b bigint, jaccard double"
+        )
+        return stage(listed.unionByName(blocked).distinct(), "links")
 
     def documents(self) -> DataFrame:
         """One row per input row: ``doc_id, class_id, n_links, n_copies``.
