@@ -132,7 +132,11 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that ``judge`` keeps, with the columns of ``docs`` only."""
+    """The rows that ``judge`` keeps, with the columns of ``docs`` only.
+
+    A row is unpacked from an array that is null for rejected rows. A filter would be pushed below the projection of the
+    counts, and so evaluate them once for every mention.
+    """
     tag = A.own_names(docs, "row")["row"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(tag), F.col(f"`{text}`").alias("text"))
-    return judge(packed, "text", rules).filter("kept").select(f"{tag}.*")
+    return judge(packed, "text", rules).select(F.inline(F.when(F.col("kept"), F.array(F.col(tag)))))
