@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, quality, secret_scan, sharding, sql, suffix_dedup
+from . import decontam, jaccard, licenses, mixing, quality, secret_scan, sharding, sql, suffix_dedup
 from .tables import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "source", "mix_block", "mix_slot", "in_mix")
 
 
+def license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(documents(spark, folder))
+
+
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, folder)).drop("kept")
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": sharded,
     "op3_ngram_jaccard_join": jaccard_join,
     "op4_quality_rules": quality_rules,
+    "op5_license_scans": license_scans,
     "op6_benchmark_decontamination": decontamination,
     "op8_source_mixing": source_mixing,
     "op9_secret_scans": secret_scans,
