@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, mixing, quality, secret_scan, sharding, sql, suffix_dedup
+from . import decontam, jaccard, licenses, line_dedup, mixing, quality, secret_scan, sharding, sql, suffix_dedup
 from .tables import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.licenses(documents(spark, folder))
 
 
+def line_deduplication(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.without_repeated_lines(documents(spark, folder).select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, folder)).drop("kept")
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": quality_rules,
     "op5_license_scans": license_scans,
     "op6_benchmark_decontamination": decontamination,
+    "op7_line_dedup": line_deduplication,
     "op8_source_mixing": source_mixing,
     "op9_secret_scans": secret_scans,
     "op10_suffix_array_dedup": suffix_array_dedup,
@@ -81,5 +87,6 @@ QUERIES: dict[str, Query] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": sql.QUALITY,
+    "op7_line_dedup": sql.LINES,
     "op9_secret_scans": sql.SECRETS,
 }

@@ -72,3 +72,41 @@ per AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN per USING (doc_id)"""
+
+
+LINES = """
+WITH raw AS (
+  SELECT doc_id, text, i, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+lines AS (
+  SELECT doc_id, i, words, len(words) AS n
+  FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM raw)
+  WHERE len(words) > 0),
+firsts AS (SELECT words, n, min((doc_id, i)) AS first FROM lines GROUP BY words, n),
+variants AS (
+  SELECT words, first, n, words AS variant, true AS whole FROM firsts WHERE n >= 4
+  UNION ALL
+  SELECT words, first, n, list_concat(words[1:k - 1], words[k + 1:]), false
+  FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM firsts WHERE n >= 5)),
+-- Equal variants may come from gaps in different places, so pairs are checked for their distance.
+pairs AS (
+  SELECT DISTINCT b.words AS words, a.words AS other, a.first AS earlier
+  FROM variants a JOIN variants b ON a.variant = b.variant AND a.first < b.first),
+near AS (
+  SELECT words, min(earlier) AS earlier FROM pairs
+  WHERE abs(len(words) - len(other)) = 1 OR (len(words) = len(other)
+    AND len(list_filter(range(1, len(words) + 1), lambda k: words[k] <> other[k])) <= 1)
+  GROUP BY words),
+gone AS (
+  SELECT doc_id, count(*) FILTER (first < (doc_id, i)) AS n_exact,
+    count(*) FILTER (first = (doc_id, i) AND earlier IS NOT NULL) AS n_near,
+    list(i) FILTER (first < (doc_id, i) OR earlier IS NOT NULL) AS numbers
+  FROM lines JOIN firsts USING (words, n) LEFT JOIN near USING (words) GROUP BY doc_id),
+kept AS (
+  SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY i) AS kept_text
+  FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id
+  WHERE numbers IS NULL OR NOT list_contains(numbers, i) GROUP BY raw.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept_text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) n ON d.doc_id = n.doc_id
+LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
