@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, line_dedup, mixing, quality, secret_scan, sharding, sql, suffix_dedup
+from . import decontam, jaccard, licenses, line_dedup, mixing, passages, quality, secret_scan, sharding, sql, suffix_dedup
 from .tables import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.fuzzy_passages(documents(spark, folder))
+
+
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, folder))
 
@@ -75,6 +79,7 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": sharded,
+    "op2_substring_dedup": substring_dedup,
     "op3_ngram_jaccard_join": jaccard_join,
     "op4_quality_rules": quality_rules,
     "op5_license_scans": license_scans,

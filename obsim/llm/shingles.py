@@ -51,3 +51,24 @@ def shingle_set(codes: np.ndarray, k: int) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as a signed number, as Spark holds them."""
     return x.view(np.int64)
+
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Places of the smallest of every ``width`` consecutive values (of all, if there are fewer), each place once.
+
+    Only the high bits of the values are compared; the first of equal ones counts. Running minima of blocks in both
+    directions give all windows in one pass.
+    """
+    n = len(values)
+    if not n:
+        return np.empty(0, np.int64)
+    width = min(width, n)
+    bits = np.uint64(max(1, int(n - 1).bit_length()))
+    placed = (values >> bits << bits) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = placed
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(back[:n - width + 1], ahead[width - 1:n])
+    return np.unique((least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
