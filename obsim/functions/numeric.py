@@ -37,9 +37,10 @@ def half_even(c: Column | str, digits: int = 0) -> Column:
 
 
 def clip(c: Column | str, low: Column | float, high: Column | float) -> Column:
+    """The value limited to [low, high]; null stays null."""
     lo = low if isinstance(low, Column) else F.lit(float(low))
     hi = high if isinstance(high, Column) else F.lit(float(high))
-    return F.greatest(lo, F.least(hi, as_col(c)))
+    return F.when(as_col(c).isNotNull(), F.greatest(lo, F.least(hi, as_col(c))))
 
 
 # A value whose magnitude is at most this counts as a structural zero.
@@ -57,7 +58,7 @@ def value_bounds(
     """``struct(low, high)`` around a current value.
 
     Relative bounds scale the value; a structural zero is pinned to [0, 0].
-    The current value always stays attainable.
+    The current value always stays attainable. A null value has no bounds.
     """
     x = as_col(current).cast("double")
     if mode == "absolute":
@@ -69,9 +70,9 @@ def value_bounds(
         lo, hi = F.greatest(lo, F.lit(float(clip_to[0]))), F.least(hi, F.lit(float(clip_to[1])))
     bounds = F.struct(F.least(lo, x).alias("low"), F.greatest(hi, x).alias("high"))
     if mode == "absolute":
-        return bounds
+        return F.when(x.isNotNull(), bounds)
     pinned = F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-    return F.when(F.abs(x) <= STRUCTURAL_ZERO, pinned).otherwise(bounds)
+    return F.when(F.abs(x) <= STRUCTURAL_ZERO, pinned).when(x.isNotNull(), bounds)
 
 
 def edge_bin(c: Column | str, edges: Sequence[float]) -> Column:
@@ -92,18 +93,21 @@ def equal_bin(c: Column | str, low: Column, high: Column, n: int) -> Column:
     """1-based bin of n equal-width right-closed bins over [low, high].
 
     The lowest edge is moved down by 0.1 % of the range, so ``low`` itself falls
-    into bin 1. A zero-width range puts everything into bin 1.
+    into bin 1. A zero-width range puts everything into bin 1; null has no bin.
     """
     x = as_col(c)
     b = F.ceil(F.try_divide((x - low) * n, high - low)).cast("int")
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(n), b)), F.when(x.isNotNull(), F.lit(1)))
+    return F.when(x.isNotNull() & (low == high), F.lit(1)).when(b.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(n), b)))
 
 
 def histogram_bin(c: Column | str, low: Column, high: Column, n: int) -> Column:
-    """0-based left-closed equal bin; the last bin is closed on both sides."""
+    """0-based left-closed equal bin; the last bin is closed on both sides.
+
+    A zero-width range puts everything into bin 0; null has no bin.
+    """
     x = as_col(c)
     b = F.floor(F.try_divide((x - low) * n, high - low)).cast("int")
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(n - 1), b)), F.when(x.isNotNull(), F.lit(0)))
+    return F.when(x.isNotNull() & (low == high), F.lit(0)).when(b.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), b)))
 
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:

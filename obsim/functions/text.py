@@ -137,47 +137,22 @@ def climate_order(c: Column | str) -> Column:
     )
 
 
-def _balanced_object(text: Column) -> Column:
-    """From the first ``{`` to the brace that closes it, quotes and escapes respected."""
-    tail = F.substring(text, F.instr(text, "{"), F.length(text))
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("end"),
-        F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
-    )
-
-    def step(s: Column, ch: Column) -> Column:
-        depth = (
-            F.when(s["quoted"], s["depth"])
-            .when(ch == "{", s["depth"] + 1)
-            .when(ch == "}", s["depth"] - 1)
-            .otherwise(s["depth"])
-        )
-        pos = s["pos"] + 1
-        closes = ~s["quoted"] & (ch == "}") & (depth == 0) & (s["end"] == 0)
-        return F.struct(
-            depth.alias("depth"), pos.alias("pos"), F.when(closes, pos).otherwise(s["end"]).alias("end"),
-            F.when((ch == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
-            (s["quoted"] & (ch == "\\") & ~s["escaped"]).alias("escaped"),
-        )
-
-    end = F.aggregate(F.split(tail, ""), start, step, lambda s: s["end"])
-    return F.when((F.instr(text, "{") > 0) & (end > 0), F.substring(tail, F.lit(1), end))
-
-
 def json_in_text(c: Column | str) -> Column:
-    """The JSON object inside a reply: whole text, a fenced block, or the first balanced braces.
+    """The JSON object inside a reply; null where none parses.
 
-    Null where no candidate parses as an object.
+    Candidates, the first that parses as an object wins: what runs from the first opening brace to each closing brace in
+    turn, so that the shortest object is found; fenced blocks come before it unless the reply itself begins with a brace.
     """
     text = F.trim(as_col(c))
-
-    def is_object(candidate: Column) -> Column:
-        return F.trim(candidate).startswith("{") & F.try_parse_json(candidate).isNotNull()
-
     fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
-    block = F.try_element_at(F.filter(F.transform(fenced, F.trim), is_object), F.lit(1))
-    first = _balanced_object(text)
-    return F.when(is_object(text), text).otherwise(F.coalesce(block, F.when(is_object(first), first)))
+    pieces = F.split(F.substring(text, F.instr(text, "{"), F.length(text)), r"\}")
+    closings = F.when((F.instr(text, "{") > 0) & (F.size(pieces) > 1), F.sequence(F.lit(1), F.size(pieces) - 1))
+    from_brace = F.transform(closings, lambda k: F.concat(F.array_join(F.slice(pieces, 1, k), "}"), F.lit("}")))
+    fenced = F.transform(fenced, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    from_brace = F.coalesce(from_brace, F.array().cast("array<string>"))
+    candidates = F.when(text.startswith("{"), F.concat(from_brace, fenced)).otherwise(F.concat(fenced, from_brace))
+    parses = F.filter(candidates, lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
+    return F.try_element_at(parses, F.lit(1))
 
 
 def proposal_changes(reply: Column | str) -> Column:

@@ -162,10 +162,17 @@ def check_ordering(df: DataFrame, group: Sequence[str], name: str, value: str, l
 
 
 def row_digests(df: DataFrame, group: Sequence[str], key: Sequence[str], value: str) -> DataFrame:
-    """Order-independent digest per group: counts and sums of row hashes, merged map side."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.col(value))
+    """Order-independent digest per group: count and sums of row hashes, merged map side.
+
+    Sums of two differently seeded hashes: repeated rows add up instead of cancelling.
+    """
+    columns = [*[F.col(k) for k in key], F.col(value)]
+
+    def total(*seed: Column) -> Column:
+        return F.sum(F.xxhash64(*seed, *columns).cast("decimal(20,0)")).cast("string")
+
     return df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("digest"),
+        F.count(F.lit(1)).alias("n"), F.concat_ws(":", total(), total(F.lit(1))).alias("digest"),
     )
 
 

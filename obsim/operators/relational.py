@@ -254,8 +254,8 @@ def union_tagged(parts: Mapping[str, DataFrame], tag: str) -> DataFrame:
 
 
 def pivot_wide(df: DataFrame, index: Sequence[str], column: str, value: str, values: Sequence) -> DataFrame:
-    """Wide form over a given list of columns; first value per cell."""
-    return df.groupBy(*index).pivot(column, list(values)).agg(F.first(value))
+    """Wide form over a given list of columns; of several values in a cell the largest."""
+    return df.groupBy(*index).pivot(column, list(values)).agg(F.max(value))
 
 
 def to_long(df: DataFrame, keep: Sequence[str], values: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:

@@ -56,14 +56,14 @@ def deseasonalise(df: DataFrame, cycle: DataFrame, value: str = "average") -> Da
 def interpolate(
     df: DataFrame, x: str, knots: DataFrame, kx: str, ky: str, name: str = "interpolated"
 ) -> DataFrame:
-    """Linear interpolation of knots at x; ends are held flat.
+    """Linear interpolation of knots at x; ends are held flat, a null x gives null, tied knots count as their mean.
 
     Knot intervals are looked up through equal-width cells (an equi-join). When
     knots cluster so that a cell would hold many, a sorted merge with carried
     knots is used instead; both are exact.
     """
     # Staged, so that whatever produces the knots runs once.
-    k = stage(knots.select(F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky")), "knots")
+    k = stage(_single_knots(knots, [], kx, ky), "knots")
     span = k.agg(F.min("_kx").alias("lo"), F.max("_kx").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if span.n == 0:
         return df.withColumn(name, F.lit(None).cast("double"))
@@ -82,7 +82,9 @@ def interpolate(
             F.floor((F.col("x0") - span.lo) / width), F.floor((F.col("x1") - span.lo) / width)
         )),
     )
-    clamped = F.greatest(F.lit(float(span.lo)), F.least(F.lit(float(span.hi)), F.col(x).cast("double")))
+    clamped = F.when(
+        F.col(x).isNotNull(), F.greatest(F.lit(float(span.lo)), F.least(F.lit(float(span.hi)), F.col(x).cast("double")))
+    )
     left = df.withColumn("_x", clamped).withColumn("_cell", F.floor((F.col("_x") - span.lo) / width))
     inside = (
         (left["_cell"] == cells["_cell"])
@@ -92,6 +94,12 @@ def interpolate(
     return left.join(cells, inside, "left").select(*df.columns, _line().alias(name))
 
 
+def _single_knots(knots: DataFrame, on: Sequence[str], kx: str, ky: str) -> DataFrame:
+    """``(on..., _kx, _ky)`` with one knot for each place: tied knots count as their mean, incomplete ones not at all."""
+    k = knots.select(*on, F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky"))
+    return k.filter("_kx is not null and _ky is not null").groupBy(*on, "_kx").agg(F.avg("_ky").alias("_ky"))
+
+
 def _segments(k: DataFrame) -> DataFrame:
     """Consecutive knot pairs of a checked short list (at most MAX_LOOKUP_KNOTS)."""
     w = Window.partitionBy(F.lit(0)).orderBy("_kx")
@@ -121,8 +129,10 @@ def _interpolate_sorted(df: DataFrame, x: str, k: DataFrame, name: str, by: Sequ
         )
     )
     is_row = F.col("_row").isNotNull()
-    fwd = running(both, by, [F.col("_x").asc(), is_row.asc()], {"_before": ("last", "_k")})
-    back = running(fwd, by, [F.col("_x").desc(), is_row.asc()], {"_after": ("last", "_k")})
+    # A hash of the row, so that very many rows at one x spread over ranges too.
+    spread = F.xxhash64("_row").asc()
+    fwd = running(both, by, [F.col("_x").asc(), is_row.asc(), spread], {"_before": ("last", "_k")})
+    back = running(fwd, by, [F.col("_x").desc(), is_row.asc(), spread], {"_after": ("last", "_k")})
     b, a = F.col("_before"), F.col("_after")
     line = b["y"] + F.try_divide(a["y"] - b["y"], a["x"] - b["x"]) * (F.col("_x") - b["x"])
     value = F.when(b.isNull(), a["y"]).when(a.isNull() | (a["x"] == b["x"]), b["y"]).otherwise(line)
@@ -138,9 +148,7 @@ def interpolate_within(
     otherwise the sorted merge is used. Keys without knots give null.
     """
     on = list(on)
-    k = stage(
-        knots.select(*on, F.col(kx).cast("double").alias("_kx"), F.col(ky).cast("double").alias("_ky")), "knots"
-    )
+    k = stage(_single_knots(knots, on, kx, ky), "knots")
     most = k.groupBy(*on).count().agg(F.max("count").alias("m")).first().m or 0
     if most > CELL_KNOTS:
         return _interpolate_sorted(df, x, k, name, on)

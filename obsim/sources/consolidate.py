@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 from ..operators.relational import latest_per_key
 
 
-def headers(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """Header line of every file, found as the line starting with ``marker``."""
-    return (
-        spark.read.option("recursiveFileLookup", True).text(path)
-        .filter(F.col("value").startswith(marker))
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, header)``: the first line of every file that has one.
+
+    Only the block at the start of a file is looked at; its lines are numbered in the order of reading.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"), "value",
     )
+    return lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
 
 
 def assert_same_header(spark: SparkSession, path: str, marker: str, sep: str = ";") -> list[str]:
-    """The one header shared by all files; a second variant is an error naming a file."""
-    kinds = headers(spark, path, marker).groupBy("header").agg(
+    """The one header shared by all files; another first line is an error naming a file."""
+    kinds = headers(spark, path).groupBy("header").agg(
         F.count(F.lit(1)).alias("n"), F.min("file").alias("file")
     ).orderBy(F.col("n").desc(), "header").limit(2).collect()
-    if not kinds:
+    if not kinds or not kinds[0].header.startswith(marker):
         raise ValueError(f"no header line in {path}")
     if len(kinds) > 1:
         raise ValueError(f"header mismatch in {kinds[1].file}")
@@ -49,11 +52,12 @@ def consolidate(df: DataFrame, out: str, keys: Sequence[str], sort: Sequence[str
 
     Range partitioning on (experiment, location) balances experiments of any
     size over the tasks; the commit protocol makes the table appear at once.
-    Returns rows and locations per experiment.
+    With ``mode="overwrite"`` only the experiments in ``df`` are replaced.
+    Returns rows and locations per experiment of the whole table.
     """
     spark = df.sparkSession
     laid = df.repartitionByRange(*keys, *sort).sortWithinPartitions(*keys, *sort)
-    laid.write.mode(mode).partitionBy(*keys).parquet(out)
+    laid.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(out)
     written = spark.read.schema(df.schema).parquet(out)
     return written.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(sort[0]).alias("n_location_files")

@@ -16,6 +16,26 @@ from .catalog import file_catalog
 YEARLY_FILE = r"^(\d+)_yearly\.csv$"
 
 
+def _read_by_name(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, pattern: str, **options: str) -> DataFrame:
+    """Delimited files whose columns are found by the names in their header; further columns may stand anywhere.
+
+    The header of one file gives the positions; Spark compares it with the header of every file that it reads, and a
+    deviating one is an error. A file without any line is skipped.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    first = file_catalog(spark, paths, pattern).filter("length > 0").agg(F.min("path")).first()[0]
+    names = reader.schema(wanted).csv(list(paths)).columns if first is None else reader.csv(first).columns
+    missing = [f.name for f in wanted.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {first}")
+    types = {f.name: f.dataType for f in wanted.fields}
+    full = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+    return reader.schema(full).option("enforceSchema", False).csv(list(paths))
+
+
 def scan_results(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -29,13 +49,12 @@ def scan_results(
 ) -> DataFrame:
     """All delimited result files below a path as one table; an empty set is an error.
 
-    ``columns`` prunes the scan, ``sample`` reads only that many evenly spaced
-    files of the sorted list, ``with_file`` adds each row's path. The schema is
-    given, never inferred.
+    ``schema`` names the wanted columns and their types, in any order and out of
+    many; they are found by the header, and a file whose header deviates is an
+    error. ``columns`` prunes the scan, ``sample`` reads only that many evenly
+    spaced files of the sorted list, ``with_file`` adds each row's path.
     """
-    reader = spark.read.schema(schema).option("sep", sep).option("header", True).option(
-        "dateFormat", date_format
-    ).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*")
+    wanted = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
     paths = [path] if isinstance(path, str) else list(path)
     if sample is not None:
         files = file_catalog(spark, paths, "*.csv*").select("path")
@@ -44,17 +63,18 @@ def scan_results(
         if not names:
             raise ValueError(f"no result files in {paths}")
         paths = names
-    df = reader.csv(paths)
-    if with_file:
-        df = df.withColumn("file", F.col("_metadata.file_path"))
     if must_exist and sample is None:
         assert_not_empty(file_catalog(spark, paths, "*.csv*"), "result files")
-    return df.select(*columns, *(["file"] if with_file else [])) if columns else df
+    df = _read_by_name(spark, paths, schema, "*.csv*", sep=sep, dateFormat=date_format)
+    if with_file:
+        df = df.withColumn("file", F.col("_metadata.file_path"))
+    return df.select(*(columns or wanted), *(["file"] if with_file else []))
 
 
 def scan_commented(spark: SparkSession, path: str, schema: T.StructType | str, comment: str = "#") -> DataFrame:
-    """Comma-separated table whose comment lines are skipped."""
-    return spark.read.schema(schema).option("comment", comment).option("header", True).csv(path)
+    """Comma-separated table whose comment lines are skipped; columns are found by the header."""
+    names = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
+    return _read_by_name(spark, [path], schema, "*", comment=comment).select(*names)
 
 
 def scan_weather(
@@ -67,8 +87,7 @@ def scan_weather(
     out = None
     for source, folder, sep in sources:
         part = (
-            spark.read.schema(schema).option("sep", sep).option("header", True)
-            .option("recursiveFileLookup", True).csv(folder)
+            _read_by_name(spark, [folder], schema, "*.csv*", sep=sep)
             .withColumn("_f", F.col("_metadata.file_path"))
             .withColumn("source", F.lit(source))
         )

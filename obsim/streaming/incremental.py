@@ -23,11 +23,11 @@ def consolidate_stream(
     """Take in every file that arrived since the last call, then stop.
 
     The file source remembers what it has read in the checkpoint, so a file is
-    consolidated once. Each batch replaces its own ``batch_id`` partition; a
+    consolidated once. A file whose header deviates from the schema is an error. Each batch replaces its own ``batch_id`` partition; a
     batch retried after a failure therefore cannot double its rows.
     """
     source = (
-        spark.readStream.schema(schema).option("sep", sep).option("header", True)
+        spark.readStream.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", False)
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).csv(src)
     )
 
