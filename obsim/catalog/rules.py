@@ -89,9 +89,10 @@ def _(t):
     moved = F.when(F.col("node") == 3, F.col("v") + 0.1).when(F.col("node") == 4, F.col("v") + 0.001).otherwise(F.col("v"))
 
     def table(first):
-        return base.select("set_id", F.lit("a").alias("member"), "node", first.alias("v")).unionByName(
-            base.select("set_id", F.lit("b").alias("member"), "node", (1 - F.col("v")).alias("v"))
+        members = F.array(
+            F.struct(F.lit("a").alias("member"), first.alias("v")), F.struct(F.lit("b").alias("member"), (1 - F.col("v")).alias("v"))
         )
+        return base.select("set_id", "node", F.inline(members)).select("set_id", "member", "node", "v")
 
     out = Q.check_closure(table(F.col("v")), table(moved), ["set_id"], "member", "node", "v")
     return rounded(out)

@@ -81,7 +81,8 @@ def closure_sums(df: DataFrame, group: Sequence[str], member: str, x: str, value
     lacks are interpolated, and only for that member.
     """
     group = list(group)
-    knots = df.select(*group, member, F.col(x).alias("node"), F.col(value).alias("_y"))
+    # Staged, so that whatever produces the elements runs once.
+    knots = stage(df.select(*group, member, F.col(x).alias("node"), F.col(value).alias("_y")), "closure-knots")
     members = knots.select(*group, member).distinct()
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_members"))
     nodes = stage(

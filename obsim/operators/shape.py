@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ols_slope
+from ..session import stage as write_once
 
 
 def unrolled_day(df: DataFrame, key: Sequence[str], date: str, name: str = "day") -> DataFrame:
@@ -58,7 +59,8 @@ def season_shape(
 ) -> DataFrame:
     """Shape table per season with at least ``min_points`` rows; dates unique per season."""
     key = list(key)
-    base = df.select(*key, date, stage, F.col(obs).alias("obs"), F.col(sim).alias("sim"))
+    # Staged: peaks, the day axis and the rows each read it.
+    base = write_once(df.select(*key, date, stage, F.col(obs).alias("obs"), F.col(sim).alias("sim")), "seasons")
     peaks = season_peaks(base, key, date, stage, ["obs", "sim"]).filter(F.col("n") >= min_points)
     rows = unrolled_day(base, key, date).join(peaks, key)
 
