@@ -148,6 +148,16 @@ def _(t):
     return rounded(V.phenology_loss(phen(t)))
 
 
+@query("phenology_score_with_exclusions", "AGG-11 PIP-11 ASR-2", f"""
+WITH {PHEN_SQL}, m AS (
+SELECT sqrt(avg(pow(flowering_doy_sim - flowering_doy, 2))) AS f, sqrt(avg(pow(maturity_doy_sim - maturity_doy, 2))) AS m,
+       avg(flowering_doy_sim - flowering_doy) AS fb, avg(maturity_doy_sim - maturity_doy) AS mb, count(*) AS n, count(DISTINCT PointID) AS locations FROM phen)
+SELECT {rnd('(f + m) / 2')} AS loss, {rnd('f')} AS flowering_rmse, {rnd('fb')} AS flowering_bias, {rnd('m')} AS maturity_rmse,
+       {rnd('mb')} AS maturity_bias, n, locations, (SELECT count(*) FROM sim_phen WHERE anthesis_year < harvest_year) AS excluded FROM m""")
+def _(t):
+    return rounded(V.phenology_score(roles.sim_phenology(t), roles.obs_phenology(t)))
+
+
 @query("agreement_overall", "AGG-12", f"WITH {PAIRS_SQL} SELECT {metric_sql('yield', 'yield_sim')} FROM pairs")
 def _(t):
     return rounded(M.agreement(roles.yield_pairs(t), "yield", "yield_sim"))

@@ -182,6 +182,23 @@ def _(t):
     return rounded(DG.diagnose_yield(roles.yield_pairs(t), blocks=["by_state"])["by_state"])
 
 
+@query("canopy_overall_agreement", "PIP-15 AGG-12", f"WITH {CANOPY_SQL} SELECT {metric_sql('LAI', 'LAI_sim')} FROM canopy")
+def _(t):
+    return rounded(DG.diagnose_canopy(canopy(t), STAGE_EDGES, blocks=["overall"])["overall"])
+
+
+@query("yield_overall_agreement", "PIP-16 AGG-12", f"WITH {PAIRS_SQL} SELECT {metric_sql('yield', 'yield_sim')} FROM pairs")
+def _(t):
+    return rounded(DG.diagnose_yield(roles.yield_pairs(t), blocks=["overall"])["overall"])
+
+
+@query("yield_bias_by_year", "PIP-16", f"""
+WITH {PAIRS_SQL}
+SELECT year, {rnd('avg(yield)')} AS obs, {rnd('avg(yield_sim)')} AS sim, count(*) AS n, {rnd('avg(yield_sim) - avg(yield)')} AS bias FROM pairs GROUP BY 1""")
+def _(t):
+    return rounded(DG.diagnose_yield(roles.yield_pairs(t), blocks=["by_year"])["by_year"])
+
+
 @query("baseline_scenario_overview", "PIP-21 AGG-29 SRT-3", f"""
 WITH a AS (SELECT c_mktsegment AS crop, o_orderstatus AS soil, CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')
 SELECT crop, soil, year, {rnd('avg(o_totalprice)', 4)} AS yield_mean, count(DISTINCT o_custkey) AS n_locations FROM a GROUP BY 1, 2, 3""")

@@ -14,7 +14,7 @@ from ..operators.metrics import (
     bias, combine, harvest_index, rmse, stage_loss, translocated_metrics, two_dimension_loss,
 )
 from ..operators.quantiles import exact_quantiles
-from ..operators.relational import attach_admin, drop_unusable, flag_prior_year, pair, truncate_at
+from ..operators.relational import assert_not_empty, attach_admin, drop_unusable, flag_prior_year, pair, truncate_at
 from ..session import stage
 
 DOY_COLUMNS = ["flowering_doy", "flowering_doy_sim", "maturity_doy", "maturity_doy_sim"]
@@ -40,6 +40,16 @@ def phenology_loss(pairs: DataFrame, point: str = "PointID") -> DataFrame:
     })
 
 
+def phenology_score(sim: DataFrame, obs: DataFrame, keys: Sequence[str] = ("PointID", "harvest_year")) -> DataFrame:
+    """The phenology loss with ``excluded``: simulated seasons left out because anthesis fell before the harvest year.
+
+    No complete pair at all is an error.
+    """
+    pairs = assert_not_empty(phenology_pairs(sim, obs, keys), "phenology pairs")
+    excluded = flag_prior_year(sim, parse_day_month_year("anthesis_date"), "harvest_year").agg(F.count_if("abnormal").alias("excluded"))
+    return phenology_loss(pairs).crossJoin(excluded)  # two one-row results
+
+
 def canopy_pairs(daily: DataFrame, obs: DataFrame) -> DataFrame:
     """Positive-stage rows up to maturity, joined to observations on location and date."""
     grown = truncate_at(daily.filter(F.col("dvs") > 0), ["location"], ["date"], F.col("dvs") >= 2)

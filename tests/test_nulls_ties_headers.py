@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from obsim.functions import numeric, text
 from obsim.operators import aggregates, quality, relational, series, spatial
+from obsim.plans import views
 from obsim.sources import consolidate, scan
 
 
@@ -88,3 +89,12 @@ def test_wide_cells_do_not_depend_on_row_order(spark):
 ])
 def test_shortest_object_that_parses(spark, reply, found):
     assert one(spark, j=text.json_in_text(F.lit(reply).cast("string"))).j == found
+
+
+def test_no_phenology_pair_is_an_error(spark):
+    sim = spark.createDataFrame(
+        [(1, 2001, "01.06.2001", 150, 200)], "PointID int, harvest_year int, anthesis_date string, flowering_doy_sim int, maturity_doy_sim int"
+    )
+    obs = spark.createDataFrame([(2, 2001, 151, 201)], "PointID int, harvest_year int, flowering_doy int, maturity_doy int")
+    with pytest.raises(ValueError, match="no phenology pairs"):
+        views.phenology_score(sim, obs)

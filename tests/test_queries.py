@@ -18,11 +18,14 @@ def con():
     return connect(SMALL)
 
 
-# Selective queries that may be empty on the smallest tables.
+# Selective queries that have no row on the smallest tables.
+MAY_BE_EMPTY = {"membership_filter"}
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_oracle(spark, con, name):
-    problems = [p for p in compare(entry.queries()[name](spark, SMALL), con, entry.oracle_sql()[name]) if p != "empty result"]
-    assert not problems
+    problems = compare(entry.queries()[name](spark, SMALL), con, entry.oracle_sql()[name])
+    assert problems in ([], ["empty result"] if name in MAY_BE_EMPTY else [])
 
 
 def test_every_query_has_an_oracle():
