@@ -182,11 +182,50 @@ def narrower(length: int, width: int):
     return run
 
 
-def agreeing_starts(at: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int) -> list[tuple[int, int, int]]:
+def _agreement(a: bytes, b: bytes) -> int:
+    """Equal bytes from the start of both."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n - 1
+    while low < high:
+        middle = (low + high) // 2
+        if a[low:middle + 1] == b[low:middle + 1]:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+def _longest_agreement(strings: list[bytes]) -> list[int]:
+    """For each string the equal bytes from the start that it shares with any other; neighbours in order share most."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        shared = _agreement(strings[i], strings[j])
+        out[i], out[j] = max(out[i], shared), max(out[j], shared)
+    return out
+
+
+def agreeing_starts(at: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int, core: int) -> list[tuple[int, int, int]]:
     """``(row, low, high)``: starts of strings of a row that also start in another row, at the same distance of the anchor.
 
-    Rows are contexts of one core, laid over each other at their anchors.
+    Rows are contexts of one core, laid over each other at their anchors. What lies further from the core than a row
+    agrees with any other, on either side, is cut off first; few rows are then long enough to hold a repeated string.
     """
+    ahead = (at - first).tolist()
+    before = _longest_agreement([b[:a][::-1] for b, a in zip(bodies, ahead)])
+    behind = _longest_agreement([b[a + core:] for b, a in zip(bodies, ahead)])
+    rows = [r for r in range(len(bodies)) if before[r] + core + behind[r] >= length]
+    if len(rows) < 2:
+        return []
+    cut = [bodies[r][ahead[r] - before[r]:ahead[r] + core + behind[r]] for r in rows]
+    starts = np.array([int(at[r]) - before[r] for r in rows])
+    return [(rows[row], low, high) for row, low, high in _agreeing(at[rows], starts, cut, length)]
+
+
+def _agreeing(at: np.ndarray, first: np.ndarray, bodies: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """The same for rows that agree with some other at every byte next to the core, by the suffix array of their symbols."""
     left = int((at - first).max())
     offset = left - (at - first)
     columns = int(max(o + len(b) for o, b in zip(offset, bodies)))
@@ -246,7 +285,7 @@ def agreeing_starts(at: np.ndarray, first: np.ndarray, bodies: list[bytes], leng
     return out
 
 
-def compare_cell(length: int):
+def compare_cell(length: int, core_length: int):
     """All pieces of a cell, core by core, to ``(text_key, low, high)`` of repeated starts."""
 
     def run(cell: pa.Table) -> pa.Table:
@@ -257,7 +296,7 @@ def compare_cell(length: int):
         out = ([], [], [])
         for rows in np.split(order, np.flatnonzero(np.diff(core[order])) + 1) if len(order) else []:
             if len(rows) > 1:
-                for row, low, high in agreeing_starts(at[rows], first[rows], [bodies[r] for r in rows], length):
+                for row, low, high in agreeing_starts(at[rows], first[rows], [bodies[r] for r in rows], length, core_length):
                     for column, value in zip(out, (keys[rows[row]], low, high)):
                         column.append(value)
         return pa.table({"text_key": pa.array(out[0], pa.int64()), "low": pa.array(out[1], pa.int32()), "high": pa.array(out[2], pa.int32())})
@@ -278,7 +317,7 @@ def _met(pieces: DataFrame) -> DataFrame:
     return per.join(cores, "core")
 
 
-def _settle(pieces: DataFrame, length: int, widths: tuple[int, ...], together: int) -> list[DataFrame]:
+def _settle(pieces: DataFrame, length: int, core: int, widths: tuple[int, ...], together: int) -> list[DataFrame]:
     """Repeated starts among pieces with bodies, level by level."""
     met = stage(_met(pieces), "contexts")
     known = pieces.join(met, ["core", "context"])
@@ -293,12 +332,12 @@ def _settle(pieces: DataFrame, length: int, widths: tuple[int, ...], together: i
     few = rest.filter(F.col("contexts") <= together).drop("contexts")
     # So many cells that each holds about PER_CELL pieces, or one core of up to ``together``.
     cells = max(1, -(-few.count() // PER_CELL))
-    out.append(few.groupBy(F.pmod(F.xxhash64("core"), F.lit(cells)).alias("cell")).applyInArrow(compare_cell(length), STARTS))
+    out.append(few.groupBy(F.pmod(F.xxhash64("core"), F.lit(cells)).alias("cell")).applyInArrow(compare_cell(length, core), STARTS))
     many = rest.filter(F.col("contexts") > together).drop("contexts")
     if widths and not many.isEmpty():
         cut = stage(many.mapInArrow(narrower(length, widths[0]), PIECES), "narrower")
         # At width one, pieces are single strings, and different contexts of a core are different strings.
-        out += _settle(cut, length, widths[1:], together) if widths[1:] else [
+        out += _settle(cut, length, core, widths[1:], together) if widths[1:] else [
             cut.join(_met(cut).filter("times > 1"), ["core", "context"]).select("text_key", F.col("first").alias("low"), F.col("last").alias("high"))
         ]
     return out
@@ -309,11 +348,13 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
     """Staged ``(text_key, starts, ends)``: merged byte ranges of each text that repeated strings cover."""
-    keyed = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
+    keyed = docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text")
+    )
     core = max(1, int(length * CORE_SHARE))
-    anchors = stage(keyed.mapInArrow(emit_anchors(length, core), ANCHORS), "anchors")
+    anchors = stage(keyed.select("text_key", "text").mapInArrow(emit_anchors(length, core), ANCHORS), "anchors")
     often = anchors.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
     anchors = stage(anchors.join(often, "core").withColumn("weight", F.lit(1)), "met-anchors")
     met = stage(_met(anchors), "contexts")
@@ -325,11 +366,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, to
     one = ["core", "context", "text_key", "at", "first", "last"]
     open_rows = open_rows.select(*one, F.least("times", F.lit(2)).cast("int").alias("weight"))
     wanted = stage(open_rows.groupBy("text_key").agg(F.collect_set(F.struct(*one, "weight")).alias("wanted")), "wanted")
-    bodies = keyed.join(_sent(wanted, wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0), "text_key")
+    # One row stands for all copies of a text: the one with the smallest id.
+    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"))
+    owner = ids.join(wanted.select("text_key"), "text_key").groupBy("text_key").agg(F.min("doc_id").alias("owner"))
+    asked = stage(wanted.join(owner, "text_key").withColumnRenamed("text_key", "asked"), "asked")
+    rows = asked.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    bodies = keyed.join(_sent(asked, rows), (F.col("text_key") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("owner")))
     pieces = bodies.select("text", "wanted").mapInArrow(emit_bodies(length), PIECES)
-    # Copies of a text bring the same pieces; each counts once.
+    # Only rows that agree in id and text bring a piece twice; it counts once.
     pieces = stage(pieces.dropDuplicates(["core", "context", "text_key", "first"]), "pieces")
-    marks += _settle(pieces, length, tuple(w for w in WIDTHS if w == 1 or 2 * w < length), together)
+    marks += _settle(pieces, length, core, tuple(w for w in WIDTHS if w == 1 or 2 * w < length), together)
 
     starts = marks[0]
     for more in marks[1:]:
@@ -393,7 +439,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     included. Null or repeated ids are ordinary rows, other columns of ``docs`` play no part, and an empty table gives
     an empty result. Strings are compared by 64-bit hashes of theirs or of their contexts.
     """
-    spans = repeated_spans(docs, text, length, together)
+    spans = repeated_spans(docs, doc_id, text, length, together)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = spans.agg(F.sum(F.size("starts"))).first()[0] or 0
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"))
