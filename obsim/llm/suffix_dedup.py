@@ -361,11 +361,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = anchors.join(met, ["core", "context"])
     marks = [known.filter("times > 1").select("text_key", F.col("first").alias("low"), F.col("last").alias("high"))]
 
-    # Contexts that still need their bytes: single ones whose core has others, and one holder of each repeated one.
-    open_rows = known.filter("contexts > 1 and (times = 1 or text_key = holder)")
-    one = ["core", "context", "text_key", "at", "first", "last"]
-    open_rows = open_rows.select(*one, F.least("times", F.lit(2)).cast("int").alias("weight"))
-    wanted = stage(open_rows.groupBy("text_key").agg(F.collect_set(F.struct(*one, "weight")).alias("wanted")), "wanted")
+    # Contexts that still need their bytes: single ones whose core has others, and one occurrence of each repeated one.
+    # Occurrences of a context have the same distances between start, anchor and end.
+    open_rows = known.filter("contexts > 1 and (times = 1 or text_key = holder)").groupBy("core", "context", "text_key").agg(
+        F.min("first").alias("first"), F.min(F.col("at") - F.col("first")).alias("ahead"),
+        F.min(F.col("last") - F.col("first")).alias("more"), F.min(F.least("times", F.lit(2))).cast("int").alias("weight"),
+    )
+    one = F.struct(
+        "core", "context", "text_key", (F.col("first") + F.col("ahead")).alias("at"), "first",
+        (F.col("first") + F.col("more")).alias("last"), "weight",
+    )
+    wanted = stage(open_rows.groupBy("text_key").agg(F.collect_list(one).alias("wanted")), "wanted")
     # One row stands for all copies of a text: the one with the smallest id.
     ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"))
     owner = ids.join(wanted.select("text_key"), "text_key").groupBy("text_key").agg(F.min("doc_id").alias("owner"))
