@@ -6,7 +6,7 @@ key are neighbours. All lines of one key are within the bound of each other; eac
 and goes if that one stands before it.
 
 Only lines that can have a neighbour emit variants: with one edit, either the first or the second half stays equal, so
-lines that share no half with another line are set aside first, without loss.
+lines that share neither end with another line are set aside first, without loss.
 
 Built-in expressions throughout. Keys of variants combine a running hash of the words before the gap and one of the
 words behind it, so a line of n words costs n steps.
@@ -23,7 +23,7 @@ from . import arrays as A
 # One edit keeps four fifths of a line only from so many words on.
 LEAST_WORDS = 5
 # Up to so many rows of a join side go to every task; beyond it both sides are shuffled.
-MOST_BROADCAST = 500_000
+MOST_BROADCAST = 1_000_000
 
 _PLACE = ("doc_id", "text_key", "line_no")
 
@@ -38,20 +38,27 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.filter(F.col("line").rlike(A.NOT_SPACE)).select(*_PLACE, A.words(F.col("line")).alias("words"))
 
 
-def _half_keys(words: Column, n: Column) -> Column:
-    """Keys of the halves that a neighbour may share: for a shorter line of as many words, and of one word less."""
+def _end_keys(words: Column, n: Column) -> Column:
+    """Keys of the ends that a neighbour may share: the first and the last words, just under half of the shorter line.
 
-    def halves(m: Column, what: str) -> list[Column]:
-        p = F.floor(m / 2).cast("int")
-        return [
-            F.xxhash64(m, F.lit(f"{what}first"), F.slice(words, 1, p)),
-            F.xxhash64(m, F.lit(f"{what}last"), F.slice(words, n - (m - p) + 1, m - p)),
-        ]
+    Their number grows in steps, so that a line has the same step as most of its neighbours and one more pair of keys
+    where the line of one word less has not.
+    """
+
+    def step(m: Column) -> Column:
+        half = F.floor(m / 2)
+        power = F.pow(F.lit(2.0), F.floor(F.log2(half.cast("double"))))
+        return F.when(half >= power * 1.5, F.floor(power * 1.5)).otherwise(power).cast("int")
 
+    def ends(q: Column) -> list[Column]:
+        return [F.xxhash64(q, F.lit("first"), F.slice(words, 1, q)), F.xxhash64(q, F.lit("last"), F.slice(words, n - q + 1, q))]
+
+    own, less = step(n), step(n - 1)
+    both = (n >= LEAST_WORDS) & (own != less)
     return (
-        F.when(n >= LEAST_WORDS, F.array(*halves(n, ""), *halves(n - 1, "")))
-        .when(n == LEAST_WORDS - 1, F.array(*halves(n, "")))
-        .otherwise(F.array().cast("array<bigint>"))
+        F.when(n < LEAST_WORDS - 1, F.array().cast("array<bigint>"))
+        .when(both, F.array(*ends(own), *ends(less)))
+        .otherwise(F.array(*ends(own)))
     )
 
 
@@ -118,21 +125,24 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     and one of the two has at least five words; it goes also where that earlier line goes for another. Lines without a word stay.
     """
     lines = _lines(docs, doc_id, text)
-    n = F.size("words")
     keyed = stage(lines.select(
-        *_PLACE, F.xxhash64("words").alias("line_key"), _half_keys(F.col("words"), n).alias("halves")
+        *_PLACE, F.xxhash64("words").alias("line_key"), _end_keys(F.col("words"), F.size("words")).alias("ends")
     ), "lines")
     first = F.min(F.struct(*_PLACE)).alias("first")
-    distinct = stage(keyed.groupBy("line_key").agg(first, F.first("halves").alias("halves"), F.count("*").alias("n")), "distinct-lines")
+    distinct = stage(keyed.groupBy("line_key").agg(first, F.count("*").alias("n")), "distinct-lines")
 
-    halves = distinct.select("line_key", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).filter("a < b").select("half")
-    able = halves.join(shared, "half").select("line_key").distinct()
+    ends = keyed.select("line_key", F.explode("ends").alias("end"))
+    shared = ends.groupBy("end").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).filter("a < b").select("end")
+    shared = stage(shared, "shared-ends")
+    able = ends.join(_sent(shared, shared.count()), "end").select("line_key").distinct()
     wanted = distinct.join(able, "line_key").select("line_key", "first.*")
     words = stage(_words_of(docs, doc_id, text, wanted), "able-lines")
-    placed = _variants(words).join(distinct.select("line_key", "first"), "line_key")
-    placed = stage(placed.select("variant", F.struct("first.*", "line_key").alias("line")), "variants")
-    lead = placed.groupBy("variant").agg(F.min("line").alias("lead"), F.max("line").alias("last")).filter("lead < last").drop("last")
+    variants = stage(_variants(words), "variants")
+    met = variants.groupBy("variant").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b")).filter("a < b").select("variant")
+    met = stage(met, "met-variants")
+    placed = variants.join(_sent(met, met.count()), "variant").join(distinct.select("line_key", "first"), "line_key")
+    placed = placed.select("variant", F.struct("first.*", "line_key").alias("line"))
+    lead = placed.groupBy("variant").agg(F.min("line").alias("lead"))
     pairs = placed.join(lead, "variant").filter("lead < line").select(F.col("line.line_key").alias("line_key"), "lead").distinct()
     checked = (
         pairs.withColumn("lead_key", F.col("lead.line_key"))
@@ -143,8 +153,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     near = checked.groupBy("line_key").agg(F.min("lead").alias("lead"))
     verdicts = distinct.join(near, "line_key", "left").filter("n > 1 or lead is not null").select("line_key", "first", "lead")
     own = F.struct(*_PLACE)
-    met = keyed.drop("halves").join(verdicts, "line_key").withColumn("later", F.col("first") < own)
-    return met.filter("later or lead is not null").select(
+    found = keyed.drop("ends").join(verdicts, "line_key").withColumn("later", F.col("first") < own)
+    return found.filter("later or lead is not null").select(
         *_PLACE, (~F.col("later")).alias("near"),
         F.when(F.col("later"), F.col("first.doc_id")).otherwise(F.col("lead.doc_id")).alias("first_doc_id"),
         F.when(F.col("later"), F.col("first.line_no")).otherwise(F.col("lead.line_no")).alias("first_line_no"),
