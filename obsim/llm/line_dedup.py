@@ -38,8 +38,8 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.filter(F.col("line").rlike(A.NOT_SPACE)).select(*_PLACE, A.words(F.col("line")).alias("words"))
 
 
-def _end_keys(words: Column, n: Column) -> Column:
-    """Keys of the ends that a neighbour may share: the first and the last words, just under half of the shorter line.
+def _with_end_keys(lines: DataFrame) -> DataFrame:
+    """``(place, line_key, ends)``: keys of the first and the last words, just under half of the shorter line.
 
     Their number grows in steps, so that a line has the same step as most of its neighbours and one more pair of keys
     where the line of one word less has not.
@@ -50,16 +50,21 @@ def _end_keys(words: Column, n: Column) -> Column:
         power = F.pow(F.lit(2.0), F.floor(F.log2(half.cast("double"))))
         return F.when(half >= power * 1.5, F.floor(power * 1.5)).otherwise(power).cast("int")
 
-    def ends(q: Column) -> list[Column]:
-        return [F.xxhash64(q, F.lit("first"), F.slice(words, 1, q)), F.xxhash64(q, F.lit("last"), F.slice(words, n - q + 1, q))]
-
-    own, less = step(n), step(n - 1)
-    both = (n >= LEAST_WORDS) & (own != less)
-    return (
-        F.when(n < LEAST_WORDS - 1, F.array().cast("array<bigint>"))
-        .when(both, F.array(*ends(own), *ends(less)))
-        .otherwise(F.array(*ends(own)))
+    def ends(q: Column) -> Column:
+        return F.array(
+            F.xxhash64(q, F.lit("first"), F.slice("words", 1, q)), F.xxhash64(q, F.lit("last"), F.slice("words", F.col("n") - q + 1, q))
+        )
+
+    # In steps of their own, so that each value is computed once and the generated code stays small.
+    counted = lines.select(*_PLACE, "words", F.size("words").alias("n"), F.xxhash64("words").alias("line_key"))
+    able = F.col("n") >= LEAST_WORDS - 1
+    stepped = counted.select("*", F.when(able, step(F.col("n"))).alias("own"), F.when(F.col("n") >= LEAST_WORDS, step(F.col("n") - 1)).alias("less"))
+    none = F.array().cast("array<bigint>")
+    both = stepped.select(
+        "*", F.when(able, ends(F.col("own"))).otherwise(none).alias("a"),
+        F.when(F.col("less") != F.col("own"), ends(F.col("less"))).otherwise(none).alias("b"),
     )
+    return both.select(*_PLACE, "line_key", F.concat("a", "b").alias("ends"))
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:
@@ -124,10 +129,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A line goes if an earlier one (smaller id, then line number) has the same words, or is within one word edit of it
     and one of the two has at least five words; it goes also where that earlier line goes for another. Lines without a word stay.
     """
-    lines = _lines(docs, doc_id, text)
-    keyed = stage(lines.select(
-        *_PLACE, F.xxhash64("words").alias("line_key"), _end_keys(F.col("words"), F.size("words")).alias("ends")
-    ), "lines")
+    keyed = stage(_with_end_keys(_lines(docs, doc_id, text)), "lines")
     first = F.min(F.struct(*_PLACE)).alias("first")
     distinct = stage(keyed.groupBy("line_key").agg(first, F.count("*").alias("n")), "distinct-lines")
 
