@@ -21,7 +21,7 @@ PERIOD = 2_000
 # Target weights follow the sources' bytes to this power: large sources give way a little to small ones.
 TEMPER = 0.9
 # Bytes of a source that are numbered together; a source has as many such pieces as its size asks for.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
 _SEED = 8_117
 _UNIT = 1 << 40
 
