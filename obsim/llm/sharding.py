@@ -39,15 +39,14 @@ def _position(splitters: Column, key: Column, count: int) -> Column:
     )
 
 
-def sample_keys(keys: DataFrame, wanted: int) -> DataFrame:
+def sample_keys(keys: DataFrame, total: int, wanted: int) -> DataFrame:
     """``(key, weight)``: each key with probability min(1, its bytes x wanted / all bytes), weighted by the inverse.
 
     The draw hashes the key, so a repeated run draws the same. A key that alone fills a range is always drawn.
     """
-    total = F.broadcast(keys.agg(F.sum("bytes").alias("total")))  # one row
-    share = F.col("total") / F.lit(float(wanted))
+    share = F.lit(total / wanted)
     drawn = F.pmod(F.xxhash64("key", F.lit(_SEED)), F.lit(_UNIT)) / F.lit(float(_UNIT))
-    return keys.join(total, how="cross").filter(drawn < F.col("bytes") / share).select(
+    return keys.filter(drawn < F.col("bytes") / share).select(
         "key", F.greatest(F.col("bytes").cast("double"), share).alias("weight"), (F.col("bytes") >= share).alias("heavy")
     )
 
@@ -127,7 +126,8 @@ def shard(
     ), "shard-sizes")
     ranges = shards * ranges_per_shard
     keys = sizes.groupBy("key").agg(F.sum("shard_bytes").alias("bytes"))
-    splitters = choose_splitters(sample_keys(keys, ranges * SAMPLES_PER_RANGE), ranges)
+    total = sizes.agg(F.sum("shard_bytes")).first()[0] or 0
+    splitters = choose_splitters(sample_keys(keys, total, ranges * SAMPLES_PER_RANGE), ranges)
     cuts = F.array(*[F.lit(s) for s in splitters]) if splitters else F.array().cast("array<bigint>")
 
     # Exact bytes of the ranges. An overfull one is subdivided evenly: by the key space between its ends or, where one
@@ -138,10 +138,10 @@ def shard(
     )
     placed = sizes.withColumn("range", _position(cuts, F.col("key"), len(splitters)))
     full = placed.groupBy("range").agg(F.sum("shard_bytes").alias("bytes"))
-    goal = full.agg((F.sum("bytes") / ranges).alias("goal"))
+    goal = F.lit(max(total, 1) / ranges)
     plan = (
-        bounds.join(full, "range").join(F.broadcast(goal), how="cross")
-        .withColumn("parts", F.when(F.col("bytes") > 1.5 * F.col("goal"), F.ceil(F.col("bytes") / F.col("goal"))).otherwise(1).cast("int"))
+        bounds.join(full, "range")
+        .withColumn("parts", F.when(F.col("bytes") > 1.5 * goal, F.ceil(F.col("bytes") / goal)).otherwise(1).cast("int"))
         .select("range", "low", "high", "parts")
     )
 
