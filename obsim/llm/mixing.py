@@ -4,8 +4,9 @@ A source's documents are cut into blocks of equal bytes. Its i-th block (from 0)
 at slot ceil((i + 1) / w), w being its target weight; of the released blocks the one with the earliest deadline takes the
 slot. Each source then has, after any number of slots, less than one block more or less than its weight demands.
 
-Weights are multiples of 1 / PERIOD, so the schedule repeats every PERIOD slots: one period is computed, and the slot of
-any block follows from its number. Built-in expressions throughout.
+Turns are multiples of 1 / PERIOD, so the schedule repeats every PERIOD slots: one period is computed, and the slot of
+any block follows from its number. A source whose weight is less than its turns, as one far below 1 / PERIOD, leaves so
+many of them empty that its weight comes out right. Built-in expressions throughout.
 """
 
 from __future__ import annotations
@@ -45,6 +46,16 @@ def whole_shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     return floor.select("source", (F.lit(1) + F.col("low") + more).cast("int").alias("share"))
 
 
+def turns_used(shares: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(source, share, every)``: a source's block ``i`` takes its turn ``floor(i * every)``, the other turns stay empty.
+
+    The source with the most weight for its share uses every turn; ``every`` is at least 1.
+    """
+    targets = weights.select(F.col("source").alias("of"), "weight")
+    ratio = shares.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("every", F.col("share") / F.col("weight"))
+    return ratio.select("source", "share", (F.col("every") / F.min("every").over(Window.partitionBy(F.lit(1)))).alias("every"))
+
+
 def period_schedule(shares: DataFrame, period: int = PERIOD) -> DataFrame:
     """``(source, turn, slot)`` of one period: the slot of each source's block ``turn`` (0 to share - 1).
 
@@ -124,8 +135,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     """Add ``mix_block`` (long, of the source), ``mix_slot`` (long) and ``in_mix`` (boolean).
 
     ``weights``: ``(source, weight)``, positive, for every source; by default the tempered bytes. Reading rows by slot
-    gives every source its weight to within one block, up to the slot where the first source has no block left for its
-    turn. Rows of blocks up to there are ``in_mix``; later ones keep their slot, but the mix cannot hold beyond it.
+    gives every source its weight to within two blocks (one, where no turn stays empty), up to the slot where the first
+    source has no block left for its turn. Rows of blocks up to there are ``in_mix``. Later ones keep their slot: the
+    sources that are left go on by the weights they have among themselves.
     A block is a range of bytes of the source's own order; a document belongs to the block in which it starts.
 
     Every row comes back once with the columns of ``docs`` (earlier columns of the three names are replaced). A null
@@ -137,23 +149,29 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     count = sizes.count()
     if count > period:
         raise ValueError(f"{count} sources, but a period of {period} slots")
-    shares = whole_shares(tempered_weights(sizes) if weights is None else weights, period)
+    targets = tempered_weights(sizes) if weights is None else weights
+    shares = whole_shares(targets, period)
+    used = turns_used(shares, targets)
     table = stage(period_schedule(shares, period).withColumnRenamed("source", "name").join(
-        shares.withColumnRenamed("source", "of"), F.col("name").eqNullSafe(F.col("of"))
+        used.withColumnRenamed("source", "of"), F.col("name").eqNullSafe(F.col("of"))
     ).drop("of"), "mix-period")
+
+    def turn_of(number: Column, every: Column) -> Column:
+        return F.floor(number * every).cast("long")
+
     missing = sizes.select("source", F.ceil(F.col("bytes") / block_bytes).alias("blocks")).join(
-        table, F.col("source").eqNullSafe(F.col("name")) & (F.col("turn") == F.col("blocks") % F.col("share"))
+        table, F.col("source").eqNullSafe(F.col("name")) & (F.col("turn") == turn_of(F.col("blocks"), F.col("every")) % F.col("share"))
     )
-    ends = missing.agg(F.min(F.floor(F.col("blocks") / F.col("share")) * period + F.col("slot"))).first()[0]
-    k = A.own_names(placed, "name", "turn", "slot", "share")
+    ends = missing.agg(F.min(F.floor(turn_of(F.col("blocks"), F.col("every")) / F.col("share")) * period + F.col("slot"))).first()[0]
+    k = A.own_names(placed, "name", "turn", "slot", "share", "every")
     lookup = F.broadcast(table.withColumnsRenamed(k))
-    per = F.broadcast(table.select(F.col("name").alias("__of"), F.col("share").alias("__per")).distinct())
+    per = F.broadcast(table.select(F.col("name").alias("__of"), F.col("share").alias("__per"), F.col("every").alias("__each")).distinct())
     block = F.col(n["block"])
     joined = (
         placed.join(per, placed[n["source"]].eqNullSafe(per["__of"]))
-        .join(lookup, placed[n["source"]].eqNullSafe(lookup[k["name"]]) & (block % F.col("__per") == lookup[k["turn"]]))
+        .join(lookup, placed[n["source"]].eqNullSafe(lookup[k["name"]]) & (turn_of(block, F.col("__each")) % F.col("__per") == lookup[k["turn"]]))
     )
-    slot = (F.floor(block / F.col(k["share"])) * period + F.col(k["slot"])).cast("long")
+    slot = (F.floor(turn_of(block, F.col(k["every"])) / F.col(k["share"])) * period + F.col(k["slot"])).cast("long")
     kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "in_mix")]
     return joined.select(
         *[f"`{c}`" for c in kept], block.alias("mix_block"), slot.alias("mix_slot"), (slot < F.lit(ends)).alias("in_mix")
@@ -161,12 +179,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
 
 
 def mixed_corpus(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The rows of the mix in its order, with the columns of ``docs``: the part where every source has its weight."""
+    """Every row of ``docs`` in the order of the mix; where a source has run out, the others go on by their weights."""
     tag = A.own_names(docs, "row")["row"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(tag), F.col(f"`{source}`").alias("source"),
                          F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
-    chosen = mix(packed, **settings).filter("in_mix")
-    return chosen.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot").select(f"{tag}.*")
+    return mix(packed, **settings).repartitionByRange("mix_slot").sortWithinPartitions("mix_slot").select(f"{tag}.*")
 
 
 def schedule_lag(spark: SparkSession, shares: dict[str, int], period: int = PERIOD) -> DataFrame:
