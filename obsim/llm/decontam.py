@@ -3,12 +3,15 @@
 Tokens are canonical: numbers, names and units become typed placeholders, all else is the lower-case word. Windows of
 canonical tokens of documents and benchmark items meet in a hash join. Along one diagonal of document and item, the
 values behind the placeholders must map consistently: where a question was re-parameterised, equal values of the item
-stand for equal values of the document.
+stand for equal values of the document. Windows with placeholders also meet by their case-folded words as they stand, so
+that no word-for-word copy depends on what is taken for a placeholder. Pieces of three tokens find edited copies.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,11 @@ WINDOW = 8
 COVERAGE = 0.5
 # Placeholders may make up so much of a window; beyond that it says nothing about its source.
 MOST_SLOTS = 4
+# Pieces that find edited copies, and how far the diagonals of the parts between edits may lie apart.
+PIECE = 3
+SHIFT = 3
+# One place in so many may contradict the mapping of values, as a slip; one always may.
+SLIP = 8
 # Up to so many distinct benchmark windows (8 bytes each) go to every task, which then returns only those it finds;
 # beyond it all windows of the documents are shuffled to the join.
 MOST_BROADCAST = 2_000_000
@@ -77,22 +85,81 @@ class Tokens(dict):
 
 
 _ROWS = "window bigint, at int, kinds array<tinyint>, slots array<bigint>"
+_FOUND = "n_hits int, n_windows int, first_word int, reparameterised boolean"
 
 
-def _template_windows(text: str, tokens: Tokens, size: int):
-    """Window hashes with their places and token arrays; an item or text shorter than a window is one window."""
-    codes, kinds, values = tokens.of(text)
-    size = min(size, len(codes))
-    if not size:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), kinds, values, 0
-    found = windows(codes, size)
-    filled = np.convolve((kinds != PLAIN).astype(np.int64), np.ones(size, np.int64), "valid")
-    at = np.flatnonzero(filled <= max(MOST_SLOTS, 0) if size > MOST_SLOTS else filled < size)
-    return found[at], at, kinds, values, size
+def words_needed(n: int) -> int:
+    """Words of an item of ``n`` that pieces must cover: two edits leave so many from 15 words on, one edit below."""
+    return math.ceil(0.6 * n) if n >= 15 else max(n - PIECE, 2 * PIECE)
 
 
-def window_rows(size: int, known=None):
-    """Arrow batches ``(doc_id, text_key, text)`` to rows of windows; only those in ``known`` (a broadcast) if given."""
+def _most_slots(size: int) -> int:
+    """Placeholders in a window that is a whole item or text."""
+    return MOST_SLOTS if size > MOST_SLOTS else size - 1
+
+
+def _windows_of(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, size: int, most: int):
+    """Hashes, places, and whether placeholders stand in them: windows of templates, then of words as they stand."""
+    if not 0 < size <= len(codes):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    filled = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
+    filled = filled[size:] - filled[:-size]
+    at, literal = np.flatnonzero(filled <= most), np.flatnonzero(filled)
+    found = windows(codes, size)[at]
+    if not len(literal):
+        return found, at, np.zeros(len(at), bool)
+    return (
+        np.concatenate([found, windows(values, size)[literal]]), np.concatenate([at, literal]),
+        np.concatenate([filled[at] > 0, np.zeros(len(literal), bool)]),
+    )
+
+
+class Known:
+    """The windows of all items, sorted, and for pieces the items that hold them and where."""
+
+    def __init__(self, rows: list):
+        all_windows = np.array([r["window"] for r in rows], np.int64).view(np.uint64)
+        pieces = np.array([r["piece"] for r in rows], bool)
+        self.whole = np.unique(all_windows[~pieces])
+        order = np.flatnonzero(pieces)[np.argsort(all_windows[pieces], kind="stable")]
+        self.held, self.start, self.count = np.unique(all_windows[order], return_index=True, return_counts=True)
+        number: dict = {}
+        self.item = np.array([number.setdefault((r["item_id"], r["item_key"]), len(number)) for r in rows], np.int64)[order]
+        self.offset = np.array([r["offset"] for r in rows], np.int64)[order]
+        self.need = np.array([-(-words_needed(r["n_words"]) // PIECE) for r in rows], np.int64)[order]
+
+    @staticmethod
+    def _places(wanted: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(wanted) or not len(found):
+            return np.zeros(len(found), bool), np.zeros(len(found), np.int64)
+        place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+        return wanted[place] == found, place
+
+    def holds(self, found: np.ndarray) -> np.ndarray:
+        return self._places(self.whole, found)[0]
+
+    def enough(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Pieces that lie, on diagonals close together, among as many of one item as it needs at least."""
+        hit, place = self._places(self.held, found)
+        mine, place = np.flatnonzero(hit), place[hit]
+        keep = np.zeros(len(found), bool)
+        if not len(mine):
+            return keep
+        count = self.count[place]
+        entry = np.repeat(self.start[place] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        mine = np.repeat(mine, count)
+        diagonal = at[mine] - self.offset[entry] + (1 << 20)
+        for shifted in (0, SHIFT + 1):
+            _, back, total = np.unique((self.item[entry] << 40) + (diagonal + shifted) // (2 * SHIFT + 2), return_inverse=True, return_counts=True)
+            keep[mine[total[back] >= self.need[entry]]] = True
+        return keep
+
+
+def window_rows(size: int, short: tuple[int, ...] = (), known=None):
+    """Arrow batches ``(doc_id, text_key, text)`` to rows of windows; only those of ``known`` (a broadcast) if given.
+
+    ``short``: lengths of the items that are shorter than a window. A text shorter than a window is a window, too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -103,16 +170,29 @@ def window_rows(size: int, known=None):
                 text = text.as_py()
                 if not text:
                     continue
-                found, at, kinds, values, width = _template_windows(text, tokens, size)
-                if wanted is not None and len(found):
-                    place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1) if len(wanted) else np.zeros(len(found), np.int64)
-                    hit = wanted[place] == found if len(wanted) else np.zeros(len(found), bool)
-                    found, at = found[hit], at[hit]
-                for h, p in zip(signed(np.ascontiguousarray(found)).tolist(), at.tolist()):
-                    slot = np.flatnonzero(kinds[p:p + width]) + p
-                    rows.append(row)
-                    for column, value in zip(out, (h, p, kinds[slot].tolist(), signed(values[slot]).tolist())):
-                        column.append(value)
+                codes, kinds, values = tokens.of(text)
+                own = min(size, len(codes))
+                # Within a longer text a short template says as little as its few plain words.
+                sizes = [(own, MOST_SLOTS if own == size else _most_slots(own))]
+                sizes += [(k, max(0, k - size + MOST_SLOTS)) for k in short if k < len(codes)]
+                parts = []
+                for width, most in sizes:
+                    found, at, filled = _windows_of(codes, kinds, values, width, most)
+                    if wanted is not None:
+                        hit = wanted.holds(found)
+                        found, at, filled = found[hit], at[hit], filled[hit]
+                    parts.append((found, at, filled, width))
+                found, at, filled = _windows_of(codes, kinds, values, PIECE, 1)
+                if wanted is not None:
+                    hit = wanted.enough(found, at)
+                    found, at, filled = found[hit], at[hit], filled[hit]
+                parts.append((found, at, filled, PIECE))
+                for found, at, filled, width in parts:
+                    for h, p, f in zip(signed(np.ascontiguousarray(found)).tolist(), at.tolist(), filled.tolist()):
+                        slot = np.flatnonzero(kinds[p:p + width]) + p if f else at[:0]
+                        rows.append(row)
+                        for column, value in zip(out, (h, p, kinds[slot].tolist(), signed(values[slot]).tolist())):
+                            column.append(value)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()),
@@ -123,59 +203,146 @@ def window_rows(size: int, known=None):
     return run
 
 
+_ITEM = "window bigint, offset int, size int, piece boolean, usable boolean, spots array<int>, item_slots array<bigint>, n_words int, n_usable int, n_all int"
+
+
+def item_rows(size: int):
+    """Arrow batches ``(item_id, item_key, text)`` to the rows of ``item_templates``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            rows, out = [], []
+            for row, text in enumerate(batch.column("text")):
+                codes, kinds, values = tokens.of(text.as_py() or "")
+                n = len(codes)
+                own = min(size, n)
+                most = MOST_SLOTS if own == size else _most_slots(own)
+                filled = np.convolve((kinds != PLAIN).astype(np.int64), np.ones(own, np.int64), "valid") if n else np.empty(0, np.int64)
+                usable = filled <= most
+                parts = [(own, most, False)] + ([(PIECE, 1, True)] if n >= size > PIECE else [])
+                for width, limit, piece in parts:
+                    for h, p, f in zip(*_windows_of(codes, kinds, values, width, limit)):
+                        slot = np.flatnonzero(kinds[p:p + width]) + p if f else np.empty(0, np.int64)
+                        rows.append(row)
+                        out.append({
+                            "window": int(h.view(np.int64)), "offset": int(p), "size": width, "piece": piece,
+                            "usable": not piece and bool(usable[p]), "spots": slot.tolist(), "item_slots": signed(values[slot]).tolist(),
+                            "n_words": n, "n_usable": int(usable.sum()), "n_all": n - own + 1,
+                        })
+            take = pa.array(rows, pa.int64())
+            made = pa.RecordBatch.from_pylist(out, pa.schema([
+                ("window", pa.int64()), ("offset", pa.int32()), ("size", pa.int32()), ("piece", pa.bool_()), ("usable", pa.bool_()),
+                ("spots", pa.list_(pa.int32())), ("item_slots", pa.list_(pa.int64())), ("n_words", pa.int32()), ("n_usable", pa.int32()), ("n_all", pa.int32()),
+            ]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), *made.columns], ["item_id", "item_key", *made.schema.names]
+            )
+
+    return run
+
+
 def item_templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """Staged ``(item_id, window, offset, item_slots, n_windows)``; items with one template go by the smallest id."""
+    """Staged windows and pieces of every item with the values of its own slots; equal texts go by the smallest id."""
     kind = benchmark.schema[item_id].dataType.simpleString()
-    rows = stage(benchmark.select(
-        F.col(f"`{item_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text")
-    ).mapInArrow(window_rows(size), f"doc_id {kind}, text_key bigint, {_ROWS}"), "item-windows")
-    # An item has few windows, so its template can be put together in one value.
-    whole = rows.groupBy("doc_id", "text_key").agg(
-        F.xxhash64(F.array_sort(F.collect_set(F.struct("at", "window")))).alias("template"),
-        F.countDistinct("at").alias("n_windows"),
-    )
-    chosen = whole.groupBy("template").agg(F.min(F.struct("doc_id", "text_key", "n_windows")).alias("x")).select("x.*")
-    return rows.join(chosen, (rows["text_key"] == chosen["text_key"]) & rows["doc_id"].eqNullSafe(chosen["doc_id"])).select(
-        rows["doc_id"].alias("item_id"), "window", F.col("at").alias("offset"), F.col("slots").alias("item_slots"), "n_windows"
-    )
+    texts = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.xxhash64(F.col(f"`{text}`")).alias("item_key"), F.col(f"`{text}`").alias("text"))
+    one = texts.filter("text is not null").groupBy("item_key", "text").agg(F.min("item_id").alias("item_id")).select("item_id", "item_key", "text")
+    return stage(one.mapInArrow(item_rows(size), f"item_id {kind}, item_key bigint, {_ITEM}"), "item-templates")
+
+
+def agreeing(hits: list[dict]) -> list[tuple[dict, bool]]:
+    """The hits of one diagonal that agree, each with whether some value on the diagonal differs.
+
+    Each value of the item stands for one value of the document: itself, if it is there, else the one at most of its
+    places. Other places contradict; of equally frequent values all do. A few are slips, and only their windows go; with
+    more of them, only windows that hold the item's own values stay.
+    """
+    places = {p: (k, x, y) for h in hits for p, k, x, y in zip(h["spots"], h["kinds"], h["item_slots"], h["slots"])}
+    values: dict = defaultdict(Counter)
+    for k, x, y in places.values():
+        values[k, x][y] += 1
+
+    def stands(k: int, x: int) -> int | None:
+        if x in values[k, x]:
+            return x
+        (y, n), *others = values[k, x].most_common(2)
+        return None if others and others[0][1] == n else y
+
+    main = {key: stands(*key) for key in values}
+    wrong = {p for p, (k, x, y) in places.items() if main[k, x] != y}
+    slips = len(wrong) <= max(1, len(places) // SLIP)
+    differs = any(x != y for _, x, y in places.values())
+    return [(h, differs) for h in hits if h["item_slots"] == h["slots"] or slips and wrong.isdisjoint(h["spots"])]
+
+
+def judged(coverage: float):
+    """Arrow batches of a document's hits of an item to the rows of contaminated documents."""
+
+    def verdict(row: dict) -> dict | None:
+        lines: dict = defaultdict(list)
+        for h in row["hits"]:
+            lines[h["at"] - h["offset"]].append(h)
+        good = {d: agreeing(hits) for d, hits in lines.items()}
+        whole = [(h, differs) for hits in good.values() for h, differs in hits if not h["piece"]]
+        usable, every = {h["offset"] for h, _ in whole if h["usable"]}, {h["offset"] for h, _ in whole}
+        counts, counted = (len(every), row["n_all"]), []
+        if len(every) >= coverage * row["n_all"]:
+            counted = whole
+        elif usable and len(usable) >= coverage * row["n_usable"]:
+            counted, counts = [x for x in whole if x[0]["usable"]], (len(usable), row["n_usable"])
+        elif any(h["piece"] for h in row["hits"]):
+            for d in sorted(good):
+                near = [x for e in range(d, d + SHIFT + 1) for x in good.get(e, ())]
+                words = {o for h, _ in near for o in range(h["offset"], h["offset"] + h["size"])}
+                if len(words) >= words_needed(row["n_words"]):
+                    counted += near
+        if not counted:
+            return None
+        return {"n_hits": counts[0], "n_windows": counts[1], "first_word": min(h["at"] for h, _ in counted), "reparameterised": any(x for _, x in counted)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [verdict(row) for row in batch.select(["hits", "n_words", "n_usable", "n_all"]).to_pylist()]
+            take = pa.array([k for k, x in enumerate(found) if x], pa.int64())
+            made = pa.RecordBatch.from_pylist([x for x in found if x], pa.schema([
+                ("n_hits", pa.int32()), ("n_windows", pa.int32()), ("first_word", pa.int32()), ("reparameterised", pa.bool_()),
+            ]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(take) for k in range(3)), *made.columns], ["doc_id", "text_key", "item_id", *made.schema.names]
+            )
+
+    return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, text_key, item_id, n_hits, n_windows, first_word, reparameterised)`` of contaminated documents.
 
-    A document holds an item if windows whose slots agree along their diagonal cover at least ``coverage`` of the
-    item's windows. ``reparameterised``: some value behind a placeholder differs from the item's. Null, empty and
-    wordless texts and items match nothing; an item shorter than a window is matched by texts of that length only;
+    A document holds an item if windows whose slots agree along their diagonal make up at least ``coverage`` of the
+    item's windows, or of those with few enough placeholders. It holds an edited item if pieces on diagonals close
+    together cover as many of its words as one or two edits leave (``words_needed``); ``n_hits`` may then be 0.
+    ``reparameterised``: some value behind a placeholder differs from the item's. Items with one template are judged
+    each by its own values. Null, empty and wordless texts and items match nothing; an item shorter than a window is
+    matched wherever it stands word for word, by its template where four words are plain or the text has its length;
     repeated rows give one result for each id and text; empty tables give an empty result.
     """
     spark = docs.sparkSession
-    items = stage(item_templates(benchmark, item_id, item_text, size), "item-templates")
-    distinct = items.select("window").distinct()
+    items = item_templates(benchmark, item_id, item_text, size)
+    short = tuple(sorted(r[0] for r in items.filter(f"not piece and size < {size}").select("size").distinct().collect()))
     known = None
-    if distinct.count() <= MOST_BROADCAST:
-        listed = np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)
-        known = spark.sparkContext.broadcast(np.sort(listed))
-    kind = docs.schema[doc_id].dataType.simpleString()
+    if items.count() <= MOST_BROADCAST:
+        known = spark.sparkContext.broadcast(Known(items.select("item_id", "item_key", "window", "piece", "offset", "n_words").collect()))
+    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     held = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text")
-    ).mapInArrow(window_rows(size, known), f"doc_id {kind}, text_key bigint, {_ROWS}")
-    met = held.join(items, "window").withColumn("diagonal", F.col("at") - F.col("offset"))
-    slots = F.arrays_zip(F.col("kinds"), F.col("item_slots"), F.col("slots"))
-    lines = met.groupBy("doc_id", "text_key", "item_id", "n_windows", "diagonal").agg(
-        F.collect_set("offset").alias("offsets"), F.min("at").alias("first_word"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"),
-    )
-    # A mapping sends each value of the item to a single value of the document.
-    items_of = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kinds"], p["item_slots"])))
-    agreeing = lines.filter(F.size(items_of) == F.size("pairs"))
-    changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
-    whole = agreeing.groupBy("doc_id", "text_key", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("n_hits"),
-        F.min("first_word").alias("first_word"), F.max(changed).alias("reparameterised"),
-    )
-    return whole.filter(F.col("n_hits") >= coverage * F.col("n_windows")).select(
-        "doc_id", "text_key", "item_id", "n_hits", "n_windows", "first_word", "reparameterised"
+    ).mapInArrow(window_rows(size, short, known), f"doc_id {kind}, text_key bigint, {_ROWS}")
+    met = held.join(items, "window")
+    hit = F.struct("at", "offset", "size", "piece", "usable", "spots", "item_slots", "kinds", "slots")
+    pairs = met.groupBy("doc_id", "text_key", "item_id", "item_key", "n_words", "n_usable", "n_all").agg(F.collect_set(hit).alias("hits"))
+    return pairs.select("doc_id", "text_key", "item_id", "hits", "n_words", "n_usable", "n_all").mapInArrow(
+        judged(coverage), f"doc_id {kind}, text_key bigint, item_id {item_kind}, {_FOUND}"
+    ).groupBy("doc_id", "text_key", "item_id").agg(
+        F.max("n_hits").alias("n_hits"), F.max("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"), F.min("reparameterised").alias("reparameterised")
     )
 
 

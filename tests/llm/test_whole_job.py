@@ -2,7 +2,7 @@
 
 import random
 
-from obsim.llm import mixing
+from obsim.llm import decontam, mixing
 from tests.llm import helpers as H
 
 
@@ -20,3 +20,21 @@ def test_a_small_source_does_not_end_the_mix(spark):
     for n in range(1, len(blocks)):
         for s in ("a", "b", "c"):
             assert abs(blocks[:n].count(s) - n * size[s] / sum(size.values())) < 3
+
+
+def _found(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = decontam.leaks(H.table(spark, texts, list(range(len(texts)))), bench).toPandas()
+    return {(r.doc_id, r.item_id): bool(r.reparameterised) for r in out.itertuples()}
+
+
+A = "the farmer sells 3 apples at noon and the baker then buys 3 pears from the farmer in the evening"
+B = A.replace("3 apples", "4 apples").replace("3 pears", "7 pears")
+
+
+def test_items_of_one_template_are_judged_by_their_own_values(spark):
+    # A copy with a mistyped repeat keeps all windows but those that hold it.
+    slip = A.replace("3 pears", "8 pears")
+    got = _found(spark, [A, B], [f"so {B} yes", f"so {A} yes", f"so {slip} no"])
+    assert {k for k, changed in got.items() if not changed} == {(0, 1), (1, 0)}
+    assert got[1, 1] and got[2, 0]
