@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from obsim.llm import decontam, mixing
 from tests.llm import helpers as H
 
@@ -38,3 +40,19 @@ def test_items_of_one_template_are_judged_by_their_own_values(spark):
     got = _found(spark, [A, B], [f"so {B} yes", f"so {A} yes", f"so {slip} no"])
     assert {k for k, changed in got.items() if not changed} == {(0, 1), (1, 0)}
     assert got[1, 1] and got[2, 0]
+
+
+@pytest.mark.parametrize("bound", [decontam.MOST_BROADCAST, 0])
+def test_lightly_edited_items_are_found(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "MOST_BROADCAST", bound)
+    words = [f"w{chr(97 + k)}x" for k in range(20)]
+
+    def edited(n, *places):
+        return " ".join(["pre", "fix", *("other" if k in places else w for k, w in enumerate(words[:n])), "post"])
+
+    cut = " ".join(words[:7] + words[8:15])
+    added = " ".join(words[:7] + ["added"] + words[7:15])
+    texts = [edited(15, 7), edited(15, 4, 9), edited(20, 6, 13), cut, added, " ".join(words[:7]), edited(15, 2, 5, 8, 11)]
+    items = [" ".join(words[:15]), " ".join(words)]
+    got = {d for d, _ in _found(spark, items, texts)}
+    assert got == {0, 1, 2, 3, 4}
