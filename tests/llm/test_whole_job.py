@@ -56,3 +56,12 @@ def test_lightly_edited_items_are_found(spark, monkeypatch, bound):
     items = [" ".join(words[:15]), " ".join(words)]
     got = {d for d, _ in _found(spark, items, texts)}
     assert got == {0, 1, 2, 3, 4}
+
+
+def test_short_dense_and_lower_case_items_are_found(spark):
+    short = "never trust a talking fox"
+    dense = "1 2 3 5 8 13 21 34 55 89 144 233"
+    name = "when did Alice and Robert first meet the old captain Morgan near the harbour of Lisbon in spring"
+    texts = ["he said never trust a talking fox and left the room at once", f"the series {dense} goes on", f"so {name.lower()} then",
+             f"SO {name.upper()} THEN", "1 2 3 4 5 6 7 9 10 11 12 13", "never trust a talking bird and leave the room at once", "TITLE"]
+    assert set(_found(spark, [short, dense, name, "Title"], texts)) == {(0, 0), (1, 1), (2, 2), (3, 2), (6, 3)}
