@@ -135,11 +135,41 @@ def cell_verifier(words: int, similarity: float):
     return run
 
 
+def partner_counter(words: int, similarity: float):
+    """One cell of a group: how many classes of the other block are similar to each class, as ``(set_key, n_links)``."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        codes = WordCodes()
+        own, low, high = (cell.column(c).to_numpy() for c in ("own", "low", "high"))
+        sets = [shingle_set(codes.of(t.as_py().split()), words) for t in cell.column("text")]
+        members, askers = np.flatnonzero(own == high), np.flatnonzero(own == low)
+        counts = np.zeros(len(sets), np.int64)
+        if len(members) and len(askers):
+            sizes = np.array([len(sets[m]) for m in members])
+            grams = np.concatenate([sets[m] for m in members])
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], np.repeat(np.arange(len(members)), sizes)[order]
+            for x in askers:
+                first, last = np.searchsorted(grams, sets[x], "left"), np.searchsorted(grams, sets[x], "right")
+                length = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                common = np.bincount(owner[at], minlength=len(members))
+                similar = members[common / (len(sets[x]) + sizes - common) >= similarity]
+                similar = similar[similar != x]
+                counts[x] += len(similar)
+                if low[x] != high[x]:
+                    counts[similar] += 1
+        return pa.table({"set_key": cell.column("set_key"), "n_links": pa.array(counts, pa.int64())})
+
+    return run
+
+
 class JaccardJoin:
     """The join of a table of texts with itself. Every table below is staged in the shared folder.
 
     ``rows``: one row per input row: ``doc_id, text_key, set_key, n_grams``.
-    ``links``: verified pairs ``(a, b, jaccard)`` of set classes, ``a < b``.
+    ``links``: the verified pairs ``(a, b, jaccard)`` of set classes that hold the groups together, ``a < b``; ``degrees``
+    counts all similar pairs of a group.
     ``groups``: ``(set_key, root)`` for classes with a link.
     """
 
@@ -236,16 +266,31 @@ class JaccardJoin:
         )
         return stage(listed.unionByName(blocked).distinct(), "links")
 
+    def degrees(self) -> DataFrame:
+        """``(set_key, n_links)``: the classes of its group to which a class is similar, each pair compared once.
+
+        A group is cut into blocks, and each cell of two blocks is compared in one task, which returns counts alone.
+        """
+        sizes = self.groups.groupBy("root").agg(F.count("*").alias("members"))
+        sized = self.groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        # A group of two is a link.
+        pairs = sized.filter("members = 2").select("set_key", F.lit(1).cast("long").alias("n_links"))
+        own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+        cells = sized.filter("members > 2").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("root", "set_key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        counted = cells.join(self.texts, "set_key").groupBy("root", "low", "high").applyInArrow(
+            partner_counter(self.words, self.similarity), "set_key bigint, n_links bigint"
+        )
+        return pairs.unionByName(counted.groupBy("set_key").agg(F.sum("n_links").alias("n_links")))
+
     def documents(self) -> DataFrame:
         """One row per input row: ``doc_id, class_id, n_links, n_copies``.
 
-        ``class_id``: smallest id of the row's group of near duplicates. ``n_links``: verified links of its set class to
-        other set classes; a group of many classes is held together by links to few of them, so this is the number
-        verified, not of all pairs of the group. ``n_copies``: rows with an equal set, itself included. Rows without a
+        ``class_id``: smallest id of the row's group of near duplicates. ``n_links``: other set classes of the group that
+        are similar to the row's own, all pairs of the group compared. ``n_copies``: rows with an equal set, itself included. Rows without a
         word have no n-grams: they are their own class and have no links.
         """
-        ends = self.links.select(F.col("a").alias("set_key")).union(self.links.select("b"))
-        degree = ends.groupBy("set_key").agg(F.count("*").alias("n_links"))
+        degree = self.degrees()
         classes = self.rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
         classes = classes.join(self.groups, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
         heads = classes.groupBy("root").agg(F.min("first").alias("class_id"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from obsim.llm import decontam, mixing
+from obsim.llm import decontam, jaccard, mixing
 from tests.llm import helpers as H
 
 
@@ -65,3 +65,21 @@ def test_short_dense_and_lower_case_items_are_found(spark):
     texts = ["he said never trust a talking fox and left the room at once", f"the series {dense} goes on", f"so {name.lower()} then",
              f"SO {name.upper()} THEN", "1 2 3 4 5 6 7 9 10 11 12 13", "never trust a talking bird and leave the room at once", "TITLE"]
     assert set(_found(spark, [short, dense, name, "Title"], texts)) == {(0, 0), (1, 1), (2, 2), (3, 2), (6, 3)}
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_links_are_all_similar_pairs_of_a_group(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(4)
+    origin = H.prose(rng, 120).split()
+    texts = [H.prose(rng, 40), *[H.prose(rng, 90)] * 2]
+    texts.append(texts[1] + " more")
+    for _ in range(20):
+        words = list(origin)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(120)] = f"edit{rng.randint(0, 999)}"
+        texts.append(" ".join(words))
+    out = jaccard.near_duplicates(H.table(spark, texts, list(range(len(texts))))).orderBy("doc_id").toPandas()
+    sets = [H.shingles(t) for t in texts]
+    wanted = [len({y for y in sets if y != x and len(x & y) >= 0.8 * len(x | y)}) for x in sets]
+    assert out.n_links.tolist() == wanted
