@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, line_dedup, mixing, passages, quality, secret_scan, sharding, sql, suffix_dedup
+from . import (
+    decontam, divergence, exact_dedup, jaccard, licenses, line_dedup, mixing, passages, quality, secret_scan, sharding, sql, suffix_dedup, vector_codes,
+)
 from .tables import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,22 @@ def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, folder)).drop("kept")
 
 
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(documents(spark, folder))
+
+
+def exact_deduplication(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.mark_copies(documents(spark, folder), carry=["doc_id"])
+
+
+def vector_codes_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    code = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    return vector_codes.label_errors(codes).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,10 +106,16 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": source_mixing,
     "op9_secret_scans": secret_scans,
     "op10_suffix_array_dedup": suffix_array_dedup,
+    "op11_source_divergence_audit": source_divergence,
+    "op12_exact_dedup": exact_deduplication,
+    "op13_vector_code_compression": vector_codes_of_all,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": sql.QUALITY,
     "op7_line_dedup": sql.LINES,
     "op9_secret_scans": sql.SECRETS,
+    "op11_source_divergence_audit": sql.DIVERGENCE,
+    "op12_exact_dedup": sql.COPIES,
+    "op13_vector_code_compression": sql.CODES,
 }

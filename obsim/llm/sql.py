@@ -110,3 +110,83 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, c
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept_text, '')) END AS kept_sha256
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) n ON d.doc_id = n.doc_id
 LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+
+COPIES = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+per_doc AS MATERIALIZED (
+  SELECT lang, source, doc_id, term, count(*) AS n
+  FROM (SELECT lang, source, doc_id, unnest(terms) AS term FROM docs) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM per_doc GROUP BY ALL HAVING count(DISTINCT doc_id) >= 30),
+counts AS MATERIALIZED (
+  SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM per_doc SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(v.kinds, 0) AS kinds, coalesce(v.total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) t ON g.lang = t.lang AND g.source = t.source
+  LEFT JOIN (SELECT lang, count(*) AS kinds, sum(n) AS total FROM kept GROUP BY ALL) v ON g.lang = v.lang),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.kinds) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 5)) // (g.lang_total + 5 * g.kinds) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4, width: int = 16) -> str:
+    """The rounds written out, each an assignment and an update; vectors of ``parts * width`` components."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, pos, part, best.entry AS entry, best.d AS d FROM (
+    SELECT p.r, p.pos, any_value(p.part) AS part, min({{'d': CAST(p.norm - 2 * list_inner_product(p.num, b.num) + b.norm AS BIGINT), 'entry': b.entry}}) AS best
+    FROM parts p JOIN b{k} b USING (pos) GROUP BY p.r, p.pos)),""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (
+  SELECT pos, entry, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT pos, entry, unnest(part) AS x, unnest(range(1, {width + 1})) AS i FROM a{k}) GROUP BY ALL),
+n{k} AS (SELECT pos, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS part FROM s{k} GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (
+  SELECT *, CAST(part AS DOUBLE[]) AS num, list_inner_product(CAST(part AS DOUBLE[]), CAST(part AS DOUBLE[])) AS norm
+  FROM (SELECT pos, entry, coalesce(n.part, b.part) AS part FROM b{k} b LEFT JOIN n{k} n USING (pos, entry))),""")
+    return f"""
+WITH whole AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT r, pos, w[pos * {width} + 1:(pos + 1) * {width}] AS part FROM whole, range({parts}) t(pos)),
+parts AS MATERIALIZED (
+  SELECT *, CAST(part AS DOUBLE[]) AS num, list_inner_product(CAST(part AS DOUBLE[]), CAST(part AS DOUBLE[])) AS norm FROM cut),
+b0 AS MATERIALIZED (SELECT pos, r - 1 AS entry, part, num, norm FROM parts WHERE r <= {entries}),{"".join(steps)}
+digest AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos, entry, i)) AS codebooks_sha256
+  FROM (SELECT pos, entry, unnest(part) AS x, unnest(range({width})) AS i FROM b{rounds})),
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM whole JOIN coded USING (r), digest"""
+
+
+CODES = _codes()
