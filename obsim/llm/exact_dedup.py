@@ -43,7 +43,10 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differs = pc.or_(pc.not_equal(digest[1:], digest[:-1]), pc.not_equal(length[1:], length[:-1]))
         starts = np.concatenate([[0], np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1])
         sizes = np.add.reduceat(batch.column("size").to_numpy(), starts)
-        merged = batch.take(pa.array(starts)).set_column(batch.schema.get_field_index("size"), "size", pa.array(sizes))
+        first = batch.take(pa.array(starts))
+        # The schema of the batch, for batches of a stream must agree down to nullability.
+        columns = [pa.array(sizes) if c == "size" else first.column(c) for c in batch.schema.names]
+        merged = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
         held = merged.slice(len(starts) - 1)
         if len(starts) > 1:
             yield merged.slice(0, len(starts) - 1)

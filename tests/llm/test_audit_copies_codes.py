@@ -60,7 +60,9 @@ def test_entries_are_folded_across_batches():
     rng = random.Random(3)
     rows = sorted((bytes([rng.randint(0, 5)]), rng.randint(0, 1), -i, 0, rng.randint(1, 3), 0) for i in range(200))
     names = [*exact_dedup._ENTRY, "slot"]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at:at + n])], names) for at, n in ((0, 1), (1, 60), (61, 1), (62, 138))]
+    kinds = (pa.binary(), *[pa.int64()] * 5)
+    schema = pa.schema([pa.field(c, k, nullable=c != "size") for c, k in zip(names, kinds)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at:at + n]), kinds)], schema=schema) for at, n in ((0, 1), (1, 60), (61, 1), (62, 138))]
     out = [r for b in exact_dedup.fold(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
     wanted = {}
     for digest, length, own, row, size, slot in rows:
