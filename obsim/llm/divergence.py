@@ -1,7 +1,7 @@
 """Source divergence audit by single-pass in-memory indexing.
 
-Each task reads its documents once and counts terms by language and source in memory; when the block is full, its
-postings are spilled as a run sorted by term. Runs go to hash shards of (language, term), are merged there, and every
+Each task reads its documents once and builds the postings of a block of them in memory, terms counted by language and
+source; when the block is full, they are spilled as a run sorted by term. Runs go to hash shards of (language, term), are merged there, and every
 term becomes one row with its postings, which drops the rare terms. What follows works on that index alone.
 
 The distance of two sources adds up |p - q| over all kept terms of their language, though most terms are missing from
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,8 @@ LEAST_DOCS = 30
 SMOOTHING = 5
 UNIT = 1_000_000_000
 RANKS = 50
-# Postings of a block in memory, about 100 MB with their counts, and bytes of a text that are cut into terms at once.
-BLOCK_POSTINGS = 400_000
-_PIECE = 4 << 20
+# Bytes of the texts of a block; indexing takes about ten times as much memory.
+BLOCK_BYTES = 16 << 20
 _BATCH = 20_000
 # Pairs summed up in a task before they are passed on, and sources of a term that are paired at once.
 PAIRS = 1_000_000
@@ -41,7 +41,7 @@ _POSTING = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("source", p
 _POSTING_SQL = "lang string, term binary, source string, count long, docs long"
 
 
-def terms(body: bytes, piece: int = _PIECE) -> Iterator[list[bytes]]:
+def terms(body: bytes, piece: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Terms of a text in UTF-8, a list for each piece of it; pieces end between terms."""
     letters, at = body.translate(_LETTERS), 0
     while at < len(letters):
@@ -51,84 +51,148 @@ def terms(body: bytes, piece: int = _PIECE) -> Iterator[list[bytes]]:
         at = end
 
 
-def block_postings(most: int):
-    """Arrow batches ``(lang, source, text)`` to sorted runs of ``(lang, term, source, count, docs)``.
+def block_run(block: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of a block of documents ``(lang, source, text)``, sorted by term.
 
     An empty term marks every group seen, also those without terms.
     """
+    places: dict[tuple[str, str], int] = {}
+    groups = zip(block.column("lang").to_pylist(), block.column("source").to_pylist())
+    group = np.fromiter((places.setdefault(g, len(places)) for g in groups), np.int64, block.num_rows)
+    # A copy of the column starts at the beginning of its buffers; letters take as many bytes as before.
+    text = pa.concat_arrays([pc.fill_null(block.column("text"), "")])
+    _, ends, body = text.buffers()
+    letters = (body.to_pybytes() if body else b"").translate(_LETTERS)
+    found = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(text), ends, pa.py_buffer(letters)))
+    doc = np.repeat(np.arange(len(text)), np.diff(found.offsets.to_numpy()))
+    coded = found.flatten().cast(pa.binary()).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    names = coded.dictionary.take(pa.array(order))
+    blank = len(names) and not len(names[0].as_buffer())  # splits leave empty terms at the ends of a text
+    own = rank[coded.indices.to_numpy()]
+    pairs, times = np.unique(((doc << 32) | own)[own > 0] if blank else (doc << 32) | own, return_counts=True)
+    key = ((pairs & 0xFFFFFFFF) << 32) | group[pairs >> 32]
+    at = np.argsort(key)
+    key = key[at]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.add.reduceat(times[at], new) if len(new) else new
+    term, source = key[new] >> 32, np.concatenate([np.arange(len(places)), key[new] & 0xFFFFFFFF])
+    none, seen = np.zeros(len(places), np.int64), [pa.array(x, pa.string()) for x in zip(*places)]
+    return pa.RecordBatch.from_arrays([
+        seen[0].take(pa.array(source)), pa.concat_arrays([pa.array([b""] * len(places), pa.binary()), names.take(pa.array(term))]),
+        seen[1].take(pa.array(source)), pa.array(np.concatenate([none, count]).astype(np.int64)),
+        pa.array(np.concatenate([none, np.diff(new, append=len(key))]).astype(np.int64)),
+    ], schema=_POSTING)
+
+
+def long_run(lang: str, source: str, body: bytes, piece: int) -> pa.RecordBatch:
+    """The same for a single text too long for a block, counted piece by piece."""
+    counts = Counter()
+    for found in terms(body, piece):
+        counts.update(found)
+    run = sorted(counts)
+    columns = ([lang] * (len(run) + 1), [b"", *run], [source] * (len(run) + 1), [0, *map(counts.__getitem__, run)], [0] + [1] * len(run))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _POSTING)], schema=_POSTING)
+
 
-    def spill(block: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        keys = sorted((lang, term, source) for (lang, source), (counts, _) in block.items() for term in counts)
-        for at in range(0, len(keys), _BATCH):
-            part = keys[at:at + _BATCH]
-            both = [block[lang, source] for lang, _, source in part]
-            columns = [*zip(*part), [c[t] for (c, _), (_, t, _) in zip(both, part)], [d[t] for (_, d), (_, t, _) in zip(both, part)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _POSTING)], schema=_POSTING)
+def block_postings(most: int):
+    """Arrow batches ``(lang, source, text)`` to term-sorted runs of ``(lang, term, source, count, docs)``.
+
+    Documents are collected until their texts fill ``most`` bytes, then indexed and spilled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
+        parts, held = [], 0
         for batch in batches:
-            groups = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-            for group, text in zip(groups, batch.column("text")):
-                if group not in block:
-                    block[group] = (Counter({b"": 0}), Counter())
-                    held += 1
-                counts, docs = block[group]
-                before, seen = len(counts), set()
-                for found in terms(text.as_buffer().to_pybytes() if text.is_valid else b""):
-                    counts.update(found)
-                    seen.update(found)
-                docs.update(seen)
-                held += len(counts) - before
-                if held >= most:
-                    yield from spill(block)
-                    block, held = {}, 0
-        yield from spill(block)
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for k in np.flatnonzero(size > most):
+                lang, source, text = (batch.column(c)[int(k)] for c in ("lang", "source", "text"))
+                yield long_run(lang.as_py(), source.as_py(), text.as_buffer().to_pybytes(), most)
+            batch, size = batch.filter(pa.array(size <= most)), size[size <= most]
+            at = 0
+            while at < len(size):
+                upto = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), most - held, side="right")))
+                parts.append(batch.slice(at, upto - at))
+                held += int(size[at:upto].sum())
+                at = upto
+                if held >= most or at < len(size):
+                    yield from _sliced(block_run(pa.concat_batches(parts)))
+                    parts, held = [], 0
+        if parts:
+            yield from _sliced(block_run(pa.concat_batches(parts)))
 
     return run
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield from (batch.slice(at, _BATCH) for at in range(0, batch.num_rows, _BATCH))
+
+
 def index_rows(least_docs: int):
-    """Postings sorted by ``(lang, term, source)`` to one row for each kept term: its documents, count and postings.
+    """Postings sorted by ``(term, lang, source)`` to one row for each kept term: its documents, count and postings.
 
     Postings of one source are added up. A term in fewer documents is dropped; the empty one, with all groups, stays.
+    What waits for the next batch is one term's postings, at most one for each source.
     """
     schema = pa.schema([
         ("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("count", pa.int64()),
         ("postings", pa.list_(pa.struct([("source", pa.string()), ("count", pa.int64())]))),
     ])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, postings, rows = None, 0, {}, []
-
-        def closed() -> None:
-            if key is not None and (docs >= least_docs or not key[1]):
-                listed = [{"source": s, "count": c} for s, c in postings.items()]
-                rows.append({"lang": key[0], "term": key[1], "docs": docs, "count": sum(postings.values()), "postings": listed})
+    def starts(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+        """Places where any of the columns differs from the row before."""
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = False
+        for c in (batch.column(x) for x in names):
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False)
+
+    def folded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = starts(batch, "term", "lang", "source")
+        first = batch.take(pa.array(at))
+        columns = [pa.array(np.add.reduceat(numbers(batch, c), at)) if c in ("count", "docs") else first.column(c) for c in batch.schema.names]
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    def rows(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        docs = np.add.reduceat(numbers(batch, "docs"), at)
+        kept = (docs >= least_docs) | (pc.binary_length(batch.column("term").take(pa.array(at))).to_numpy(zero_copy_only=False) == 0)
+        length = np.diff(at, append=batch.num_rows)
+        own, term = batch.filter(pa.array(np.repeat(kept, length))), batch.take(pa.array(at[kept]))
+        ends = np.concatenate([[0], np.cumsum(length[kept])])
+        total = np.diff(np.concatenate([[0], np.cumsum(numbers(own, "count"))])[ends])
+        postings = pa.StructArray.from_arrays([own.column("source"), own.column("count")], fields=list(schema.field("postings").type.value_type))
+        return pa.RecordBatch.from_arrays(
+            [term.column("lang"), term.column("term"), pa.array(docs[kept]), pa.array(total), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings)],
+            schema.names,
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
         for batch in batches:
-            for lang, term, source, count, n in zip(*(batch.column(c).to_pylist() for c in _POSTING.names)):
-                if key != (lang, term):
-                    closed()
-                    key, docs, postings = (lang, term), 0, {}
-                docs += n
-                postings[source] = postings.get(source, 0) + count
-            if len(rows) >= 2_000:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        closed()
-        yield pa.RecordBatch.from_pylist(rows, schema)
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            if batch.num_rows:
+                batch = folded(batch)
+                at = starts(batch, "term", "lang")
+                held = batch.slice(at[-1])
+                if len(at) > 1:
+                    yield rows(batch.slice(0, at[-1]), at[:-1])
+        if held is not None:
+            yield rows(held, np.array([0]))
 
     return run
 
 
 def frequencies(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-                least_docs: int = LEAST_DOCS, block: int = BLOCK_POSTINGS) -> DataFrame:
+                least_docs: int = LEAST_DOCS, block: int = BLOCK_BYTES) -> DataFrame:
     """The index ``(lang, term binary, docs, count, postings array<struct<source, count>>)``, and a row with an empty term for each lang."""
     read = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     runs = read.mapInArrow(block_postings(block), _POSTING_SQL)
-    merged = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    merged = runs.repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     return merged.mapInArrow(index_rows(least_docs), "lang string, term binary, docs long, count long, postings array<struct<source: string, count: long>>")
 
 
@@ -192,7 +256,7 @@ def pair_corrections(most: int):
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS,
-          ranks: int = RANKS, block: int = BLOCK_POSTINGS, pairs: int = PAIRS) -> DataFrame:
+          ranks: int = RANKS, block: int = BLOCK_BYTES, pairs: int = PAIRS) -> DataFrame:
     """``(lang, source, part, item, value long, rank int)``: how far each source is from the others of its language.
 
     Part ``pair``: for each other source of the language the distance, summed over the terms that at least

@@ -119,8 +119,8 @@ def _sources(seed=5):
     return rows + [("hot word " * 20, "en", "s0")] * 80
 
 
-@pytest.mark.parametrize("least, ranks, block, pairs, piece, side", [(30, 50, 400_000, 1_000_000, 4 << 20, 512), (5, 3, 20, 4, 7, 2), (1, 50, 1, 1, 1, 1)])
-def test_divergence_matches_brute_force(spark, monkeypatch, least, ranks, block, pairs, piece, side):
+@pytest.mark.parametrize("least, ranks, block, pairs, side", [(30, 50, divergence.BLOCK_BYTES, 1_000_000, 512), (5, 3, 700, 4, 2), (1, 50, 1, 1, 1)])
+def test_divergence_matches_brute_force(spark, monkeypatch, least, ranks, block, pairs, side):
     monkeypatch.setattr(divergence, "_SIDE", side)
     rows = _sources()
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "text string, lang string, source string, no long, `__x` string").repartition(5)
@@ -137,6 +137,29 @@ def test_terms_do_not_depend_on_the_piece():
     assert list(divergence.terms(b"")) == []
 
 
+@pytest.mark.parametrize("most", [1, 50, 400, 10**6])
+def test_runs_of_any_block_add_up_to_the_same_postings(most):
+    import pyarrow as pa
+
+    rows = [tuple(x or "" for x in r) for r in _sources()][:150] + [("", "xx", "no terms"), ("1 2", "xx", "no terms")]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 0)], ["lang", "source", "text"])
+    wanted, docs = collections.Counter(), collections.Counter()
+    for text, lang, source in rows:
+        found = [t.decode() for part in divergence.terms(text.encode()) for t in part]
+        wanted.update((lang, source, t) for t in found)
+        docs.update({(lang, source, t) for t in found})
+    got, held, groups = collections.Counter(), collections.Counter(), set()
+    for run in divergence.block_postings(most)(iter([whole.slice(0, 3), whole.slice(3, 0), whole.slice(3)])):
+        names = run.column("term").to_pylist()
+        assert names == sorted(names)
+        for lang, term, source, n, d in zip(*(c.to_pylist() for c in run.columns)):
+            if term:
+                got[lang, source, term.decode()] += n
+                held[lang, source, term.decode()] += d
+            groups.add((lang, source))
+    assert got == wanted and held == docs and groups == {r[1:] for r in rows}
+
+
 def test_pair_corrections_are_bounded_and_whole(monkeypatch):
     import pyarrow as pa
 
