@@ -10,6 +10,7 @@ from ..operators.aggregates import message_kinds
 from ..session import scratch_path, stage
 from ..sources import catalog as C
 from ..sources import consolidate as K
+from ..sources import manifest as M
 from ..sources import scan as SN
 from ..streaming import incremental as I
 from . import roles
@@ -31,6 +32,13 @@ def yearly(t):
     )
 
 
+def _experiment_files(df, path: str, mode: str = "error") -> str:
+    """One file for each experiment and namespace, by a single job."""
+    keys = ["crop", "exp_id", "namespace"]
+    df.repartition(*keys).write.mode(mode).option("sep", ";").option("header", True).partitionBy(*keys).csv(path)
+    return path
+
+
 def _result_files(t, label: str, compression: str | None = None) -> str:
     path = scratch_path(t.spark, label)
     K.write_delimited(yearly(t), path, ";", compression=compression)
@@ -182,17 +190,11 @@ WITH {_YEARLY_SQL}
 SELECT crop, exp_id, regexp_replace(exp_id, '__.*$', '') AS climate, regexp_replace(exp_id, '^.*__', '') AS soil, true AS has_files, count(*) AS n_rows
 FROM yearly WHERE exp_id LIKE '%__S0' OR exp_id LIKE '%__S1' GROUP BY 1, 2""")
 def _(t):
-    path = scratch_path(t.spark, "tree")
-    # At most 45 experiments: three order states, five priorities and three soils.
-    rows = stage(yearly(t), "runs")
-    for crop, exp in sorted((r.crop, r.exp_id) for r in rows.select("crop", "exp_id").distinct().collect()):
-        own = rows.filter((F.col("crop") == crop) & (F.col("exp_id") == exp)).coalesce(1)
-        K.write_delimited(own, f"{path}/{crop}/runs/{exp}/out/{exp}/yearly")
-        if exp.endswith("S0"):
-            # A trial run's namespace, to be ignored.
-            K.write_delimited(own, f"{path}/{crop}/runs/{exp}/out/SMOKE_{exp}/yearly")
-    files = C.file_catalog(t.spark, path, "*.csv")
-    found = C.runs(files, soils=["S0", "S1"]).groupBy("crop", "exp_id", "climate", "soil").agg(
+    own = yearly(t).withColumn("namespace", F.col("exp_id"))
+    # Trial runs have a namespace of their own, to be ignored.
+    trial = own.filter(F.col("exp_id").endswith("S0")).withColumn("namespace", F.concat(F.lit("SMOKE_"), F.col("exp_id")))
+    files = C.file_catalog(t.spark, _experiment_files(own.unionByName(trial), scratch_path(t.spark, "tree")), "*.csv")
+    found = C.runs(files, soils=["S0", "S1"], layout=C.RUN_PARTITIONS).groupBy("crop", "exp_id", "climate", "soil").agg(
         (F.count(F.lit(1)) > 0).alias("has_files"))
     n = yearly(t).groupBy("crop", "exp_id").agg(F.count(F.lit(1)).alias("n_rows"))
     return found.join(n, ["crop", "exp_id"])
@@ -206,6 +208,45 @@ def _(t):
     return K.consolidate(src, scratch_path(t.spark, "consolidated"), ["crop", "exp_id"], ["Location", "Year", "HarvestDATE"])
 
 
+@query("consolidation_in_versions", "SNK-3 SNK-4 SNK-5 PIP-19 AGG-35", f"""
+WITH {_YEARLY_SQL},
+e AS (SELECT crop, exp_id, count(*) FILTER (crop = 'F' OR Year < 1998) AS n_rows, bool_or(crop = 'F' AND Year >= 1998) AS changed,
+      bool_or(Year < 1998) AS before FROM yearly GROUP BY 1, 2)
+SELECT crop, exp_id, CASE WHEN before THEN 'written' ELSE '' END AS first_status, CASE WHEN changed THEN 'written' ELSE 'skipped' END AS second_status,
+  n_rows, n_rows AS n_rows_named, true AS has_bytes FROM e WHERE before OR changed
+UNION ALL SELECT DISTINCT crop, 'twoHeads', '', 'error', 0, 0, false FROM yearly""")
+def _(t):
+    # Files of two namespaces, so that what the catalog leaves out is seen to stay out.
+    src, store = scratch_path(t.spark, "experiments"), scratch_path(t.spark, "store")
+    rows = yearly(t).withColumn("namespace", F.col("exp_id"))
+    layout, order = C.RUN_PARTITIONS, ["Location", "Year", "HarvestDATE"]
+
+    def run():
+        files = C.runs(C.file_catalog(t.spark, src, "*.csv"), layout=layout)
+        return stage(K.consolidate_release(t.spark, files, store, YEARLY, order, layout=layout), "run")
+
+    _experiment_files(rows.filter("Year < 1998"), src)
+    _experiment_files(rows.filter("Year < 1998").withColumn("namespace", F.concat(F.lit("SMOKE_"), F.col("exp_id"))), src, "append")
+    first = run()
+    # More files for one crop, and an experiment whose files disagree.
+    _experiment_files(rows.filter("Year >= 1998 and crop = 'F'"), src, "append")
+    bad = rows.withColumns({"exp_id": F.lit("twoHeads"), "namespace": F.lit("twoHeads")})
+    _experiment_files(bad, src, "append")
+    _experiment_files(bad.withColumnRenamed("Year", "Season"), src, "append")
+    second = run()
+    # What an interrupted run has written belongs to no version.
+    lost = yearly(t).withColumn("release", F.lit("lost"))
+    lost.write.mode("append").partitionBy("release", "crop", "exp_id").parquet(f"{store}/data")
+    seen = M.read_data(t.spark, store, ["crop", "exp_id"]).groupBy("crop", "exp_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    named = M.read_manifest(t.spark, store).select("crop", "exp_id", F.col("n_rows").alias("n_rows_named"), (F.col("out_bytes") > 0).alias("has_bytes"))
+    status = second.select("crop", "exp_id", F.col("status").alias("second_status")).join(
+        first.select("crop", "exp_id", F.col("status").alias("first_status")), ["crop", "exp_id"], "left")
+    return status.join(seen, ["crop", "exp_id"], "left").join(named, ["crop", "exp_id"], "left").select(
+        "crop", "exp_id", F.coalesce("first_status", F.lit("")).alias("first_status"), "second_status",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_rows_named")], F.coalesce("has_bytes", F.lit(False)).alias("has_bytes"),
+    )
+
+
 @query("headers_agree", "ASR-1", """
 SELECT 'Location;Year;HarvestDATE;Yield_t_ha;crop;exp_id' AS header, count(*) AS n_rows FROM orders""")
 def _(t):

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.text import after_last, base_name, before_last
 
 
+# Crop, experiment and namespace in the path of a result file; the same as partition folders.
+RUN_FOLDER = r"/([^/]+)/runs/([^/]+)/out/([^/]+)/yearly/([^/]+)$"
+RUN_PARTITIONS = r"/crop=([^/]+)/exp_id=([^/]+)/namespace=([^/]+)/([^/]+)$"
+
+
 def file_catalog(spark: SparkSession, root: str | Sequence[str], pattern: str = "*") -> DataFrame:
     """path, name, length and modification time of files below a root; contents are not read."""
     paths = [root] if isinstance(root, str) else list(root)
@@ -26,9 +31,9 @@ def yearly_files(catalog: DataFrame, pattern: str = r"^(\d+)_yearly\.csv$") -> D
     )
 
 
-def runs(catalog: DataFrame, crops: Sequence[str] = (), climates: Sequence[str] = (), soils: Sequence[str] = ()) -> DataFrame:
-    """Experiment files ``<crop>/runs/<exp>/out/<namespace>/yearly/<file>``, own namespace only."""
-    layout = r"/([^/]+)/runs/([^/]+)/out/([^/]+)/yearly/([^/]+)$"
+def runs(catalog: DataFrame, crops: Sequence[str] = (), climates: Sequence[str] = (), soils: Sequence[str] = (),
+         layout: str = RUN_FOLDER) -> DataFrame:
+    """Experiment files ``<crop>/runs/<exp>/out/<namespace>/yearly/<file>`` or of another layout, own namespace only."""
 
     def part(i: int) -> Column:
         return F.regexp_extract("path", layout, i)

@@ -1,6 +1,8 @@
 """Every registered query against its oracle on the smallest tables."""
 
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -43,3 +45,11 @@ def test_every_inventory_row_is_covered():
     ids = set(re.findall(r"^\| ([A-Z]{2,3}-[A-Z]?\d+) \|", survey.read_text(), re.M))
     covered = {c for q in QUERIES.values() for c in q.covers}
     assert ids == covered
+
+
+@pytest.mark.parametrize("gone", ["obsim.llm", "xxhash"])
+def test_other_queries_load_without_the_optional_ones(gone):
+    """Without the subpackage, or without a package that it needs."""
+    code = f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES))] * 2
