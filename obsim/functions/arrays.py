@@ -51,3 +51,12 @@ def changed_indices(old: Column | str, new: Column | str, atol: float = 1e-12) -
         ),
     )
     return F.filter(flags, lambda i: i.isNotNull())
+
+
+def count_below(sorted_values: Column | str, x: Column | str, most: int) -> Column:
+    """How many of up to ``most`` sorted values are less than ``x``, by binary search."""
+    values, own = as_col(sorted_values), as_col(x)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, most).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(values, low + step - 1) < own, F.lit(False)), low + step).otherwise(low)
+    )

@@ -75,6 +75,20 @@ def value_bounds(
     return F.when(F.abs(x) <= STRUCTURAL_ZERO, pinned).when(x.isNotNull(), bounds)
 
 
+# Largest day number, and difference of days, of a small domain: eleven years.
+MOST_DAYS = 4_000
+
+
+def whole_days(c: Column | str) -> Column:
+    """A column of whole days, null where null or NaN; any other value is an error.
+
+    A map of its values and counts has at most ``2 * MOST_DAYS + 1`` entries, however large the group.
+    """
+    x = as_col(c).cast("double")
+    no_days = F.raise_error(F.concat(F.lit("not whole days, use exact_quantiles: "), x.cast("string"))).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double")).when((x == F.floor(x)) & (F.abs(x) <= MOST_DAYS), x).otherwise(no_days)
+
+
 def edge_bin(c: Column | str, edges: Sequence[float]) -> Column:
     """0-based right-closed bin; the first bin includes its left edge; outside -> null."""
     x = as_col(c)

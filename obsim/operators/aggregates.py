@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import slice_avg, slice_sum
 from ..functions.numeric import (
-    as_col, edge_bin, equal_bin, half_open_edge_bin, histogram_bin, ols_slope, safe_corr,
+    as_col, edge_bin, equal_bin, half_open_edge_bin, histogram_bin, ols_slope, safe_corr, whole_days,
 )
 from ..session import stage
 from .metrics import bias, rmse
@@ -39,8 +39,8 @@ def mean_and_sd(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> Data
 
 
 def small_domain_median(c: Column | str) -> Column:
-    """Exact median of a column with few distinct values, such as days of a year."""
-    return F.percentile(as_col(c), F.lit(0.5))
+    """Exact median of whole days; other values are an error (see ``whole_days``)."""
+    return F.percentile(whole_days(c), F.lit(0.5))
 
 
 def group_median_or_global(df: DataFrame, by: Sequence[str], value: str, name: str) -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,11 @@
 """Exact grouped quantiles that never hold one large group's values in one task.
 
-Spark's ``percentile`` keeps a value -> count map per group. That is fine where
-the domain is small (days of a year: at most a few hundred values, merged map
-side), and the operators use it there. For continuous values the map grows with
-the group, so ``exact_quantiles`` works on a staged table of distinct values and
-counts. Groups below a checked size are ranked directly. A larger group is first
-narrowed: approximate cut points split it into near-equal slices, slice counts
-locate the wanted ranks, and only the slices that hold them are sorted.
+Spark's ``percentile`` keeps a value -> count map per group, so the operators use it on whole days alone (see
+``whole_days``). For continuous values ``exact_quantiles`` selects by rank in rounds over a staged table of distinct
+values and counts. A slice is a closed range of values that holds a wanted rank; at first it is the whole group. While a
+slice holds more values than a task is meant to sort, approximate cut points divide it, the parts are counted, and the
+parts that hold a wanted rank are the slices of the next round. What remains is ranked directly. Groups that are small
+from the start take no part in the rounds.
 """
 
 from __future__ import annotations
@@ -16,12 +15,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import count_below
 from ..session import stage
 
-# Distinct values one group may have to be sorted whole in a task.
-WHOLE_GROUP = 200_000
-# Slices of a larger group.
-SLICES = 256
+# Distinct values that a task sorts, and most cut points of a round. Three rounds reach 10^13 values.
+TASK_VALUES = 200_000
+MOST_CUTS = 1_024
+_ROUNDS = 32
 
 
 def exact_quantiles(
@@ -29,8 +29,8 @@ def exact_quantiles(
     by: Sequence[str],
     values: Mapping[str, Column | str],
     probs: Sequence[float],
-    whole_group: int = WHOLE_GROUP,
-    slices: int = SLICES,
+    task_values: int = TASK_VALUES,
+    most_cuts: int = MOST_CUTS,
 ) -> DataFrame:
     """One row per key with ``array<double>`` of linear-interpolated quantiles per value.
 
@@ -53,18 +53,7 @@ def exact_quantiles(
         flat.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n")),
         "values",
     )
-    sizes = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_total"))
-    largest = sizes.agg(F.max("_k").alias("k")).first().k or 0
-    if largest <= whole_group:
-        kept = counts.withColumn("_b", F.lit(0)).withColumn("_below", F.lit(0).cast("bigint"))
-        hits = _ranked(kept, [*g, "_b"]).join(
-            *_null_safe(sizes.drop("_k"), g)
-        ).drop(*[f"_r_{k}" for k in g])
-        hits = hits.select(*g, "_v", "_start", "_end", F.explode(_ranks(probs)).alias("_w")).select(
-            *g, "_v", "_start", "_end", "_w.*"
-        )
-    else:
-        hits = _sliced_hits(counts, sizes, g, probs, whole_group, slices)
+    hits = _hits(counts, g, probs, task_values, most_cuts)
 
     def at(rank: str) -> Column:
         inside = (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
@@ -90,48 +79,59 @@ def _ranks(probs: Sequence[float]) -> Column:
     return F.array(*[one(i, p) for i, p in enumerate(probs)])
 
 
-def _ranked(df: DataFrame, g: Sequence[str]) -> DataFrame:
-    """Rank interval [_start, _end) of each distinct value inside its group or slice."""
-    within = Window.partitionBy(*g).orderBy("_v")
-    return df.withColumn("_end", F.col("_below") + F.sum("_n").over(within)).withColumn(
-        "_start", F.col("_end") - F.col("_n")
+def _hits(counts: DataFrame, g: Sequence[str], probs: Sequence[float], task_values: int, most_cuts: int) -> DataFrame:
+    """Values at and around the wanted ranks, with their rank interval [_start, _end)."""
+    whole = counts.groupBy(*g).agg(
+        F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_total")
     )
-
-
-def _sliced_hits(
-    counts: DataFrame, sizes: DataFrame, g: Sequence[str], probs: Sequence[float], whole_group: int, slices: int
-) -> DataFrame:
-    """Ranked values of the slices that hold a wanted rank."""
-    grid = [i / slices for i in range(1, slices)]
-    # The approximate cuts depend on merge order, and two branches below use them,
-    # so they are fixed once (one short row per key) before slicing. Groups small
-    # enough to be sorted whole stay in one slice.
-    cuts = stage(
-        counts.groupBy(*g).agg(
-            F.array_distinct(F.percentile_approx("_v", grid, 10000)).alias("_c"),
-            F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_total"),
-        ).select(*g, "_total", F.when(F.col("_k") > whole_group, F.col("_c")).otherwise(F.array().cast("array<double>")).alias("_cuts")),
-        "cuts",
+    whole = whole.select(*g, "_first", "_last", F.lit(0).cast("bigint").alias("_below"), "_k", _ranks(probs).alias("_want"))
+    slices = stage(whole, "slices")
+    small = slices.filter(F.col("_k") <= task_values)
+    for _ in range(_ROUNDS):
+        large = slices.filter(F.col("_k") > task_values)
+        longest = large.agg(F.max("_k").alias("k")).first().k
+        if longest is None:
+            break
+        slices = stage(_narrowed(counts, large, g, min(most_cuts, 2 * -(-longest // task_values))), "slices")
+        small = small.unionByName(slices.filter(F.col("_k") <= task_values))
+    else:
+        raise RuntimeError("a slice does not get smaller")
+    rows = _inside(counts, small, g, "_below", "_want")
+    within = Window.partitionBy(*g, "_first").orderBy("_v")
+    end = F.col("_below") + F.sum("_n").over(within)
+    ranked = rows.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_n"))
+    return ranked.select(*g, "_v", "_start", "_end", F.explode("_want").alias("_w")).select(*g, "_v", "_start", "_end", "_w.*")
+
+
+def _inside(counts: DataFrame, slices: DataFrame, g: Sequence[str], *carried: str) -> DataFrame:
+    """Values of the slices. A group has at most two slices for each probability."""
+    right, same = _null_safe(slices.select(*g, "_first", "_last", *carried), g)
+    joined = counts.join(right, same & F.col("_v").between(F.col("_first"), F.col("_last")))
+    return joined.select(*g, "_v", "_n", "_first", *carried)
+
+
+def _narrowed(counts: DataFrame, large: DataFrame, g: Sequence[str], cuts: int) -> DataFrame:
+    """The parts of large slices that hold a wanted rank."""
+    key = [*g, "_first"]
+    grid = [i / cuts for i in range(1, cuts)]
+    # Approximate cuts depend on the order of merging and are used twice, so they are fixed once: a row for each slice.
+    cut = _inside(counts, large, g).groupBy(*key).agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", grid, 10_000))).alias("_cuts"))
+    right, same = _null_safe(cut, key)
+    cut = stage(large.join(right, same).select(*key, "_last", "_below", "_want", "_cuts"), "cuts")
+    parts = _inside(counts, cut, g, "_below", "_want", "_cuts").withColumn("_b", count_below("_cuts", "_v", cuts))
+    # At most as many rows as cuts for a slice.
+    per = parts.groupBy(*key, "_b").agg(
+        F.min("_v").alias("_from"), F.max("_v").alias("_last"), F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_size"),
+        F.first("_below").alias("_below"), F.first("_want").alias("_want"),
     )
-    sliced = counts.join(*_null_safe(cuts, g)).drop(*[f"_r_{k}" for k in g]).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    # At most `slices` rows per key.
-    per = sliced.groupBy(*g, "_b", "_total").agg(F.sum("_n").alias("_size"))
-    below = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
     def holds(rank: Column) -> Column:
         return (rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_size"))
 
-    wanted = (
-        per.withColumn("_below", F.coalesce(F.sum("_size").over(below), F.lit(0)))
-        .withColumn("_want", F.filter(_ranks(probs), lambda r: holds(r["_lo"]) | holds(r["_hi"])))
-        .filter(F.size("_want") > 0).select(*g, "_b", "_below", "_want")
-    )
-    rows = sliced.drop("_total").join(*_null_safe(wanted, [*g, "_b"])).drop(*[f"_r_{k}" for k in [*g, "_b"]])
-    return _ranked(rows, [*g, "_b"]).select(*g, "_v", "_start", "_end", F.explode("_want").alias("_w")).select(
-        *g, "_v", "_start", "_end", "_w.*"
-    )
+    wanted = per.withColumn("_want", F.filter("_want", lambda r: holds(r["_lo"]) | holds(r["_hi"]))).filter(F.size("_want") > 0)
+    return wanted.select(*g, F.col("_from").alias("_first"), "_last", "_below", "_k", "_want")
 
 
 def _null_safe(right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column]:

@@ -8,8 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_col, finite
+from ..functions.numeric import as_col, finite, whole_days
 from .ordered import number_rows
+from .quantiles import exact_quantiles
 
 # ---------------------------------------------------------------- projections
 
@@ -106,15 +107,17 @@ def dropped_windows(
 
 
 def quantile_filter(
-    df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99, by: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99, by: Sequence[str] = (), continuous: bool = False
 ) -> DataFrame:
     """Keep rows inside the closed quantile range of every column, per group.
 
-    Made for bounded integer domains such as days of the year: the exact
-    quantiles come from a value -> count map that Spark merges map side.
+    Columns are whole days, whose value -> count maps are bounded (another value is an error), or ``continuous``.
     """
-    spec = [F.percentile(F.col(c), F.array(F.lit(lo), F.lit(hi))).alias(f"_q_{c}") for c in cols]
-    bounds = df.groupBy(*by).agg(*spec) if by else df.agg(*spec)
+    if continuous:
+        bounds = exact_quantiles(df, by, {f"_q_{c}": c for c in cols}, [lo, hi])
+    else:
+        spec = [F.percentile(whole_days(c), F.array(F.lit(lo), F.lit(hi))).alias(f"_q_{c}") for c in cols]
+        bounds = df.groupBy(*by).agg(*spec) if by else df.agg(*spec)
     joined = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))
     test = F.lit(True)
     for c in cols:

@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import in_range, ols_slope
+from ..functions.numeric import in_range, ols_slope, whole_days
 from ..operators import aggregates as A
 from ..operators.metrics import agreement
 from ..operators.quantiles import exact_quantiles
@@ -71,7 +71,7 @@ def phenology_structure(df: DataFrame, latitude: str | None = None) -> DataFrame
     lat = F.col(latitude) if latitude else F.lit(None).cast("double")
 
     def iqr(c: Column) -> Column:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
+        q = F.percentile(whole_days(c), F.array(F.lit(0.25), F.lit(0.75)))
         return q[1] - q[0]
 
     return df.agg(
@@ -79,8 +79,8 @@ def phenology_structure(df: DataFrame, latitude: str | None = None) -> DataFrame
         F.count_distinct("PointID").alias("n_locations"),
         F.min("harvest_year").alias("first_year"),
         F.max("harvest_year").alias("last_year"),
-        F.percentile(f, F.lit(0.5)).alias("flowering_bias_median"),
-        F.percentile(d, F.lit(0.5)).alias("duration_bias_median"),
+        A.small_domain_median(f).alias("flowering_bias_median"),
+        A.small_domain_median(d).alias("duration_bias_median"),
         iqr(f).alias("flowering_bias_iqr"),
         iqr(d).alias("duration_bias_iqr"),
         ols_slope(f, "flowering_doy").alias("warmth_slope"),

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from obsim.operators import ordered, quantiles, relational, sampling, series, shape, spatial
+from obsim.operators import aggregates, ordered, quantiles, relational, sampling, series, shape, spatial
 
 
 def skewed(n=6000, seed=1):
@@ -67,17 +67,35 @@ def test_previous_row_keeps_null_values(spark):
     assert got == {1: None, 2: 5.0, 3: None}
 
 
-@pytest.mark.parametrize("whole_group", [10, 100_000])
-def test_exact_quantiles(spark, whole_group):
+@pytest.mark.parametrize("task_values, most_cuts, rounds", [(10, 8, 3), (2, 2, 7), (500, 8, 1), (100_000, 8, 0)])
+def test_exact_quantiles(spark, monkeypatch, task_values, most_cuts, rounds):
     pdf = skewed(4000)
     pdf.loc[pdf.id % 5 == 0, "v"] = 0.25  # a hot value
+    pdf.loc[pdf.id % 977 == 0, "v"] = 1e300  # far from all others
     pdf["k"] = pdf.k.astype("object").where(pdf.id % 11 != 0, None)
     sdf = spark.createDataFrame(pdf, "k int, t long, id long, v double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r.k: r.q for r in quantiles.exact_quantiles(sdf, ["k"], {"q": "v"}, probs, whole_group, 16).collect()}
+    ran, narrow, sorted_rows = [], quantiles._narrowed, []
+    monkeypatch.setattr(quantiles, "_narrowed", lambda counts, large, g, cuts: ran.append(cuts) or narrow(counts, large, g, cuts))
+    inside = quantiles._inside
+    monkeypatch.setattr(quantiles, "_inside", lambda *a: sorted_rows.append(inside(*a)) or sorted_rows[-1])
+    got = {r.k: r.q for r in quantiles.exact_quantiles(sdf, ["k"], {"q": "v"}, probs, task_values, most_cuts).collect()}
     for k, part in pdf.groupby("k", dropna=False):
         want = np.quantile(part.v, probs)
         assert np.allclose(got[None if pd.isna(k) else int(k)], want), k
+    assert len(ran) >= rounds and (len(ran) > 0) == (rounds > 0) and all(c <= most_cuts for c in ran)
+    # No slice that is ranked holds more values than a task is meant to sort.
+    assert sorted_rows[-1].groupBy("k", "_m", "_first").count().agg({"count": "max"}).first()[0] <= task_values
+
+
+def test_medians_of_days_are_bounded(spark):
+    df = spark.createDataFrame([(1, 3.0, 0.1), (1, 5.0, 0.7), (1, None, 9.5), (1, float("nan"), 0.2)], "k int, day double, x double")
+    assert df.agg(aggregates.small_domain_median("day").alias("m")).first().m == 4.0
+    for bad in (F.col("x"), F.col("day") + 5_000):
+        with pytest.raises(Exception, match="not whole days"):
+            df.agg(aggregates.small_domain_median(bad)).collect()
+    kept = relational.quantile_filter(df, ["x"], 0.25, 0.75, ["k"], continuous=True)
+    assert sorted(r.x for r in kept.collect()) == [0.2, 0.7]
 
 
 def test_exact_quantiles_skip_nan_and_empty(spark):
