@@ -12,6 +12,8 @@ from ..operators import spatial as SP
 from ..operators.aggregates import coverage
 from ..operators.ordered import number_rows
 from ..operators.sampling import stratified_two_phase
+from ..session import scratch_path
+from ..sources import scan as SN
 from . import roles
 from .registry import query, rnd, rounded
 from .roles import POINTS_SQL
@@ -128,6 +130,43 @@ def _(t):
     return two.dropna(subset=["district"]).select("location", "district", "state")
 
 
+def _feature(t):
+    """GeoJSON features of nations: a diamond with a hole and a part of its own, at level 3, and a plain one at level 1."""
+    k = F.col("n_nationkey")
+    cx, cy = F.lit(6.5) + F.lit(2.0) * (k % 5), F.lit(47.5) + F.lit(2.0) * F.floor(k / 5)
+
+    def ring(radius: float, dx: float = 0.0):
+        corners = [(-radius, 0), (0, -radius), (radius, 0), (0, radius), (-radius, 0)]
+        return F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit("["), (cx + dx + a).cast("string"), F.lit(","), (cy + b).cast("string"), F.lit("]")) for a, b in corners]), F.lit("]"))
+
+    def feature(level: int, kind: str, coordinates):
+        return F.concat(
+            F.lit('{"type":"Feature","properties":{"NAME":"'), F.col("n_name"), F.lit(f'","LEVL_CODE":{level}}},"geometry":{{"type":"{kind}","coordinates":'),
+            coordinates, F.lit("}}"))
+
+    parts = F.concat(F.lit("[["), ring(1.0123), F.lit(","), ring(0.4041), F.lit("],["), ring(0.3017, 1.5), F.lit("]]"))
+    both = F.array(feature(3, "MultiPolygon", parts), feature(1, "Polygon", F.concat(F.lit("["), ring(3.0317), F.lit("]"))))
+    return t.nation.select(F.explode(both).alias("value"))
+
+
+@query("districts_with_holes_and_parts", "JN-8 SRC-13 PIP-7", f"""
+WITH {POINTS_SQL}, {_DIAMOND_SQL}
+SELECT location, a.n_name AS district, b.n_name AS state FROM points
+JOIN poly a ON (abs(lon - a.cx) + abs(lat - a.cy) <= 10123e-4 AND abs(lon - a.cx) + abs(lat - a.cy) > 4041e-4) OR abs(lon - a.cx - 15e-1) + abs(lat - a.cy) <= 3017e-4
+JOIN poly b ON abs(lon - b.cx) + abs(lat - b.cy) <= 30317e-4""")
+def _(t):
+    path = scratch_path(t.spark, "districts")
+    _feature(t).write.text(path)
+    shapes = SN.scan_polygons(t.spark, path, ["NAME", "LEVL_CODE"])
+
+    def level(code: str, name: str):
+        return shapes.filter(F.col("LEVL_CODE") == code).select(F.col("NAME").alias(name), "rings")
+
+    p = roles.points(t).select("location", "lon", "lat")
+    placed = SP.points_in_polygons(p, level("3", "district"), "lon", "lat", "rings")
+    return SP.points_in_polygons(placed, level("1", "state"), "lon", "lat", "rings").dropna(subset=["district", "state"]).select("location", "district", "state")
+
+
 _PIXELS_SQL = """px AS (SELECT CAST(p_partkey % 40 AS INTEGER) AS ix, CAST((p_partkey // 40) % 25 AS INTEGER) AS iy, DATE '2017-01-01' + CAST(p_partkey // 1000 AS INTEGER) AS date, p_size / 1e0 AS value FROM part),
 px_at AS (SELECT location, CAST(greatest(0, least(39, floor(lon / 25e-2 - 6e0 / 25e-2 + 5e-1))) AS INTEGER) AS ix,
        CAST(greatest(0, least(24, floor(lat / 32e-2 - 47e0 / 32e-2 + 5e-1))) AS INTEGER) AS iy FROM points)"""

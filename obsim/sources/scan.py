@@ -111,6 +111,20 @@ def scan_grid_json(spark: SparkSession, path: str, whole_files: bool = False) ->
     )
 
 
+def scan_polygons(spark: SparkSession, path: str, properties: Sequence[str] = ("name",)) -> DataFrame:
+    """Named properties (as text) and ``rings array<array<struct<x, y>>>`` of GeoJSON features, one on each line.
+
+    All rings of a polygon or multipolygon come in one array, holes and parts alike. Features without such a geometry
+    are left out.
+    """
+    kind, body = F.get_json_object("value", "$.geometry.type"), F.get_json_object("value", "$.geometry.coordinates")
+    one = F.from_json(F.when(kind == "Polygon", body), "array<array<array<double>>>")
+    many = F.flatten(F.from_json(F.when(kind == "MultiPolygon", body), "array<array<array<array<double>>>>"))
+    rings = F.transform(F.coalesce(one, many), lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
+    names = [F.get_json_object("value", f"$.properties.{p}").alias(p) for p in properties]
+    return spark.read.text(path).select(*names, rings.alias("rings")).filter("rings is not null")
+
+
 def scan_params_xml(spark: SparkSession, path: str, row_tag: str = "crop", set_id: str = "_name") -> DataFrame:
     """``(set_id, param, idx, value)`` of parameter sets; a scalar has index 0."""
     value_list = T.ArrayType(T.DoubleType())
