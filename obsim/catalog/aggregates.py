@@ -397,9 +397,8 @@ SELECT vec_id, {rnd('list_sum(list_transform(embedding[1:10], lambda x: CAST(x A
        {rnd('list_sum(list_transform(embedding[10:15], lambda x: CAST(x AS DOUBLE)))')} AS mid_sum,
        {rnd('list_avg(list_transform(embedding[16:25], lambda x: CAST(x AS DOUBLE)))')} AS low_avg FROM embeddings""")
 def _(t):
-    sums = A.layer_slices(t.embeddings, ["vec_id"], "embedding", {"top_sum": (1, 10), "mid_sum": (10, 15)})
-    avgs = A.layer_slices(t.embeddings, ["vec_id"], "embedding", {"low_avg": (16, 25)}, "avg")
-    return rounded(sums.join(avgs, "vec_id"))
+    layers = {"top_sum": (1, 10), "mid_sum": (10, 15), "low_avg": (16, 25, "avg")}
+    return rounded(A.layer_slices(t.embeddings, ["vec_id"], "embedding", layers))
 
 
 @query("coverage_and_drift", "AGG-34", """
@@ -411,11 +410,15 @@ def _(t):
 
 
 @query("single_window_span", "AGG-33", """
-SELECT l_returnflag, count(DISTINCT l_linenumber - l_linenumber) AS n_spans, min(l_linenumber - l_linenumber) AS span FROM lineitem GROUP BY 1""")
-def _(t):
-    zero = F.col("l_linenumber") - F.col("l_linenumber")
-    span = R.assert_single_value(t.lineitem, zero, "window span")
-    return t.lineitem.groupBy("l_returnflag").agg(F.count_distinct(zero).alias("n_spans"), F.lit(span).alias("span"))
+WITH w AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)
+SELECT l_suppkey, count(*) AS n_rows, (SELECT max(n) FROM w) AS span, count(*) // (SELECT max(n) FROM w) AS n_windows
+FROM lineitem WHERE (SELECT count(DISTINCT n) FROM w) = 1 GROUP BY 1""")
+def _(t):
+    # Windows must have one length: here the nations of a region, five in each.
+    lengths = t.nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    span = R.assert_single_value(lengths, F.col("n"), "window span")
+    rows = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.select("l_suppkey", "n_rows", F.lit(span).cast("long").alias("span"), F.floor(F.col("n_rows") / span).alias("n_windows"))
 
 
 @query("run_summary_counters", "AGG-35", """

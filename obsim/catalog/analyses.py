@@ -90,7 +90,7 @@ r AS (SELECT sqrt(avg(pow(LAI_sim - LAI, 2))) AS d, count(*) AS n, count(DISTINC
 WITH {CANOPY_SQL}, {_CANOPY_LOSS}
 SELECT {rnd('loss')} AS loss, {rnd('bias')} AS bias, n_groups, {rnd('d')} AS rmse_daily, n AS n_pairs, l AS locations FROM g, r""")
 def _(t):
-    return rounded(V.canopy_loss(canopy(t), STAGE_EDGES))
+    return rounded(V.canopy_score(roles.daily_canopy(t), roles.obs_canopy(t), STAGE_EDGES))
 
 
 @query("stage_evaluation", "PIP-17 AGG-18", f"""

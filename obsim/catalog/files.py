@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators.aggregates import message_kinds
+from ..plans import views as V
 from ..session import scratch_path, stage
 from ..sources import catalog as C
 from ..sources import consolidate as K
@@ -339,3 +340,28 @@ def _(t):
 @query("non_empty_pairs", "ASR-2", f"WITH {SIM_SQL} SELECT count(*) AS n FROM sim")
 def _(t):
     return R.assert_not_empty(roles.sim_yearly(t), "pairs").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("empty_matches_are_errors", "ASR-2", f"""
+WITH {SIM_SQL}
+SELECT 'canopy pairs' AS view, 'no canopy pairs matched' AS message, (SELECT count(*) FROM sim) AS n UNION ALL
+SELECT 'phenology pairs', 'no phenology pairs matched', (SELECT count(*) FROM sim) UNION ALL
+SELECT 'yield pairs', 'no yield pairs matched', (SELECT count(*) FROM sim)""")
+def _(t):
+    # Observations of places that no simulation has: every score must refuse them.
+    away = {c: F.lit(-1).cast("long") for c in ("location", "PointID")}
+    canopy, phen = roles.obs_canopy(t), roles.obs_phenology(t)
+    scores = {
+        "canopy pairs": lambda: V.canopy_score(roles.daily_canopy(t), canopy.withColumns({c: v for c, v in away.items() if c in canopy.columns}), [0.0, 1.0, 2.0]),
+        "phenology pairs": lambda: V.phenology_score(roles.sim_phenology(t), phen.withColumns({c: v for c, v in away.items() if c in phen.columns})),
+        "yield pairs": lambda: V.yield_score(roles.sim_yearly(t), roles.points(t), roles.obs_yield(t).withColumn("NUTS_ID", F.lit("nowhere"))),
+    }
+    rows = []
+    for view, score in scores.items():
+        try:
+            score()
+            rows.append((view, "accepted"))
+        except ValueError as error:
+            rows.append((view, str(error)))
+    n = roles.sim_yearly(t).agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.createDataFrame(rows, "view string, message string").crossJoin(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -12,6 +13,7 @@ from ..operators import sampling as S
 from ..operators.aggregates import coverage
 from ..operators.ordered import number_rows
 from ..plans import views as V
+from ..session import stage
 from . import roles
 from .registry import query, rnd, rounded
 from .roles import DAILY_SQL, OBS_PHEN_SQL, PAIRS_SQL, PHEN_SQL, POINTS_SQL, SIM_PHEN_SQL, SIM_SQL
@@ -578,21 +580,34 @@ def _(t):
 
 
 @query("location_contiguous_layout", "SRT-2", """
-SELECT count(DISTINCT location) AS n_locations, count(*) AS n_rows, true AS each_location_in_sorted_runs FROM (
-  SELECT o_custkey AS location FROM orders)""")
-def _(t):
-    df = t.orders.select(F.col("o_custkey").alias("location"), "o_orderdate", "o_orderkey")
-    laid = S.contiguous_layout(df, "location", ["o_orderdate", "o_orderkey"])
-    marked = laid.select("location", F.monotonically_increasing_id().alias("at"))
-    per = marked.groupBy("location", F.shiftright("at", 33).alias("part")).agg(
-        F.min("at").alias("a"), F.max("at").alias("b"), F.count(F.lit(1)).alias("n")
+WITH r AS (SELECT o_custkey AS location, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders)
+SELECT location, count(*) AS n_rows, true AS contiguous, CAST(sum(place * (k % 1009)) AS BIGINT) AS order_digest FROM r GROUP BY 1""")
+def _(t):
+    df = t.orders.select(F.col("o_custkey").alias("location"), "o_orderdate", F.col("o_orderkey").alias("k"))
+    laid = S.contiguous_layout(df, "location", ["o_orderdate", "k"])
+    # Numbers of a row as it lies in the layout; the places in a location must be those of its sorted rows.
+    marked = stage(laid.select("location", "k", F.monotonically_increasing_id().alias("at")), "layout")
+    place = F.row_number().over(Window.partitionBy("location").orderBy("at"))
+    per = marked.withColumn("place", place).groupBy("location", F.shiftright("at", 33).alias("part")).agg(
+        F.min("at").alias("a"), F.max("at").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.col("place") * (F.col("k") % 1009)).alias("digest")
     )
-    return per.agg(
-        F.count_distinct("location").alias("n_locations"), F.sum("n").alias("n_rows"),
-        F.every(F.col("b") - F.col("a") + 1 == F.col("n")).alias("each_location_in_sorted_runs"),
+    return per.groupBy("location").agg(
+        F.sum("n").alias("n_rows"), F.every(F.col("b") - F.col("a") + 1 == F.col("n")).alias("contiguous"), F.sum("digest").alias("order_digest"),
     )
 
 
+@query("chunked_parameter_lists", "SET-6", """
+SELECT 'all' AS name, (event_id - lo) // 500 AS chunk, count(*) AS n, CAST(sum(value * ((event_id - lo) % 500 + 1)) AS BIGINT) AS weighted FROM (
+  SELECT event_id, value, min(event_id) OVER () AS lo FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS value FROM events)) GROUP BY 2""")
+def _(t):
+    first = t.events.agg(F.min("event_id")).first()[0] or 0
+    el = t.events.select(F.lit("all").alias("name"), (F.col("event_id") - first).alias("idx"), F.floor("value").alias("value"))
+    # One parameter with as many values as events.
+    lists = R.chunked_lists(el, [], "name", chunk=500)
+    weighted = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return lists.select("name", "chunk", F.size("values").cast("long").alias("n"), weighted.alias("weighted"))
+
+
 _CLIMATE_SQL = """clim AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'DWD' WHEN 1 THEN 'HYRAS_OBS' WHEN 2 THEN 'MIROC6_historical'
   WHEN 3 THEN 'MIROC6_ssp126' ELSE 'CanESM5_ssp370' END AS climate FROM customer)"""
 

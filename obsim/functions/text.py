@@ -137,19 +137,43 @@ def climate_order(c: Column | str) -> Column:
     )
 
 
+# Escapes, quotes, braces and what lies between them.
+_TOKENS = r"""(?s)\\.|["{}]|[^"{}\\]+|\\"""
+
+
+def balanced_object(c: Column | str) -> Column:
+    """What runs from a leading brace to the brace that closes it; null where none does.
+
+    One pass over the tokens counts depth; braces inside quoted strings and escaped quotes do not count.
+    """
+    text = as_col(c)
+
+    def step(seen: Column, token: Column) -> Column:
+        quoted, depth = seen["quoted"], seen["depth"]
+        deeper = F.when(quoted, depth).when(token == "{", depth + 1).when(token == "}", depth - 1).otherwise(depth)
+        at = seen["at"] + F.length(token)
+        closed = seen["end"].isNull() & ~quoted & (token == "}") & (deeper == 0)
+        return F.struct(
+            F.when(token == '"', ~quoted).otherwise(quoted).alias("quoted"), deeper.alias("depth"), at.alias("at"),
+            F.when(closed, at).otherwise(seen["end"]).alias("end"),
+        )
+
+    start = F.struct(F.lit(False).alias("quoted"), F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), start, step)["end"]
+    return F.when(text.startswith("{"), F.substring(text, F.lit(1), end))
+
+
 def json_in_text(c: Column | str) -> Column:
     """The JSON object inside a reply; null where none parses.
 
-    Candidates, the first that parses as an object wins: what runs from the first opening brace to each closing brace in
-    turn, so that the shortest object is found; fenced blocks come before it unless the reply itself begins with a brace.
+    Candidates, the first that parses as an object wins: what runs from the first opening brace to the one that closes
+    it; fenced blocks come before it unless the reply itself begins with a brace.
     """
     text = F.trim(as_col(c))
     fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
-    pieces = F.split(F.substring(text, F.instr(text, "{"), F.length(text)), r"\}")
-    closings = F.when((F.instr(text, "{") > 0) & (F.size(pieces) > 1), F.sequence(F.lit(1), F.size(pieces) - 1))
-    from_brace = F.transform(closings, lambda k: F.concat(F.array_join(F.slice(pieces, 1, k), "}"), F.lit("}")))
     fenced = F.transform(fenced, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    from_brace = F.coalesce(from_brace, F.array().cast("array<string>"))
+    at = F.instr(text, "{")
+    from_brace = F.array_compact(F.array(balanced_object(F.when(at > 0, F.substring(text, at, F.length(text))))))
     candidates = F.when(text.startswith("{"), F.concat(from_brace, fenced)).otherwise(F.concat(fenced, from_brace))
     parses = F.filter(candidates, lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
     return F.try_element_at(parses, F.lit(1))

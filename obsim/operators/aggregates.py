@@ -263,10 +263,10 @@ def season_ids(
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
 
 
-def layer_slices(df: DataFrame, keep: Sequence[str], arr: str, slices: Mapping[str, tuple[int, int]], how: str = "sum") -> DataFrame:
-    """Sum or mean of 1-based inclusive layer ranges of an array column."""
-    fn = {"sum": slice_sum, "avg": slice_avg}[how]
-    return df.select(*keep, *[fn(arr, a, b).alias(name) for name, (a, b) in slices.items()])
+def layer_slices(df: DataFrame, keep: Sequence[str], arr: str, slices: Mapping[str, tuple[int, int] | tuple[int, int, str]], how: str = "sum") -> DataFrame:
+    """Sums and means of 1-based inclusive layer ranges of an array column, in one projection; ``how`` where a range names none."""
+    fn = {"sum": slice_sum, "avg": slice_avg}
+    return df.select(*keep, *[fn[s[2] if len(s) > 2 else how](arr, s[0], s[1]).alias(name) for name, s in slices.items()])
 
 
 def message_kinds(df: DataFrame, by: Sequence[str], kind: str = "kind") -> DataFrame:

@@ -56,6 +56,31 @@ def number_rows(
     )
 
 
+def with_halo(df: DataFrame, order: Sequence[Column | str], back: int, ahead: int, parts: int | None = None) -> DataFrame:
+    """Range-sorted rows, each range with copies of the ``back`` rows before and the ``ahead`` rows after it.
+
+    Adds ``_part``, ``_at`` (place in the whole order) and ``_own`` (false for a copy). A window of so many rows inside
+    ``_part`` is then the same as over the whole table. Only rows near the ends of ranges are copied; a range that is
+    shorter than the halo gets rows of several others.
+    """
+    staged = sorted_stage(df, order, parts)
+    # One row per range: at most the shuffle partitions.
+    before = Window.partitionBy(F.lit(0)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = staged.groupBy(PART).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = stage(sizes, "ranges")
+    ranges = F.broadcast(sizes.agg(F.collect_list(F.struct(PART, "_start", "_n")).alias("_ranges")))
+    own = staged.join(F.broadcast(sizes), PART).withColumn("_at", F.col("_start") + F.col(POS))
+    edge = own.filter((F.col(POS) < ahead) | (F.col(POS) >= F.col("_n") - back)).crossJoin(ranges)
+
+    def reached(r: Column) -> Column:
+        start, end, at = r["_start"], r["_start"] + r["_n"], F.col("_at")
+        return (r[PART] != F.col(PART)) & (((at >= start - back) & (at < start)) | ((at >= end) & (at < end + ahead)))
+
+    copies = edge.select(*df.columns, "_at", F.explode(F.filter("_ranges", reached)).alias("_r"))
+    return own.select(*df.columns, "_at", PART, F.lit(True).alias("_own")).unionByName(
+        copies.select(*df.columns, "_at", F.col(f"_r.{PART}").alias(PART), F.lit(False).alias("_own")))
+
+
 def _summary(kind: str, c: Column) -> Column:
     if kind == "last":
         return F.max_by(c, F.when(c.isNotNull(), F.col(POS)))

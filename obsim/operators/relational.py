@@ -279,13 +279,25 @@ def flatten_lists(df: DataFrame, keep: Sequence[str], name: str, values: str) ->
     )
 
 
+# Elements of a list that is kept in one row.
+MOST_ELEMENTS = 100_000
+
+
+def chunked_lists(df: DataFrame, keep: Sequence[str], name: str, idx: str = "idx", value: str = "value", chunk: int = MOST_ELEMENTS) -> DataFrame:
+    """Inverse of ``flatten_lists`` for lists of any length: ``(name, chunk, values)``, at most ``chunk`` elements in a row."""
+    part = F.floor(F.col(idx) / chunk).cast("long").alias("chunk")
+    element = F.struct(F.col(idx).alias("i"), F.col(value).alias("v"))
+    lists = df.groupBy(*keep, name, part).agg(F.array_sort(F.collect_list(element)).alias("_l"))
+    return lists.select(*keep, name, "chunk", F.transform("_l", lambda s: s["v"]).alias("values"))
+
+
 def unflatten_lists(df: DataFrame, keep: Sequence[str], name: str, idx: str = "idx", value: str = "value") -> DataFrame:
-    """Inverse of ``flatten_lists``: one short ordered list per parameter."""
-    return (
-        df.groupBy(*keep, name)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))).alias("_l"))
-        .select(*keep, name, F.transform("_l", lambda s: s["v"]).alias("values"))
-    )
+    """Inverse of ``flatten_lists``: one ordered list per parameter; an index beyond ``MOST_ELEMENTS`` is an error."""
+    too_long = F.raise_error(F.lit(f"a list of over {MOST_ELEMENTS} elements, use chunked_lists")).cast(df.schema[idx].dataType)
+    bounded = df.withColumn(idx, F.when(F.coalesce(F.col(idx) < MOST_ELEMENTS, F.lit(True)), F.col(idx)).otherwise(too_long))
+    element = F.struct(F.col(idx).alias("i"), F.col(value).alias("v"))
+    lists = bounded.groupBy(*keep, name).agg(F.array_sort(F.collect_list(element)).alias("_l"))
+    return lists.select(*keep, name, F.transform("_l", lambda s: s["v"]).alias("values"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import decimal_year
 from ..session import stage
-from .ordered import running
+from .ordered import running, with_halo
 from .relational import missing_keys
 
 # Most knots one lookup cell may hold before the sorted path takes over.
@@ -22,17 +22,18 @@ def _month_index():
     return (F.col("year") * 12 + F.col("month") - 1).cast("int")
 
 
-def centred_mean(df: DataFrame, value: str, order: Sequence[str], n: int = 12, by: Sequence[str] = (), name: str = "centred") -> DataFrame:
+def centred_mean(df: DataFrame, value: str, order: Sequence[str], n: int = 12, by: Sequence[str] = (), name: str = "centred",
+                 parts: int | None = None) -> DataFrame:
     """Centred moving mean over full windows of n rows.
 
-    For an even n the window reaches one row further back than forward. The rows
-    are one calendar series per key (months or days), so a key's window stays
-    small; without a key the whole table is that one series.
+    For an even n the window reaches one row further back than forward. A series may be of any length, with a key or
+    without: ranges of it (``parts``, by default as many as the session shuffles to) also get the rows next to them.
     """
     back, ahead = n // 2, n - n // 2 - 1
-    keys = [F.col(b) for b in by] or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-back, ahead)
-    return df.withColumn(name, F.when(F.count(value).over(w) == n, F.avg(value).over(w)))
+    ranges = with_halo(df, [*by, *order], back, ahead, parts)
+    w = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(-back, ahead)
+    mean = ranges.withColumn(name, F.when(F.count(value).over(w) == n, F.avg(value).over(w)))
+    return mean.filter("_own").select(*[c for c in df.columns if c != name], name)
 
 
 def seasonal_cycle(df: DataFrame, y0: int, y1: int, value: str = "average") -> DataFrame:

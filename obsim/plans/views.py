@@ -96,6 +96,16 @@ def yield_loss(pairs: DataFrame) -> DataFrame:
     return two_dimension_loss(pairs, "yield", "yield_sim", "year", "STATE_NAME")
 
 
+def canopy_score(daily: DataFrame, obs: DataFrame, edges: Sequence[float]) -> DataFrame:
+    """The canopy loss over matched days; no match at all is an error."""
+    return canopy_loss(assert_not_empty(canopy_pairs(daily, obs), "canopy pairs"), edges)
+
+
+def yield_score(sim: DataFrame, points: DataFrame, obs: DataFrame, factor: float = 1.0) -> DataFrame:
+    """The yield loss over matched district-years; no match at all is an error."""
+    return yield_loss(assert_not_empty(yield_view_pairs(sim, points, obs, ["yield_sim"], factor), "yield pairs"))
+
+
 def harvest_index_medians(pairs: DataFrame) -> DataFrame:
     """Median simulated and required harvest index, their gap, mean biomass.
 

@@ -251,3 +251,58 @@ def test_season_shape_against_reference(spark):
             mine = got[loc][name]
             assert (mine is None) == (value is None), (loc, name)
             assert value is None or np.isclose(mine, value), (loc, name, mine, value)
+
+
+@pytest.mark.parametrize("n, parts", [(12, 5), (3, 60), (40, 60), (1, 4), (200, 7)])
+def test_centred_means_of_one_long_series(spark, n, parts):
+    rng = random.Random(n)
+    rows = [(i % 2 if i % 5 else None, i, rng.random() if rng.random() > 0.02 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, t int, v double")
+    back, ahead = n // 2, n - n // 2 - 1
+    pdf = df.toPandas()
+    # Without a key the ranges of one series; with one, short series inside and across ranges.
+    for by, series_ in (((), [pdf]), (("k",), [p for _, p in pdf.groupby("k", dropna=False)])):
+        out = series.centred_mean(df, "v", ["t"], n, by, parts=parts)
+        assert out.columns == ["k", "t", "v", "centred"]
+        got = {r.t: r.centred for r in out.collect()}
+        assert len(got) == len(rows)
+        for part in series_:
+            part = part.sort_values("t").reset_index(drop=True)
+            for i, t in enumerate(part.t):
+                own = part.v[max(0, i - back):i + ahead + 1].dropna()
+                assert got[t] == (pytest.approx(own.mean()) if len(own) == n else None)
+    staged = ordered.with_halo(df, ["t"], back, ahead, parts)
+    assert staged.filter("_own").select("_part").distinct().count() > min(parts, 5) // 2 and staged.filter("_own").count() == len(rows)
+
+
+def test_a_long_list_is_kept_in_chunks(spark):
+    df = spark.range(1_000_000).select(F.lit("p").alias("name"), F.col("id").alias("idx"), (F.col("id") * 2).alias("value"))
+    lists = relational.chunked_lists(df, [], "name", chunk=10_000)
+    got = lists.select("chunk", F.size("values").alias("n"), F.element_at("values", 1).alias("first"), F.element_at("values", -1).alias("last")).collect()
+    assert sorted((r.chunk, r.n, r.first, r.last) for r in got) == [(k, 10_000, k * 20_000, k * 20_000 + 19_998) for k in range(100)]
+    with pytest.raises(Exception, match="chunked_lists"):
+        relational.unflatten_lists(df, [], "name").collect()
+
+
+def test_layout_that_is_not_contiguous_is_seen(spark, monkeypatch):
+    from obsim.catalog import load
+
+    def digests():
+        return {r.location: (r.contiguous, r.order_digest) for r in load().run("location_contiguous_layout", spark, "/root/testdata/sf0.001").collect()}
+
+    right = digests()
+    monkeypatch.setattr(sampling, "contiguous_layout", lambda df, key, order, parts=None: df.repartition(3, "k").sortWithinPartitions("k"))
+    assert digests() != right
+
+
+def test_objects_in_replies(spark):
+    from obsim.functions import text
+
+    big = "{" + ",".join(f'"x{i}":{{"y":"}}{{"}}' for i in range(20_000)) + "}"
+    cases = {
+        'so {"a":"}"} y }': '{"a":"}"}', '{"a":"\\\\"} }': '{"a":"\\\\"}', 'x {"a":"\\"}{"} {': '{"a":"\\"}{"}', '{"a":{"b":{}}}}}': '{"a":{"b":{}}}',
+        "{'a'}": None, '{"a": "open}': None, '{"a":1': None, "": None, "}{": None, f"note {big} tail }}": big, 'f ```json\n{"a":2}\n``` {"z":1}': '{"a":2}',
+    }
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    got = {r.i: r.j for r in df.select("i", text.json_in_text("c").alias("j")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
