@@ -171,13 +171,13 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     texts and lines without a word stay as they are. Rows that agree in id and text are one document, so each of them
     keeps the lines that it is first to have. Earlier columns of the four names are replaced.
     """
-    name = A.own_names(docs, "id", "key", "gone")
+    name = A.own_names(docs, "id", "key", "of_key", "gone")
     gone = repeated_lines(docs, doc_id, text).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("line_no", "near")).alias("gone"))
-    gone = stage(gone, "gone-lines").withColumnsRenamed({"doc_id": name["id"], "text_key": name["key"] + "o", "gone": name["gone"]})
+    gone = stage(gone, "gone-lines").withColumnsRenamed({"doc_id": name["id"], "text_key": name["of_key"], "gone": name["gone"]})
     rows = gone.agg(F.sum(F.size(name["gone"]))).first()[0] or 0
     keyed = docs.withColumn(name["key"], F.xxhash64(F.col(f"`{text}`")))
     joined = keyed.join(
-        _sent(gone, rows), (keyed[name["key"]] == gone[name["key"] + "o"]) & keyed[doc_id].eqNullSafe(gone[name["id"]]), "left"
+        _sent(gone, rows), (keyed[name["key"]] == gone[name["of_key"]]) & keyed[doc_id].eqNullSafe(gone[name["id"]]), "left"
     )
     listed = F.coalesce(F.col(name["gone"]), F.array().cast("array<struct<line_no:int,near:boolean>>"))
     text_column = F.col(f"`{text}`")

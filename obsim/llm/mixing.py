@@ -98,7 +98,7 @@ def blocks(docs: DataFrame, source: str = "source", text: str = "text", doc_id:
     Documents of a source follow a hash of their id. A source is numbered in pieces of about ``piece_bytes`` bytes, so
     a hot source takes as many tasks as its size asks for; only one total for each piece is summed up in order.
     """
-    n = A.own_names(docs, "source", "bytes", "draw", "piece", "before", "block")
+    n = A.own_names(docs, "source", "bytes", "draw", "piece", "before", "block", "of_source", "of_piece")
     text_bytes = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1
     keyed = docs.withColumns({
         n["source"]: F.col(f"`{source}`").cast("string"),
@@ -124,8 +124,8 @@ def blocks(docs: DataFrame, source: str = "source", text: str = "text", doc_id:
     ).drop(n["block"], n["before"])
     inside = Window.partitionBy(n["source"], n["piece"]).orderBy(n["draw"], F.col(f"`{doc_id}`")).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn(n["block"], F.coalesce(F.sum(n["bytes"]).over(inside), F.lit(0)))
-    o = offsets.withColumnsRenamed({n["source"]: n["source"] + "o", n["piece"]: n["piece"] + "o"})
-    out = placed.join(o, placed[n["source"]].eqNullSafe(o[n["source"] + "o"]) & (placed[n["piece"]] == o[n["piece"] + "o"]))
+    o = offsets.withColumnsRenamed({n["source"]: n["of_source"], n["piece"]: n["of_piece"]})
+    out = placed.join(o, placed[n["source"]].eqNullSafe(o[n["of_source"]]) & (placed[n["piece"]] == o[n["of_piece"]]))
     out = out.withColumn(n["block"], F.floor((F.col(n["block"]) + F.col(n["before"])) / block_bytes).cast("long"))
     return out, sizes, n
 
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     """Add ``mix_block`` (long, of the source), ``mix_slot`` (long) and ``in_mix`` (boolean).
 
     ``weights``: ``(source, weight)``, positive, for every source; by default the tempered bytes. Reading rows by slot
-    gives every source its weight to within two blocks (one, where no turn stays empty), up to the slot where the first
+    gives every source its weight to within three blocks (one, where no turn stays empty), up to the slot where the first
     source has no block left for its turn. Rows of blocks up to there are ``in_mix``. Later ones keep their slot: the
     sources that are left go on by the weights they have among themselves.
     A block is a range of bytes of the source's own order; a document belongs to the block in which it starts.
@@ -163,13 +163,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
         table, F.col("source").eqNullSafe(F.col("name")) & (F.col("turn") == turn_of(F.col("blocks"), F.col("every")) % F.col("share"))
     )
     ends = missing.agg(F.min(F.floor(turn_of(F.col("blocks"), F.col("every")) / F.col("share")) * period + F.col("slot"))).first()[0]
-    k = A.own_names(placed, "name", "turn", "slot", "share", "every")
+    k = A.own_names(placed, "name", "turn", "slot", "share", "every", "of", "per", "each")
     lookup = F.broadcast(table.withColumnsRenamed(k))
-    per = F.broadcast(table.select(F.col("name").alias("__of"), F.col("share").alias("__per"), F.col("every").alias("__each")).distinct())
+    per = F.broadcast(table.select(F.col("name").alias(k["of"]), F.col("share").alias(k["per"]), F.col("every").alias(k["each"])).distinct())
     block = F.col(n["block"])
     joined = (
-        placed.join(per, placed[n["source"]].eqNullSafe(per["__of"]))
-        .join(lookup, placed[n["source"]].eqNullSafe(lookup[k["name"]]) & (turn_of(block, F.col("__each")) % F.col("__per") == lookup[k["turn"]]))
+        placed.join(per, placed[n["source"]].eqNullSafe(per[k["of"]]))
+        .join(lookup, placed[n["source"]].eqNullSafe(lookup[k["name"]]) & (turn_of(block, F.col(k["each"])) % F.col(k["per"]) == lookup[k["turn"]]))
     )
     slot = (F.floor(turn_of(block, F.col(k["every"])) / F.col(k["share"])) * period + F.col(k["slot"])).cast("long")
     kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "in_mix")]

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from obsim.llm import decontam, jaccard, mixing
+from obsim.llm import decontam, exact_dedup, jaccard, line_dedup, mixing
 from tests.llm import helpers as H
 
 
@@ -83,3 +83,13 @@ def test_links_are_all_similar_pairs_of_a_group(spark, monkeypatch, block):
     sets = [H.shingles(t) for t in texts]
     wanted = [len({y for y in sets if y != x and len(x & y) >= 0.8 * len(x | y)}) for x in sets]
     assert out.n_links.tolist() == wanted
+
+
+def test_any_further_columns_may_come_along(spark):
+    names = ["of", "each", "per", "sourceo", "pieceo", "keyo", "of_key", "of_source", "row", "digest", "winner", "size"]
+    extra = ", ".join(f"`__{n}` int" for n in names)
+    rows = [(k, "one two three\nfour five six", f"s{k % 2}", *range(len(names))) for k in range(6)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {extra}")
+    for out in (mixing.mix(docs, block_bytes=16, period=20), line_dedup.without_repeated_lines(docs), exact_dedup.mark_copies(docs)):
+        assert set(docs.columns) <= set(out.columns) and out.count() == 6
+    assert mixing.mixed_corpus(docs, block_bytes=16, period=20).columns == docs.columns and exact_dedup.without_copies(docs).count() == 1
