@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -325,6 +327,23 @@ def _(t):
     return I.batch_manifest(I.read_consolidated(t.spark, out, YEARLY), ["crop", "exp_id"], "Location")
 
 
+@query("incomplete_experiments", "STR-1", """
+WITH f AS (SELECT o_orderpriority AS experiment, count(DISTINCT o_custkey % 8) AS seen FROM orders GROUP BY 1)
+SELECT experiment, seen, seen + CASE WHEN experiment = '5-LOW' THEN 1 ELSE 0 END AS expected,
+  CASE WHEN experiment = '5-LOW' THEN 'incomplete' ELSE 'complete' END AS status FROM f""")
+def _(t):
+    src, out, check = (scratch_path(t.spark, x) for x in ("tasks", "arrivals", "stream"))
+    rows = t.orders.select(F.col("o_orderpriority").alias("exp_id"), (F.col("o_custkey") % 8).alias("task"), "o_orderkey")
+    # One more task than files for one experiment.
+    expected = stage(rows.groupBy(F.col("exp_id").alias("experiment")).agg(
+        (F.count_distinct("task") + F.when(F.first("exp_id") == "5-LOW", 1).otherwise(0)).alias("expected")), "expected")
+    for part in (rows.filter("exp_id <> '1-URGENT'"), rows.filter("exp_id = '1-URGENT'")):
+        part.repartition("exp_id", "task").write.mode("append").partitionBy("exp_id", "task").option("header", True).csv(src)
+        I.watch_arrivals(t.spark, src, "/exp_id=([^/]*)/", expected, out, check, wait_ms=300).awaitTermination()
+        time.sleep(0.5)
+    return I.arrival_status(t.spark, out)
+
+
 @query("check_log_summary", "PIP-19 AGG-32", """
 WITH m AS (SELECT l_returnflag AS crop, l_linestatus AS exp_id, CASE WHEN l_linenumber % 2 = 0 THEN 'low value #' ELSE 'high value # of #' END AS kind FROM lineitem)
 SELECT crop, exp_id, kind, count(*) AS n FROM m GROUP BY 1, 2, 3""")

@@ -338,7 +338,7 @@ PHASES_SQL = """rec AS (
          CAST(l_shipdate AS DATE) + 30 * l_linenumber, CAST(dayofyear(CAST(l_shipdate AS DATE) + 30 * l_linenumber) AS INTEGER),
          CASE WHEN o_custkey % 2 = 0 THEN 'winter_wheat' ELSE 'maize' END
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-shifted AS (
+shifted AS MATERIALIZED (
   SELECT stations_id, reference_year + CASE WHEN object = 'winter_wheat' AND phase IN ('sowing', 'emergence') THEN 1 ELSE 0 END AS harvest_year,
          phase, date, doy, object FROM rec),
 chain AS (

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import message_kind
 from ..operators.relational import assert_not_empty
 from ..operators.sampling import evenly_spaced_keys
+from ..session import stage
 from .catalog import file_catalog
 
 YEARLY_FILE = r"^(\d+)_yearly\.csv$"
@@ -162,26 +163,31 @@ def scan_ledger(spark: SparkSession, path: str, schema: str = LEDGER_SCHEMA) ->
 CHECK_COLUMNS = {"CheckMethod": 0, "VariableName": 4, "AdditionalInformation": 5}
 
 
+# Headers of about 100 bytes that are sent to every task.
+MOST_HEADERS = 200_000
+
+
 def scan_check_log(spark: SparkSession, path: str) -> DataFrame:
     """Check messages of logs with a banner line and a tab-separated table.
 
     Returns file, method, variable and kind. Positions come from each file's
     header, falling back to the usual ones; shorter rows are skipped. Files are
-    split by blocks: the header of a file is found by its content, so no file
-    has to be read by one task.
+    split by blocks: the header of a file is found by its content in the first
+    one, so no file has to be read by one task, and lines are not exchanged.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
     parts = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t", -1)
-    rows = lines.select("file", parts.alias("f"), "value")
+    rows = lines.select("file", "_block", parts.alias("f"))
     is_header = F.array_contains("f", "CheckMethod") & F.array_contains("f", "VariableName") & F.array_contains(
         "f", "AdditionalInformation"
     )
-    # One row per file.
-    where = rows.groupBy("file").agg(*[
-        F.coalesce(F.max(F.when(is_header, F.array_position("f", name).cast("int") - 1)), F.lit(i)).alias(f"_{name}")
-        for name, i in CHECK_COLUMNS.items()
-    ])
-    at = rows.join(where, "file")
+    # Header lines alone, from the first block of each file: one short row per file, sent to every task if they are few.
+    first = rows.filter(is_header & (F.col("_block") == 0))
+    where = stage(first.groupBy("file").agg(*[
+        F.max(F.array_position("f", name).cast("int") - 1).alias(f"_{name}") for name in CHECK_COLUMNS
+    ]), "log-headers")
+    where = F.broadcast(where) if where.count() <= MOST_HEADERS else where
+    at = rows.join(where, "file", "left").fillna({f"_{name}": i for name, i in CHECK_COLUMNS.items()})
     msg = F.col("_AdditionalInformation")
 
     def field(i: Column) -> Column:

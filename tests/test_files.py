@@ -1,6 +1,7 @@
 """Sources, sinks and incremental consolidation on small files."""
 
 import gzip
+import time
 
 import pytest
 
@@ -133,3 +134,38 @@ def test_incremental_consolidation_reads_each_file_once(spark, tmp_path):
     assert sorted((r.Location, r.batch_id) for r in got.collect()) == [(0, 0), (1, 1), (2, 2)]
     incremental.consolidate_stream(spark, src, out, SCHEMA, check).awaitTermination()
     assert incremental.read_consolidated(spark, out, SCHEMA).count() == 3
+
+
+def test_incomplete_experiments_are_reported_once_their_time_is_over(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    expected = spark.createDataFrame([("a", 2), ("b", 3), ("c", 1)], "experiment string, expected long")
+
+    def call(wait_ms):
+        incremental.watch_arrivals(spark, src, "/exp_([^/]*)/", expected, out, check, wait_ms).awaitTermination()
+        return {r.experiment: (r.seen, r.expected, r.status) for r in incremental.arrival_status(spark, out).collect()}
+
+    for exp, place in (("a", 1), ("a", 2), ("b", 1), ("unknown", 1)):
+        write(tmp_path / "src" / f"exp_{exp}", f"{place}.csv", ["x", "1"])
+    assert call(10) == {"a": (2, 2, "complete"), "b": (1, 3, "waiting")}
+    time.sleep(0.1)
+    # A new file of any experiment lets the timers report.
+    write(tmp_path / "src" / "exp_c", "1.csv", ["x", "1"])
+    got = call(10)
+    assert got["b"] == (1, 3, "incomplete") and got["c"] == (1, 1, "complete")
+    for place in (2, 3):
+        write(tmp_path / "src" / "exp_b", f"{place}.csv", ["x", "1"])
+    assert call(10) == {"a": (2, 2, "complete"), "b": (3, 3, "complete"), "c": (1, 1, "complete")}
+
+
+def test_log_positions_come_from_the_first_block(spark, tmp_path, monkeypatch):
+    head = "CheckMethod\tX\tVariableName\tAdditionalInformation"
+    write(tmp_path, "a.log", ["Session", head, "checkResult\t-\tv1\tday 12", "checkResult\t-\tv2\tday 13", "short"])
+    write(tmp_path, "b.log", ["Session", "no header", "checkResult\t1\t2\t3\tv9\tday 4", "checkLimits\t1\t2\t3\tv8\t7.5\t0\t5"])
+    rows = []
+    for most in (scan.MOST_HEADERS, 0):
+        monkeypatch.setattr(scan, "MOST_HEADERS", most)
+        got = scan.scan_check_log(spark, str(tmp_path))
+        rows.append(sorted((r.method, r.variable, r.kind) for r in got.collect()))
+    assert rows[0] == rows[1] == [
+        ("checkLimits", "v8", "value outside limits [0, 5]"), ("checkResult", "v1", "day #"), ("checkResult", "v2", "day #"), ("checkResult", "v9", "day #"),
+    ]
