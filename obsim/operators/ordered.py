@@ -3,14 +3,16 @@
 A window partitioned by a hot key puts that whole key into one task. The
 operators here sort by range instead: Spark's range partitioner cuts a hot key
 over as many partitions as its rows need. The sorted table is staged once in the
-shared folder together with its partition number and the position inside it;
-what crosses a partition border is then a summary of at most one row per
-(partition, key), so it can be carried forward cheaply.
+shared folder together with its partition number and the position inside it.
+Only the first and the last key of a partition can reach beyond it, so at most
+two summary rows a partition are carried forward, and sent to every task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,7 +118,13 @@ def running(
         work = work.withColumn(f"_v_{out}", expr if isinstance(expr, Column) else F.col(expr))
     staged = sorted_stage(work, [*by, *order])
 
-    summary = staged.groupBy(PART, *by).agg(
+    near = staged
+    if by:
+        key = F.struct(*by)
+        # One row a partition: the keys at its ends, the only ones that others hold too.
+        ends = staged.groupBy(F.col(PART).alias("_of")).agg(F.min_by(key, POS).alias("_first"), F.max_by(key, POS).alias("_final"))
+        near = staged.join(F.broadcast(ends), F.col(PART) == F.col("_of")).filter(key.eqNullSafe(F.col("_first")) | key.eqNullSafe(F.col("_final")))
+    summary = near.groupBy(PART, *by).agg(
         *[_summary(kind, F.col(f"_v_{out}")).alias(f"_s_{out}") for out, (kind, _) in values.items()]
     )
     keys = [F.col(b) for b in by] or [F.lit(0)]
@@ -144,7 +152,9 @@ def running(
     same = F.col(PART) == F.col("_k_part")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    joined = local.join(c, same, "left")
+    # At most two rows a partition.
+    known = reduce(or_, [F.col(f"_c_{out}").isNotNull() for out in values])
+    joined = local.join(F.broadcast(c.filter(known)), same, "left")
     return joined.select(
         *df.columns,
         *[

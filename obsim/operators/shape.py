@@ -1,19 +1,40 @@
 """Curve-shape features of a season: peak, rise, decline, plateau, early level.
 
-Everything is an aggregate per (location, season), combined map side, plus two
-joins with one-row-per-season tables. No season is sorted in one task, so a
+Everything is an aggregate per (location, season), combined map side, plus one
+join with a table of one row a season. No season is sorted in one task, so a
 location that holds a large share of all rows is no bottleneck.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ols_slope
-from ..session import stage as write_once
+
+
+def _by_year(df: DataFrame, key: Sequence[str], date: str, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Per season and calendar year: rows, least and greatest day of year, and the largest of each of ``more``."""
+    return df.groupBy(*key, F.year(date).alias("_y")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.dayofyear(date)).alias("_lo"), F.max(F.dayofyear(date)).alias("_hi"),
+        *[F.max(c).alias(f"_{name}") for name, c in (more or {}).items()],
+    )
+
+
+def _turns(per: DataFrame, key: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
+    """``_turn`` per season, the first calendar year that begins below the end of the year before it."""
+    # One row per calendar year of a season.
+    w = Window.partitionBy(*key).orderBy("_y")
+    return per.withColumn("_wraps", F.col("_lo") < F.lag("_hi").over(w)).groupBy(*key).agg(
+        F.min(F.when(F.col("_wraps"), F.col("_y"))).alias("_turn"), *more
+    )
+
+
+def _axis(date: str) -> Column:
+    shift = F.when(F.year(date) >= F.col("_turn"), 365).otherwise(0)
+    return (F.dayofyear(date) + shift).cast("double")
 
 
 def unrolled_day(df: DataFrame, key: Sequence[str], date: str, name: str = "day") -> DataFrame:
@@ -22,27 +43,16 @@ def unrolled_day(df: DataFrame, key: Sequence[str], date: str, name: str = "day"
     In date order a day of year can only decrease where the calendar year
     changes, so the first decrease is found among per-year extremes.
     """
-    per = df.groupBy(*key, F.year(date).alias("_y")).agg(
-        F.min(F.dayofyear(date)).alias("_lo"), F.max(F.dayofyear(date)).alias("_hi")
-    )
-    # One row per calendar year of a season.
-    w = Window.partitionBy(*key).orderBy("_y")
-    turn = (
-        per.withColumn("_wraps", F.col("_lo") < F.lag("_hi").over(w))
-        .groupBy(*key).agg(F.min(F.when(F.col("_wraps"), F.col("_y"))).alias("_turn"))
-    )
-    shift = F.when(F.year(date) >= F.col("_turn"), 365).otherwise(0)
-    return df.join(turn, list(key)).select(*df.columns, (F.dayofyear(date) + shift).cast("double").alias(name))
+    turn = _turns(_by_year(df, key, date), key)
+    return df.join(turn, list(key)).select(*df.columns, _axis(date).alias(name))
 
 
-def season_peaks(df: DataFrame, key: Sequence[str], date: str, stage: str, series: Sequence[str]) -> DataFrame:
-    """Peak value, date and stage per season and series; the earliest maximum wins."""
-    out = []
-    for s in series:
-        # Larger value first, then the earlier date.
-        rank = F.struct(F.col(s).alias("v"), (-F.unix_date(date)).alias("d"))
-        out.append(F.max(F.struct(rank["v"].alias("v"), rank["d"].alias("d"), F.col(stage).alias("g"))).alias(f"_{s}"))
-    got = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *out)
+def _top(series: str, date: str, stage: str) -> Column:
+    # Larger value first, then the earlier date.
+    return F.struct(F.col(series).alias("v"), (-F.unix_date(date)).alias("d"), F.col(stage).alias("g"))
+
+
+def _peak_columns(series: Sequence[str]) -> list[Column]:
     cols = []
     for s in series:
         p = F.col(f"_{s}")
@@ -51,7 +61,13 @@ def season_peaks(df: DataFrame, key: Sequence[str], date: str, stage: str, serie
             p["v"].alias(f"{s}_peak"), day.alias(f"{s}_peak_date"),
             F.dayofyear(day).alias(f"{s}_peak_doy"), p["g"].alias(f"{s}_peak_stage"),
         ]
-    return got.select(*key, "n", *cols)
+    return cols
+
+
+def season_peaks(df: DataFrame, key: Sequence[str], date: str, stage: str, series: Sequence[str]) -> DataFrame:
+    """Peak value, date and stage per season and series; the earliest maximum wins."""
+    got = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.max(_top(s, date, stage)).alias(f"_{s}") for s in series])
+    return got.select(*key, "n", *_peak_columns(series))
 
 
 def season_shape(
@@ -59,10 +75,12 @@ def season_shape(
 ) -> DataFrame:
     """Shape table per season with at least ``min_points`` rows; dates unique per season."""
     key = list(key)
-    # Staged: peaks, the day axis and the rows each read it.
-    base = write_once(df.select(*key, date, stage, F.col(obs).alias("obs"), F.col(sim).alias("sim")), "seasons")
-    peaks = season_peaks(base, key, date, stage, ["obs", "sim"]).filter(F.col("n") >= min_points)
-    rows = unrolled_day(base, key, date).join(peaks, key)
+    base = df.select(*key, date, stage, F.col(obs).alias("obs"), F.col(sim).alias("sim"))
+    per = _by_year(base, key, date, {v: _top(v, date, stage) for v in ("obs", "sim")})
+    # One short row a season: both peaks and the year in which the day axis goes on.
+    short = _turns(per, key, [F.sum("_n").alias("n"), *[F.max(f"_{v}").alias(f"_{v}") for v in ("obs", "sim")]])
+    peaks = short.filter(F.col("n") >= min_points).select(*key, "n", "_turn", *_peak_columns(["obs", "sim"]))
+    rows = base.join(peaks, key).withColumn("day", _axis(date))
 
     def rise(v: str) -> Column:
         inside = F.col(stage).between(0.2, 1.0)
@@ -78,7 +96,7 @@ def season_shape(
 
     early = F.col(stage) <= 0.3
     r = F.col("sim") - F.col("obs")
-    carried = [c for c in peaks.columns if c not in key and not c.endswith("_date")]
+    carried = [c for c in peaks.columns if c not in [*key, "_turn"] and not c.endswith("_date")]
     feats = []
     for v in ("obs", "sim"):
         feats += [

@@ -306,3 +306,25 @@ def test_objects_in_replies(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
     got = {r.i: r.j for r in df.select("i", text.json_in_text("c").alias("j")).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_running_joins_short_summaries_only(spark):
+    df = spark.createDataFrame(skewed(5000))
+    out = ordered.running(df, ["k"], ["t", "id"], {"top": ("max", "v"), "n": ("count", "v")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+@pytest.mark.parametrize("keys", [1, 3, 40])
+def test_running_where_keys_fill_several_partitions(spark, keys):
+    rows = [(None if i % keys == 0 else i % keys, i, None if i % 7 == 0 else (i * 37) % 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    got = {(r.k, r.t): (r.low, r.n, r.seen) for r in ordered.running(
+        df, ["k"], ["t"], {"low": ("min", "v"), "n": ("count", "v"), "seen": ("last", "v")}).collect()}
+    state: dict = {}
+    for k, t, v in rows:
+        low, n, seen = state.get(k, (None, 0, None))
+        if v is not None:
+            low, n, seen = v if low is None else min(low, v), n + 1, v
+        state[k] = (low, n, seen)
+        assert got[k, t] == (low, n, seen)
