@@ -4,27 +4,36 @@ A source's documents are cut into blocks of equal bytes. Its i-th block (from 0)
 at slot ceil((i + 1) / w), w being its target weight; of the released blocks the one with the earliest deadline takes the
 slot. Each source then has, after any number of slots, less than one block more or less than its weight demands.
 
-Turns are multiples of 1 / PERIOD, so the schedule repeats every PERIOD slots: one period is computed, and the slot of
-any block follows from its number. A source whose weight is less than its turns, as one far below 1 / PERIOD, leaves so
-many of them empty that its weight comes out right. Built-in expressions throughout.
+Weights are whole numbers of about 1e-15, so releases and deadlines are exact. The schedule is made in frames that do not
+wait for each other. What earliest-deadline-first has done by a slot depends on the releases of the last 1 / w slots alone, w
+being the smallest weight: every block released before has its deadline in the past, whatever order they were taken in. So
+a frame starts that many slots early, from any rounding of the weights that sums to the slot, and has the schedule's
+own state when its part begins. Built-in expressions throughout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
 from . import arrays as A
 
 BLOCK_BYTES = 8_192
-PERIOD = 2_000
+# Slots of a frame at least; it is never shorter than the run-up before it, so the run-up at most doubles the work.
+FRAME = 4_096
+# Slots that one fold appends to before they are set aside.
+CHUNK = 512
 # Target weights follow the sources' bytes to this power: large sources give way a little to small ones.
 TEMPER = 0.9
 # Bytes of a source that are numbered together; a source has as many such pieces as its size asks for.
 PIECE_BYTES = 4 << 20
 _SEED = 8_117
 _UNIT = 1 << 40
+_PARTS = 10**15
+# A waiting block is one number: its deadline from the frame's start, then its source's number.
+_SOURCES = 1 << 24
+_FAR = 1 << 38
 
 
 def tempered_weights(sizes: DataFrame, temper: float = TEMPER) -> DataFrame:
@@ -32,63 +41,99 @@ def tempered_weights(sizes: DataFrame, temper: float = TEMPER) -> DataFrame:
     return sizes.select("source", F.pow(F.col("bytes").cast("double"), F.lit(temper)).alias("weight"))
 
 
-def whole_shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """``(source, share)``: slots of each source in a period, at least one, rounded by largest remainder to sum to it.
+def whole_weights(weights: DataFrame) -> DataFrame:
+    """``(source, number, parts)``: the weights as whole numbers of about 1e-15, sources numbered by name from 0.
 
-    The list of sources is short (at most ``period``); one task orders it.
+    The list of sources is short beside the documents; one task orders it.
     """
     everything = Window.partitionBy(F.lit(1))
-    free = F.lit(period) - F.count("*").over(everything)
-    exact = weights.withColumn("exact", F.col("weight") / F.sum("weight").over(everything) * free)
-    floor = exact.withColumns({"low": F.floor("exact"), "rest": F.col("exact") - F.floor("exact")})
-    place = F.row_number().over(everything.orderBy(F.desc("rest"), "source"))
-    more = F.when(place <= free - F.sum("low").over(everything), 1).otherwise(0)
-    return floor.select("source", (F.lit(1) + F.col("low") + more).cast("int").alias("share"))
+    parts = F.round(F.col("weight") / F.sum("weight").over(everything) * _PARTS)
+    return weights.select(
+        "source", (F.row_number().over(everything.orderBy("source")) - 1).cast("long").alias("number"),
+        F.greatest(parts, F.lit(1)).cast("long").alias("parts"),
+    )
 
 
-def turns_used(shares: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(source, share, every)``: a source's block ``i`` takes its turn ``floor(i * every)``, the other turns stay empty.
+def _product(a: Column | int, b: Column | int) -> Column:
+    """a * b without overflow, for a below 1e19 and b below 1e18."""
+    a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (a, b))
+    return a.cast("decimal(19,0)") * b.cast("decimal(18,0)")
 
-    The source with the most weight for its share uses every turn; ``every`` is at least 1.
-    """
-    targets = weights.select(F.col("source").alias("of"), "weight")
-    ratio = shares.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("every", F.col("share") / F.col("weight"))
-    return ratio.select("source", "share", (F.col("every") / F.min("every").over(Window.partitionBy(F.lit(1)))).alias("every"))
 
+def _floor_div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, (b if isinstance(b, Column) else F.lit(b).cast("long")).cast("decimal(19,0)"))
 
-def period_schedule(shares: DataFrame, period: int = PERIOD) -> DataFrame:
-    """``(source, turn, slot)`` of one period: the slot of each source's block ``turn`` (0 to share - 1).
 
-    One row holds the sources and folds over the slots. Among equal deadlines the earlier release wins, then the
-    smaller share, then the source's order.
-    """
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def step(taken: Column, slot: Column) -> Column:
-        done, order = taken["done"], taken["order"]
-        waiting = F.transform(F.col("sources"), lambda s, i: F.when(
-            # Released: the block's number is at most slot * w.
-            F.floor(F.get(done, i) * period / s["share"]) <= slot,
-            F.struct(
-                F.ceil((F.get(done, i) + 1) * period / s["share"]).alias("due"),
-                F.floor(F.get(done, i) * period / s["share"]).alias("release"), s["share"].alias("share"), i.alias("i"),
-            ),
-        ))
-        chosen = F.array_min(waiting)["i"]
-        return F.struct(
-            F.transform(done, lambda d, i: F.when(i == chosen, d + 1).otherwise(d)).alias("done"),
-            F.concat(order, F.array(chosen)).alias("order"),
-        )
-
-    listed = shares.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("sources")).filter(F.size("sources") > 0)
-    start = F.struct(
-        F.transform(F.col("sources"), lambda s: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order")
+
+def schedule(plan: DataFrame, slots: int, frame: int = FRAME) -> DataFrame:
+    """``(source, block, slot)`` of slots 0 to ``slots`` - 1, from ``(source, number, parts)``.
+
+    Earliest deadline first; among equal deadlines the source with the smaller number. Every slot is taken, for the
+    weights fill them. A frame is one row that holds its slots' releases: as many as the smallest weight's blocks lie
+    apart, or ``frame`` if that is more.
+    """
+    facts = plan.agg(F.sum("parts").alias("total"), F.min("parts").alias("least")).first()
+    if facts["total"] is None or slots == 0:
+        return plan.select("source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot")).limit(0)
+    total, parts = facts["total"], F.col("parts")
+    runup = total // facts["least"] + 3
+    length = min(max(frame, runup), slots)
+    start, end = F.col("start"), F.col("end")
+
+    def due(block: Column) -> Column:
+        return _floor_div(_product(block + 1, total) + parts.cast("decimal(19,0)") - 1, parts)
+
+    frames = plan.select("number", "parts", F.explode(F.sequence(F.lit(0), F.lit((slots - 1) // length))).alias("frame")).withColumns({
+        "start": F.greatest(F.col("frame").cast("long") * length - runup, F.lit(0)),
+        "end": F.least((F.col("frame").cast("long") + 1) * length, F.lit(slots)),
+    })
+    # The rounding a frame starts from: whole blocks, and as many begun ones as slots are left, earliest deadlines first.
+    begun = frames.withColumn("low", _floor_div(_product(start, parts), total))
+    begun = begun.withColumn("part", _product(start, parts) > _product(F.col("low"), total)).withColumn("low_due", due(F.col("low")))
+    own = Window.partitionBy("frame")
+    left = start - F.sum("low").over(own)
+    place = F.row_number().over(own.orderBy(F.desc("part"), "low_due", "number"))
+    begun = begun.withColumn("first", F.col("low") + F.when(place <= left, 1).otherwise(0))
+    last = _floor_div(_product(end, parts) + F.lit(total - 1).cast("decimal(19,0)"), total) - 1
+    released = begun.withColumn("last", last).filter(F.col("first") <= F.col("last")).select(
+        "frame", "start", "number", "parts", F.explode(F.sequence("first", "last")).alias("block")
     )
-    order = listed.withColumn("order", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step)["order"])
-    slots = order.select("sources", F.posexplode("order").alias("slot", "i")).select(
-        F.get("sources", F.col("i"))["source"].alias("source"), "slot"
+    coded = released.select(
+        "frame", F.greatest(_floor_div(_product(F.col("block"), total), parts), start).alias("slot"),
+        (F.least(due(F.col("block")) - start, F.lit(_FAR)) * _SOURCES + F.col("number")).alias("code"),
     )
-    own = Window.partitionBy("source").orderBy("slot")
-    return slots.select("source", (F.row_number().over(own) - 1).alias("turn"), "slot")
+    every_slot = frames.select("frame", "start", "end").distinct().select(
+        "frame", F.explode(F.sequence(start, end - 1)).alias("slot"), F.lit(None).cast("long").alias("code")
+    )
+    listed = coded.unionByName(every_slot).groupBy("frame", "slot").agg(F.collect_list("code").alias("codes"))
+    rows = listed.groupBy("frame").agg(F.min("slot").alias("start"), F.array_sort(F.collect_list(F.struct("slot", "codes"))).alias("slots"))
+
+    def take(state: Column, at: Column) -> Column:
+        return _let(F.concat(state["waiting"], at["codes"]), lambda waiting: _let(F.array_min(waiting), lambda code: F.struct(
+            F.coalesce(F.array_remove(waiting, code), waiting).alias("waiting"),
+            F.concat(state["order"], F.array(code)).alias("order"),
+        )))
+
+    def take_chunk(state: Column, chunk: Column) -> Column:
+        at = F.struct(state["waiting"].alias("waiting"), F.array().cast("array<long>").alias("order"))
+        return _let(F.aggregate(F.slice(F.col("slots"), chunk * CHUNK + 1, F.lit(CHUNK)), at, take), lambda done: F.struct(
+            done["waiting"].alias("waiting"), F.concat(state["orders"], F.array(done["order"])).alias("orders")
+        ))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size("slots") - 1) / CHUNK).cast("int"))
+    empty = F.struct(F.array().cast("array<long>").alias("waiting"), F.array().cast("array<array<long>>").alias("orders"))
+    order = rows.select("frame", "start", F.flatten(F.aggregate(chunks, empty, take_chunk)["orders"]).alias("order"))
+    taken = order.select("frame", "start", F.posexplode("order").alias("place", "code")).select(
+        (start + F.col("place")).alias("slot"), (F.col("code") % _SOURCES).alias("taker"), F.floor(F.col("code") / _SOURCES).alias("wait"),
+        "start", "frame",
+    ).filter(F.col("slot") >= F.col("frame").cast("long") * length)
+    # A deadline names its block: floor(due * w) - 1. One that is further off than the code holds is a first block's.
+    block = F.when(F.col("wait") == _FAR, 0).otherwise(_floor_div(_product(F.col("wait") + start, parts), total) - 1)
+    return taken.join(plan, F.col("taker") == F.col("number")).select("source", block.cast("long").alias("block"), "slot")
 
 
 def blocks(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id",
@@ -131,47 +176,39 @@ def blocks(docs: DataFrame, source: str = "source", text: str = "text", doc_id:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id",
-        block_bytes: int = BLOCK_BYTES, period: int = PERIOD, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+        block_bytes: int = BLOCK_BYTES, frame: int = FRAME, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Add ``mix_block`` (long, of the source), ``mix_slot`` (long) and ``in_mix`` (boolean).
 
-    ``weights``: ``(source, weight)``, positive, for every source; by default the tempered bytes. Reading rows by slot
-    gives every source its weight to within three blocks (one, where no turn stays empty), up to the slot where the first
-    source has no block left for its turn. Rows of blocks up to there are ``in_mix``. Later ones keep their slot: the
-    sources that are left go on by the weights they have among themselves.
-    A block is a range of bytes of the source's own order; a document belongs to the block in which it starts.
+    ``weights``: ``(source, weight)``, positive, one for every source (a missing one is an error; sources without rows
+    do not count); by default the tempered bytes. Reading rows by slot gives every source its weight to within less than
+    one block at every place, until the source has no block left; its turns then stay empty, and the others keep theirs.
+    Rows before the first empty turn can come are ``in_mix``.
+    A block is a range of bytes of the source's own order; a document belongs to the block in which it starts, so blocks
+    that a very long document covers may have no row.
 
     Every row comes back once with the columns of ``docs`` (earlier columns of the three names are replaced). A null
     source is a source of its own; null and empty texts count one byte, so that they have a place; null and repeated
-    ids are ordinary rows. An empty table gives an empty result. At most ``period`` sources: more are an error.
+    ids are ordinary rows. An empty table gives an empty result. The schedule has as many slots as the source that
+    lasts longest asks for, whatever the number of sources.
     """
     placed, sizes, n = blocks(docs, source, text, doc_id, block_bytes, piece_bytes)
-    # The number of sources is checked against the period, which also bounds all broadcast tables here.
-    count = sizes.count()
-    if count > period:
-        raise ValueError(f"{count} sources, but a period of {period} slots")
-    targets = tempered_weights(sizes) if weights is None else weights
-    shares = whole_shares(targets, period)
-    used = turns_used(shares, targets)
-    table = stage(period_schedule(shares, period).withColumnRenamed("source", "name").join(
-        used.withColumnRenamed("source", "of"), F.col("name").eqNullSafe(F.col("of"))
-    ).drop("of"), "mix-period")
-
-    def turn_of(number: Column, every: Column) -> Column:
-        return F.floor(number * every).cast("long")
-
-    missing = sizes.select("source", F.ceil(F.col("bytes") / block_bytes).alias("blocks")).join(
-        table, F.col("source").eqNullSafe(F.col("name")) & (F.col("turn") == turn_of(F.col("blocks"), F.col("every")) % F.col("share"))
-    )
-    ends = missing.agg(F.min(F.floor(turn_of(F.col("blocks"), F.col("every")) / F.col("share")) * period + F.col("slot"))).first()[0]
-    k = A.own_names(placed, "name", "turn", "slot", "share", "every", "of", "per", "each")
-    lookup = F.broadcast(table.withColumnsRenamed(k))
-    per = F.broadcast(table.select(F.col("name").alias(k["of"]), F.col("share").alias(k["per"]), F.col("every").alias(k["each"])).distinct())
-    block = F.col(n["block"])
-    joined = (
-        placed.join(per, placed[n["source"]].eqNullSafe(per[k["of"]]))
-        .join(lookup, placed[n["source"]].eqNullSafe(lookup[k["name"]]) & (turn_of(block, F.col(k["each"])) % F.col(k["per"]) == lookup[k["turn"]]))
-    )
-    slot = (F.floor(turn_of(block, F.col(k["every"])) / F.col(k["share"])) * period + F.col(k["slot"])).cast("long")
+    targets = (tempered_weights(sizes) if weights is None else weights).withColumnRenamed("source", "of")
+    known = sizes.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    if not known.filter(F.col("weight").isNull() | ~(F.col("weight") > 0)).isEmpty():
+        raise ValueError("a source without a positive weight")
+    counts = sizes.select(F.col("source").alias("of"), F.ceil(F.col("bytes") / block_bytes).cast("long").alias("blocks"))
+    plan = stage(whole_weights(known).join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-plan")
+    total = plan.agg(F.sum("parts")).first()[0] or 0
+    # A source's turn after its last block is not released before this slot.
+    out = _floor_div(_product(F.col("blocks"), total), F.col("parts"))
+    ends, slots = plan.agg(F.min(out), F.max(out + 1)).first()
+    known_blocks = plan.select(F.col("source").alias("of"), "blocks")
+    made = schedule(plan.drop("blocks"), slots or 0, frame)
+    table = stage(made.join(known_blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") < F.col("blocks"))).select("source", "block", "slot"), "mix-slots")
+    k = A.own_names(placed, "name", "turn", "slot")
+    lookup = table.select(F.col("source").alias(k["name"]), F.col("block").alias(k["turn"]), F.col("slot").alias(k["slot"]))
+    block, slot = F.col(n["block"]), F.col(k["slot"])
+    joined = placed.join(lookup, (block == F.col(k["turn"])) & placed[n["source"]].eqNullSafe(lookup[k["name"]]))
     kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "in_mix")]
     return joined.select(
         *[f"`{c}`" for c in kept], block.alias("mix_block"), slot.alias("mix_slot"), (slot < F.lit(ends)).alias("in_mix")
@@ -184,12 +221,3 @@ def mixed_corpus(docs: DataFrame, source: str = "source", text: str = "text", do
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(tag), F.col(f"`{source}`").alias("source"),
                          F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
     return mix(packed, **settings).repartitionByRange("mix_slot").sortWithinPartitions("mix_slot").select(f"{tag}.*")
-
-
-def schedule_lag(spark: SparkSession, shares: dict[str, int], period: int = PERIOD) -> DataFrame:
-    """``(source, slot, lag)``: blocks that a source has received up to a slot, minus its due (for checks)."""
-    table = period_schedule(spark.createDataFrame(list(shares.items()), "source string, share int"), period)
-    own = Window.partitionBy("source").orderBy("slot")
-    share = F.create_map(*[F.lit(x) for item in shares.items() for x in item])
-    due = (F.col("slot") + 1) * F.element_at(share, F.col("source")) / period
-    return table.select("source", "slot", (F.count("*").over(own) - due).alias("lag"))

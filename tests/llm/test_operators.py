@@ -267,10 +267,44 @@ def test_lines_match_brute_force(spark, monkeypatch, bound):
 # ---------------------------------------------------------------- mixing
 
 
-def test_schedule_stays_within_a_block(spark):
-    out = mixing.schedule_lag(spark, {"a": 1, "b": 333, "c": 466, "d": 200}, 1_000).toPandas()
-    assert len(out) == 1_000 and sorted(out.slot) == list(range(1_000))
-    assert out.lag.abs().max() < 1
+def _earliest_deadline_first(parts, slots):
+    """``(source, block)`` of every slot, one after another."""
+    total, done, order = sum(parts), [0] * len(parts), []
+    for slot in range(slots):
+        waiting = [
+            (-(-(done[i] + 1) * total // p), i) for i, p in enumerate(parts) if done[i] * total // p <= slot
+        ]
+        i = min(waiting)[1]
+        order.append((i, done[i]))
+        done[i] += 1
+    return order
+
+
+@pytest.mark.parametrize("parts, frame, slots", [
+    ([1, 333, 466, 200], 16, 2_500),
+    ([5, 3, 2], 4, 333),
+    ([1], 7, 40),
+    ([1] * 9, 5, 100),
+    ([97, 101, 103, 211, 13, 29], 1, 1_000),
+    ([1] * 60 + [60, 31], 32, 1_000),
+])
+def test_frames_give_the_schedule_of_one_run(spark, parts, frame, slots):
+    plan = spark.createDataFrame([(f"s{i}", i, p) for i, p in enumerate(parts)], "source string, number long, parts long")
+    out = mixing.schedule(plan, slots, frame).orderBy("slot").collect()
+    assert [r.slot for r in out] == list(range(slots))
+    assert [(int(r.source[1:]), r.block) for r in out] == _earliest_deadline_first(parts, slots)
+    done = [0] * len(parts)
+    for t, r in enumerate(out, 1):
+        done[int(r.source[1:])] += 1
+        assert all(abs(done[i] * sum(parts) - t * p) < sum(parts) for i, p in enumerate(parts))
+
+
+def test_more_sources_than_any_list_was_made_for(spark):
+    docs = spark.range(5_200).selectExpr("id AS doc_id", "repeat('x', 99) AS text", "concat('h', least(id % 2600, id)) AS source")
+    out = mixing.mix(docs, block_bytes=100, frame=64).toPandas()
+    assert sorted(out.doc_id) == list(range(5_200)) and sorted(out.mix_slot) == list(range(5_200))
+    halves = out.sort_values("mix_slot").source
+    assert halves[:2_600].nunique() == halves[2_600:].nunique() == 2_600
 
 
 def test_mix_holds_weights_at_every_prefix(spark):
@@ -278,7 +312,7 @@ def test_mix_holds_weights_at_every_prefix(spark):
     rows = [(k, H.prose(rng, rng.randint(1, 30)), "en", rng.choice(["a", "a", "a", "b", None])) for k in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     weights = spark.createDataFrame([("a", 5.0), ("b", 3.0), (None, 2.0)], "source string, weight double")
-    out = mixing.mix(docs, weights, block_bytes=400, period=100, piece_bytes=2_000).toPandas()
+    out = mixing.mix(docs, weights, block_bytes=400, frame=100, piece_bytes=2_000).toPandas()
     assert sorted(out.doc_id) == list(range(900)) and 0 < out.in_mix.sum() < 900
     share = {"a": 0.5, "b": 0.3, None: 0.2}
     end = out[~out.in_mix].mix_slot.min()
@@ -288,7 +322,13 @@ def test_mix_holds_weights_at_every_prefix(spark):
         for t in range(0, int(end), 7):
             blocks = sum(s <= t for s in own)
             assert blocks <= w * (t + 1) + 1
+        # Blocks before and after a row's own one, against the weight at its slot.
+        rows = out[out.in_mix & (out.source.isna() if source is None else out.source == source)]
+        assert ((rows.mix_block - w * rows.mix_slot).abs() < 1 + 1e-9).all()
+        assert ((rows.mix_block + 1 - w * (rows.mix_slot + 1)).abs() < 1 + 1e-9).all()
     assert placed.mix_slot.is_unique
+    with pytest.raises(ValueError):
+        mixing.mix(docs, weights.filter("source = 'a'"))
     assert mixing.mix(H.empty(spark)).count() == 0
 
 

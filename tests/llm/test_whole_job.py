@@ -12,9 +12,9 @@ def test_a_small_source_does_not_end_the_mix(spark):
     rng = random.Random(11)
     rows = [(k, H.prose(rng, 60), "a" if k % 3 else "b") for k in range(600)] + [(600, "once", "c"), (601, "null", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = mixing.mixed_corpus(docs, block_bytes=64, period=50).collect()
+    kept = mixing.mixed_corpus(docs, block_bytes=64, frame=50).collect()
     assert sorted(r.doc_id for r in kept) == list(range(602))
-    out = mixing.mix(docs, block_bytes=64, period=50).toPandas().sort_values("mix_slot")
+    out = mixing.mix(docs, block_bytes=64, frame=50).toPandas().sort_values("mix_slot")
     assert out.in_mix.mean() > 0.8
     # Tempered weights of the two sources that last, at every prefix of the part where all have blocks.
     size = {s: sum(len(t) + 1 for _, t, x in rows if x == s) ** 0.9 for s in ("a", "b", "c", None)}
@@ -22,6 +22,9 @@ def test_a_small_source_does_not_end_the_mix(spark):
     for n in range(1, len(blocks)):
         for s in ("a", "b", "c"):
             assert abs(blocks[:n].count(s) - n * size[s] / sum(size.values())) < 3
+    for r in out[out.in_mix].itertuples():
+        w = size[r.source if isinstance(r.source, str) else None] / sum(size.values())
+        assert abs(r.mix_block - w * r.mix_slot) < 1 and abs(r.mix_block + 1 - w * (r.mix_slot + 1)) < 1
 
 
 def _found(spark, items, texts):
@@ -90,6 +93,6 @@ def test_any_further_columns_may_come_along(spark):
     extra = ", ".join(f"`__{n}` int" for n in names)
     rows = [(k, "one two three\nfour five six", f"s{k % 2}", *range(len(names))) for k in range(6)]
     docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {extra}")
-    for out in (mixing.mix(docs, block_bytes=16, period=20), line_dedup.without_repeated_lines(docs), exact_dedup.mark_copies(docs)):
+    for out in (mixing.mix(docs, block_bytes=16, frame=20), line_dedup.without_repeated_lines(docs), exact_dedup.mark_copies(docs)):
         assert set(docs.columns) <= set(out.columns) and out.count() == 6
-    assert mixing.mixed_corpus(docs, block_bytes=16, period=20).columns == docs.columns and exact_dedup.without_copies(docs).count() == 1
+    assert mixing.mixed_corpus(docs, block_bytes=16, frame=20).columns == docs.columns and exact_dedup.without_copies(docs).count() == 1
