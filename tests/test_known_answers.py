@@ -220,6 +220,26 @@ def test_closure_reports_only_new_breakage(spark, monkeypatch):
         assert quality.check_closure(broken, broken, *args).count() == 0
 
 
+def test_closure_of_even_grids_is_one_sum_a_node(spark, monkeypatch):
+    before = closure_rows(spark, [(g, m, float(n), 0.5) for g in (1, 2) for m in "ab" for n in range(3)])
+    moved = closure_rows(spark, [(g, m, float(n), 0.7 if (g, m, n) == (2, "a", 1) else 0.5) for g in (1, 2) for m in "ab" for n in range(3)])
+
+    def refused(*_):
+        raise AssertionError("even grids need no staged knots")
+
+    monkeypatch.setattr(quality, "stage", refused)
+    got = [(r.g, r.node, round(r.total, 6)) for r in quality.check_closure(before, moved, ["g"], "m", "x", "v").collect()]
+    assert got == [(2, 1.0, 1.2)]
+
+
+def test_closure_of_members_without_a_common_knot(spark):
+    before = closure_rows(spark, [(1, "a", 0.0, 0.4), (1, "a", 2.0, 0.4), (1, "b", 1.0, 0.6), (1, "b", 3.0, 0.6)])
+    moved = closure_rows(spark, [(1, "a", 0.0, 0.4), (1, "a", 2.0, 0.4), (1, "b", 1.0, 0.8), (1, "b", 3.0, 0.8)])
+    args = (["g"], "m", "x", "v")
+    assert quality.check_closure(before, before, *args).count() == 0
+    assert {round(r.total, 6) for r in quality.check_closure(before, moved, *args).collect()} == {1.2}
+
+
 def test_ordering_skips_missing_keys(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "a", 5.0)], "g int, n string, v double")
     assert [r.g for r in quality.check_ordering(df, ["g"], "n", "v", "a", "<", "b").collect()] == [1]
