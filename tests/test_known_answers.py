@@ -353,3 +353,10 @@ def test_spliced_series_is_gap_free(spark):
     assert out.filter("reconstructed").count() == 7 * 12 + 2
     kept = {(r.year, r.month): r.average for r in out.filter("NOT reconstructed").collect()}
     assert kept == {(y, m): v for y, m, v in rows}
+
+
+def test_units_are_told_from_pixels_that_hold_points(spark):
+    points = spark.createDataFrame([(1, 0.1, 0.1), (2, 0.2, 0.1), (3, None, 0.0)], "location int, x double, y double")
+    pixels = spark.createDataFrame([(0, 0, 1, 4.0), (0, 0, 2, 5.0), (1, 0, 1, 40.0)], "ix int, iy int, date int, value double")
+    used = spatial.pixels_with_points(points, pixels, "x", "y", (0.0, 0.0), (1.0, 1.0), (2, 2))
+    assert sorted((r.ix, r.iy, r.date, r.value) for r in used.collect()) == [(0, 0, 1, 4.0), (0, 0, 2, 5.0)]
