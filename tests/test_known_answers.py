@@ -360,3 +360,12 @@ def test_units_are_told_from_pixels_that_hold_points(spark):
     pixels = spark.createDataFrame([(0, 0, 1, 4.0), (0, 0, 2, 5.0), (1, 0, 1, 40.0)], "ix int, iy int, date int, value double")
     used = spatial.pixels_with_points(points, pixels, "x", "y", (0.0, 0.0), (1.0, 1.0), (2, 2))
     assert sorted((r.ix, r.iy, r.date, r.value) for r in used.collect()) == [(0, 0, 1, 4.0), (0, 0, 2, 5.0)]
+
+
+def test_pixel_join_is_dealt_out_by_pixel(spark):
+    points = spark.createDataFrame([(1, 0.1, 0.1)], "location int, x double, y double")
+    pixels = spark.createDataFrame([(0, 0, 1, 4.0), (0, 0, 2, 5.0)], "ix int, iy int, date int, value double")
+    out = spatial.pixel_values(points, pixels, "x", "y", (0.0, 0.0), (1.0, 1.0), (2, 2))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.location, r.date, r.value) for r in out.collect()) == [(1, 1, 4.0), (1, 2, 5.0)]
