@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from obsim.functions import arrays, dates, geo, numeric, text
-from obsim.operators import ledger, metrics, quality, relational, scenario, series
+from obsim.operators import ledger, metrics, quality, relational, scenario, series, spatial
 from obsim.plans import diagnose, views
 
 EDGES = [0.0, 0.25, 0.5, 1.0, 1.25, 1.5, 1.75, 2.0]
@@ -369,3 +369,13 @@ def test_pixel_join_is_dealt_out_by_pixel(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted((r.location, r.date, r.value) for r in out.collect()) == [(1, 1, 4.0), (1, 2, 5.0)]
+
+
+def test_tied_sites_are_dealt_out_by_position(spark):
+    left = spark.createDataFrame([(1, 0.5, 0.0), (2, None, 0.0)], "k int, x double, y double")
+    right = spark.createDataFrame([(7, 0.0, 0.0), (8, 1.0, 0.0), (9, 1.0, 0.0), (10, 5.0, 5.0)], "site int, sx double, sy double")
+    out = spatial.nearest(left, right, "x", "y", "sx", "sy", "site", ties="all")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0]
+    assert sorted((r.k, r.nearest_id or 0) for r in out.collect()) == [(1, 7), (1, 8), (1, 9), (2, 0)]
