@@ -363,8 +363,8 @@ def test_units_are_told_from_pixels_that_hold_points(spark):
 
 
 def test_pixel_join_is_dealt_out_by_pixel(spark):
-    points = spark.createDataFrame([(1, 0.1, 0.1)], "location int, x double, y double")
-    pixels = spark.createDataFrame([(0, 0, 1, 4.0), (0, 0, 2, 5.0)], "ix int, iy int, date int, value double")
+    points = spark.sql("select * from values (1, 0.1D, 0.1D) t(location, x, y)")
+    pixels = spark.sql("select * from values (0, 0, 1, 4D), (0, 0, 2, 5D) t(ix, iy, date, value)")
     out = spatial.pixel_values(points, pixels, "x", "y", (0.0, 0.0), (1.0, 1.0), (2, 2))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
@@ -372,8 +372,8 @@ def test_pixel_join_is_dealt_out_by_pixel(spark):
 
 
 def test_tied_sites_are_dealt_out_by_position(spark):
-    left = spark.createDataFrame([(1, 0.5, 0.0), (2, None, 0.0)], "k int, x double, y double")
-    right = spark.createDataFrame([(7, 0.0, 0.0), (8, 1.0, 0.0), (9, 1.0, 0.0), (10, 5.0, 5.0)], "site int, sx double, sy double")
+    left = spark.sql("select * from values (1, 0.5D, 0D), (2, null, 0D) t(k, x, y)")
+    right = spark.sql("select * from values (7, 0D, 0D), (8, 1D, 0D), (9, 1D, 0D), (10, 5D, 5D) t(site, sx, sy)")
     out = spatial.nearest(left, right, "x", "y", "sx", "sy", "site", ties="all")
     plan = out._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
