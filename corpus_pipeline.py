@@ -7,7 +7,9 @@ Each stage takes what its predecessor kept, as written to Parquet and read again
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from obsim.llm import arrays as A
 from obsim.llm import decontam, jaccard, mixing, quality, sharding
 from obsim.llm.tables import documents, table
 from obsim.session import scratch_path
@@ -37,8 +39,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
-    return sharding.shard(docs)
+    """All documents with their shard and slot; inside a shard, slots follow the order in which the mix was written.
+
+    That order is the number of the part, of its file, and of the row in the file.
+    """
+    place = A.own_names(docs, "place")["place"]
+    name = F.col("_metadata.file_name")
+    part, file = (F.regexp_extract(name, r"^part-(\d+)-.*-c(\d+)\.", k).cast("long") for k in (1, 2))
+    placed = docs.select("*", (part * (1 << 40) + file * (1 << 32) + F.col("_metadata.row_index")).alias(place))
+    return sharding.shard(placed, place=place).drop(place)
 
 
 STAGES = [

@@ -21,6 +21,8 @@ OVERHEAD = 8
 RANGES_PER_SHARD = 96
 SAMPLES_PER_RANGE = 4
 _SEED = 20_011
+# Places are numbered in pieces of 1 << PIECE_BITS places.
+PIECE_BITS = 13
 # Weighted sampling compares a 40-bit hash with a share of the total.
 _UNIT = 1 << 40
 
@@ -103,6 +105,7 @@ def shard(
     text: str = "text",
     doc_id: str = "doc_id",
     ranges_per_shard: int = RANGES_PER_SHARD,
+    place: str | None = None,
 ) -> DataFrame:
     """Add ``shard_bytes`` (the record's size), ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in a shard).
 
@@ -110,11 +113,14 @@ def shard(
     with the fewest bytes. Only a record longer than a shard can make a shard stand out. Rows with equal texts share a
     shard unless they fill over half of one.
 
+    ``place``: a column of longs that slots of a shard follow (ties by the id, then arbitrarily), as the order of a mix; it says
+    nothing of the shard. Rows are numbered in pieces of it, so a shard takes as many tasks as it has pieces.
+
     Every row comes back once, with the columns of ``docs`` except earlier ones of the three names. A null text is a
     group of its own and costs only the fixed bytes; null or repeated ids are ordinary rows (ties in a shard are broken
     by the id, then arbitrarily). An empty table gives an empty result.
     """
-    n = A.own_names(docs, "key", "range", "part", "before", "low", "high", "parts")
+    n = A.own_names(docs, "key", "range", "part", "before", "low", "high", "parts", "piece", "owner", "start")
     kept = [c for c in docs.columns if c not in ("shard_bytes", "shard", "slot")]
     # Scattered from the text, so that ranges of keys are fair; equal texts have equal keys.
     records = docs.select(
@@ -122,7 +128,8 @@ def shard(
         F.xxhash64(F.col(f"`{text}`"), F.lit(_SEED)).alias(n["key"]),
     )
     sizes = stage(records.select(
-        F.col(n["key"]).alias("key"), "shard_bytes", F.xxhash64(F.col(f"`{doc_id}`")).alias("spread")
+        F.col(n["key"]).alias("key"), "shard_bytes", F.xxhash64(F.col(f"`{doc_id}`")).alias("spread"),
+        *([] if place is None else [F.shiftright(F.col(f"`{place}`"), PIECE_BITS).alias("piece")]),
     ), "shard-sizes")
     ranges = shards * ranges_per_shard
     keys = sizes.groupBy("key").agg(F.sum("shard_bytes").alias("bytes"))
@@ -147,9 +154,9 @@ def shard(
 
     # As many rows as ranges, from the splitters: bounded by the parameters.
     plan = F.broadcast(stage(plan, "shard-plan"))
+    parted = placed.join(plan, "range").withColumn("part", _part(F.col("key"), F.col("spread"), F.col("low"), F.col("high"), F.col("parts")))
     pieces = (
-        placed.join(plan, "range").withColumn("part", _part(F.col("key"), F.col("spread"), F.col("low"), F.col("high"), F.col("parts")))
-        .groupBy("range", "part").agg(F.sum("shard_bytes").alias("bytes"), F.count("*").alias("rows"))
+        parted.groupBy("range", "part").agg(F.sum("shard_bytes").alias("bytes"), F.count("*").alias("rows"))
     )
     # A key that fills whole ranges is dealt in units of up to half a shard, so that few shards hold its copies.
     unit = F.when(F.col("low") + 1 == F.col("high"), F.floor(F.col("part") / (ranges_per_shard // 2 or 1))).otherwise(F.col("part"))
@@ -157,7 +164,8 @@ def shard(
     dealt = pieces.join(_dealt(pieces.groupBy("range", "unit").agg(F.sum("bytes").alias("bytes")), shards), ["range", "unit"])
     in_shard = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.select("range", "part", "shard", F.coalesce(F.sum("rows").over(in_shard), F.lit(0)).alias("before"))
-    dealt = F.broadcast(stage(dealt, "shard-dealt").withColumnsRenamed({"range": n["range"], "part": n["part"], "before": n["before"]}))
+    owners = stage(dealt, "shard-dealt")
+    dealt = F.broadcast(owners.withColumnsRenamed({"range": n["range"], "part": n["part"], "before": n["before"]}))
 
     # The records go to their ranges once, and are numbered inside the subdivided range.
     spread = F.xxhash64(F.col(f"`{doc_id}`"))
@@ -167,6 +175,20 @@ def shard(
         .join(renamed, n["range"])
         .withColumn(n["part"], _part(F.col(n["key"]), spread, F.col(n["low"]), F.col(n["high"]), F.col(n["parts"])))
     )
+    if place is not None:
+        counted = parted.join(F.broadcast(owners.drop("before")), ["range", "part"]).groupBy("shard", "piece").agg(F.count("*").alias("rows"))
+        upto = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        starts = stage(counted.select(
+            F.col("shard").alias(n["owner"]), F.col("piece").alias(n["piece"]), F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias(n["start"])
+        ), "shard-starts")
+        owned = sent.join(dealt, [n["range"], n["part"]]).withColumn(n["owner"], F.col("shard"))
+        owned = owned.withColumn(n["piece"], F.shiftright(F.col(f"`{place}`"), PIECE_BITS))
+        own = Window.partitionBy(n["owner"], n["piece"]).orderBy(F.col(f"`{place}`"), F.col(f"`{doc_id}`"))
+        # A null place is a piece of its own, before the others.
+        known = starts.withColumnsRenamed({n["owner"]: n["low"], n["piece"]: n["high"]})
+        numbered = owned.drop(n["low"], n["high"]).withColumn("slot", F.row_number().over(own))
+        numbered = numbered.join(known, (F.col(n["owner"]) == F.col(n["low"])) & F.col(n["piece"]).eqNullSafe(F.col(n["high"])))
+        return numbered.select(*[f"`{c}`" for c in kept], "shard_bytes", "shard", (F.col("slot") + F.col(n["start"]) - 1).cast("long").alias("slot"))
     own = Window.partitionBy(n["range"], n["part"]).orderBy(F.col(f"`{doc_id}`"))
     numbered = sent.withColumn("slot", F.row_number().over(own)).join(dealt, [n["range"], n["part"]])
     return numbered.select(*[f"`{c}`" for c in kept], "shard_bytes", "shard", (F.col("slot") + F.col(n["before"]) - 1).cast("long").alias("slot"))

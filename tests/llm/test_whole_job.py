@@ -96,3 +96,17 @@ def test_any_further_columns_may_come_along(spark):
     for out in (mixing.mix(docs, block_bytes=16, frame=20), line_dedup.without_repeated_lines(docs), exact_dedup.mark_copies(docs)):
         assert set(docs.columns) <= set(out.columns) and out.count() == 6
     assert mixing.mixed_corpus(docs, block_bytes=16, frame=20).columns == docs.columns and exact_dedup.without_copies(docs).count() == 1
+
+
+def test_slots_of_the_pipeline_follow_the_order_of_the_mix_as_written(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    order = list(range(200))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(d, f"w{d} " * rng.randint(1, 30), i) for i, d in enumerate(order)], "doc_id long, text string, i long")
+    docs.repartitionByRange(4, "i").sortWithinPartitions("i").write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.sharded(spark, spark.read.parquet(str(tmp_path / "mixed")), "").toPandas()
+    assert sorted(out.doc_id) == list(range(200))
+    for _, own in out.sort_values("slot").groupby("shard"):
+        assert own.slot.tolist() == list(range(len(own))) and own.i.is_monotonic_increasing
