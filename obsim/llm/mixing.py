@@ -136,14 +136,16 @@ def schedule(plan: DataFrame, slots: int, frame: int = FRAME) -> DataFrame:
     return taken.join(plan, F.col("taker") == F.col("number")).select("source", block.cast("long").alias("block"), "slot")
 
 
-def blocks(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id",
-           block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    """``(rows, sizes, names)``: rows with the source's block they start in, and the bytes of each source.
+def pieces_of(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id",
+              piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, str]]:
+    """``(rows, offsets, sizes, names)``: rows with their piece and the bytes before them in it, bytes of a source before each
+    of its pieces, and the bytes of each source.
 
     Documents of a source follow a hash of their id. A source is numbered in pieces of about ``piece_bytes`` bytes, so
-    a hot source takes as many tasks as its size asks for; only one total for each piece is summed up in order.
+    a hot source takes as many tasks as its size asks for; only one total for each piece is summed up in order. Pieces of all
+    sources have one number without nulls, so that a join on it goes on where the rows were dealt out for numbering.
     """
-    n = A.own_names(docs, "source", "bytes", "draw", "piece", "before", "block", "of_source", "of_piece")
+    n = A.own_names(docs, "source", "bytes", "draw", "piece", "before", "of", "count", "from", "low")
     text_bytes = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1
     keyed = docs.withColumns({
         n["source"]: F.col(f"`{source}`").cast("string"),
@@ -152,27 +154,27 @@ def blocks(docs: DataFrame, source: str = "source", text: str = "text", doc_id:
     })
     narrow = stage(keyed.select(F.col(n["source"]).alias("source"), F.col(n["bytes"]).alias("bytes"), F.col(n["draw"]).alias("draw")), "mix-rows")
     sizes = stage(narrow.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")), "mix-sizes")
-    pieces = sizes.select("source", F.ceil(F.col("bytes") / piece_bytes).alias("pieces"))
+    # The list of sources is short beside the documents; one task numbers their pieces.
+    in_order = Window.partitionBy(F.lit(1)).orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sizes.select("source", F.ceil(F.col("bytes") / piece_bytes).alias("count"))
+    counts = stage(counts.select("source", "count", F.coalesce(F.sum("count").over(in_order), F.lit(0)).alias("from")), "mix-pieces")
 
-    def piece_of(draw: Column, count: Column) -> Column:
-        return F.floor(draw * count / F.lit(_UNIT)).cast("long")
+    def piece_of(draw: Column, count: Column, start: Column) -> Column:
+        return start + F.floor(draw * count / F.lit(_UNIT)).cast("long")
 
     totals = (
-        narrow.join(pieces, narrow["source"].eqNullSafe(pieces["source"])).select(narrow["source"], "bytes", piece_of(F.col("draw"), F.col("pieces")).alias("piece"))
+        narrow.join(counts, narrow["source"].eqNullSafe(counts["source"]))
+        .select(narrow["source"], "bytes", piece_of(F.col("draw"), F.col("count"), F.col("from")).alias("piece"))
         .groupBy("source", "piece").agg(F.sum("bytes").alias("bytes"))
     )
     upto = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("source").alias(n["source"]), F.col("piece").alias(n["piece"]), F.coalesce(F.sum("bytes").over(upto), F.lit(0)).alias(n["before"]))
-    counted = pieces.withColumnsRenamed({"source": n["block"], "pieces": n["before"]})
-    placed = keyed.join(counted, keyed[n["source"]].eqNullSafe(counted[n["block"]])).withColumn(
-        n["piece"], piece_of(F.col(n["draw"]), F.col(n["before"]))
-    ).drop(n["block"], n["before"])
-    inside = Window.partitionBy(n["source"], n["piece"]).orderBy(n["draw"], F.col(f"`{doc_id}`")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn(n["block"], F.coalesce(F.sum(n["bytes"]).over(inside), F.lit(0)))
-    o = offsets.withColumnsRenamed({n["source"]: n["of_source"], n["piece"]: n["of_piece"]})
-    out = placed.join(o, placed[n["source"]].eqNullSafe(o[n["of_source"]]) & (placed[n["piece"]] == o[n["of_piece"]]))
-    out = out.withColumn(n["block"], F.floor((F.col(n["block"]) + F.col(n["before"])) / block_bytes).cast("long"))
-    return out, sizes, n
+    offsets = stage(totals.select("source", "piece", "bytes", F.coalesce(F.sum("bytes").over(upto), F.lit(0)).alias("before")), "mix-offsets")
+    c = counts.withColumnsRenamed({"source": n["of"], "count": n["count"], "from": n["from"]})
+    placed = keyed.join(c, keyed[n["source"]].eqNullSafe(c[n["of"]])).withColumn(
+        n["piece"], piece_of(F.col(n["draw"]), F.col(n["count"]), F.col(n["from"]))
+    ).drop(n["of"], n["count"], n["from"])
+    inside = Window.partitionBy(n["piece"]).orderBy(n["draw"], F.col(f"`{doc_id}`")).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn(n["before"], F.coalesce(F.sum(n["bytes"]).over(inside), F.lit(0))), offsets, sizes, n
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", text: str = "text", doc_id: str = "doc_id",
@@ -191,7 +193,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     ids are ordinary rows. An empty table gives an empty result. The schedule has as many slots as the source that
     lasts longest asks for, whatever the number of sources.
     """
-    placed, sizes, n = blocks(docs, source, text, doc_id, block_bytes, piece_bytes)
+    placed, offsets, sizes, n = pieces_of(docs, source, text, doc_id, piece_bytes)
     targets = (tempered_weights(sizes) if weights is None else weights).withColumnRenamed("source", "of")
     known = sizes.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     if not known.filter(F.col("weight").isNull() | ~(F.col("weight") > 0)).isEmpty():
@@ -205,10 +207,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     known_blocks = plan.select(F.col("source").alias("of"), "blocks")
     made = schedule(plan.drop("blocks"), slots or 0, frame)
     table = stage(made.join(known_blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") < F.col("blocks"))).select("source", "block", "slot"), "mix-slots")
-    k = A.own_names(placed, "name", "turn", "slot")
-    lookup = table.select(F.col("source").alias(k["name"]), F.col("block").alias(k["turn"]), F.col("slot").alias(k["slot"]))
-    block, slot = F.col(n["block"]), F.col(k["slot"])
-    joined = placed.join(lookup, (block == F.col(k["turn"])) & placed[n["source"]].eqNullSafe(lookup[k["name"]]))
+    # A piece has a row with the slots of its blocks, so the texts are dealt out once, for numbering and for their slots.
+    first, last = (F.floor(x / block_bytes).cast("long") for x in (F.col("before"), F.col("before") + F.col("bytes") - 1))
+    held = offsets.select(F.col("source").alias("of"), "piece", "before", F.explode(F.sequence(first, last)).alias("at"))
+    held = held.join(table, F.col("of").eqNullSafe(F.col("source")) & (F.col("at") == F.col("block")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"])
+    facts = held.groupBy("piece").agg(F.min("before").alias(n["low"]), listed.alias(n["of"]))
+    joined = placed.join(facts.withColumnRenamed("piece", n["from"]), F.col(n["piece"]) == F.col(n["from"]))
+    block = F.floor((F.col(n["before"]) + F.col(n["low"])) / block_bytes).cast("long")
+    slot = F.get(F.col(n["of"]), (block - F.floor(F.col(n["low"]) / block_bytes)).cast("int"))
     kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "in_mix")]
     return joined.select(
         *[f"`{c}`" for c in kept], block.alias("mix_block"), slot.alias("mix_slot"), (slot < F.lit(ends)).alias("in_mix")

@@ -110,3 +110,23 @@ def test_slots_of_the_pipeline_follow_the_order_of_the_mix_as_written(spark, tmp
     assert sorted(out.doc_id) == list(range(200))
     for _, own in out.sort_values("slot").groupby("shard"):
         assert own.slot.tolist() == list(range(len(own))) and own.i.is_monotonic_increasing
+
+
+def test_mixing_deals_texts_out_for_numbering_and_for_slots_only(spark):
+    """Without broadcasts too, rows stay where their piece is numbered when they get their slots."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, H.prose(rng, 20), "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string")
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(s, None) for s in settings]
+    try:
+        for s in settings:
+            spark.conf.set(s, -1)
+        out = mixing.mixed_corpus(docs, block_bytes=64, frame=50)
+        plan = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines()]
+        assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+    finally:
+        for s, value in zip(settings, before):
+            spark.conf.unset(s) if value is None else spark.conf.set(s, value)
+    window = next(k for k, line in enumerate(plan) if " Window " in line or "- Window" in line)
+    above = [line for line in plan[:window] if "Exchange" in line]
+    assert len(above) == 1 and "rangepartitioning" in above[0]
