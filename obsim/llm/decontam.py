@@ -37,6 +37,8 @@ SLIP = 8
 # Up to so many distinct benchmark windows (8 bytes each) go to every task, which then returns only those it finds;
 # beyond it all windows of the documents are shuffled to the join.
 MOST_BROADCAST = 2_000_000
+# Leading bits of a window that are looked up before it is searched for.
+HEAD = 20
 
 # Number words and units that count as such.
 NUMBER_WORDS = frozenset(
@@ -63,10 +65,11 @@ class Tokens(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        bare = _EDGE.sub("", word) or word
+        # Most words are seen once. Letters and digits have no edges, and letters are no number.
+        bare = word if word.isalnum() else _EDGE.sub("", word) or word
         low = bare.lower()
-        kind = NUMBER if low in NUMBER_WORDS or _NUMBER.fullmatch(low) else UNIT if low in UNITS else PLAIN
-        packed = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & ~15
+        kind = NUMBER if low in NUMBER_WORDS or not low.isalpha() and _NUMBER.fullmatch(low) else UNIT if low in UNITS else PLAIN
+        packed = xxhash.xxh64_intdigest(low if low.isascii() else low.encode("utf-8", "surrogatepass")) & ~15
         packed |= (kind << _KIND) | (_END if word[-1] in ".!?:" else 0) | (_CAPITAL if bare[:1].isupper() and bare[1:].islower() else 0)
         self[word] = packed
         return packed
@@ -127,20 +130,31 @@ class Known:
         self.item = np.array([number.setdefault((r["item_id"], r["item_key"]), len(number)) for r in rows], np.int64)[order]
         self.offset = np.array([r["offset"] for r in rows], np.int64)[order]
         self.need = np.array([-(-words_needed(r["n_words"]) // PIECE) for r in rows], np.int64)[order]
+        self.whole_heads, self.held_heads = self._heads(self.whole), self._heads(self.held)
 
     @staticmethod
-    def _places(wanted: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(wanted) or not len(found):
-            return np.zeros(len(found), bool), np.zeros(len(found), np.int64)
-        place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-        return wanted[place] == found, place
+    def _heads(wanted: np.ndarray) -> np.ndarray:
+        """Which leading bits of a window some wanted window has."""
+        heads = np.zeros(1 << HEAD, bool)
+        heads[wanted >> np.uint64(64 - HEAD)] = True
+        return heads
+
+    @staticmethod
+    def _places(wanted: np.ndarray, heads: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``found`` are among the wanted, searched for only where the leading bits are some wanted window's."""
+        hit, place = np.zeros(len(found), bool), np.zeros(len(found), np.int64)
+        may = np.flatnonzero(heads[found >> np.uint64(64 - HEAD)])
+        if len(may):
+            place[may] = np.minimum(np.searchsorted(wanted, found[may]), len(wanted) - 1)
+            hit[may] = wanted[place[may]] == found[may]
+        return hit, place
 
     def holds(self, found: np.ndarray) -> np.ndarray:
-        return self._places(self.whole, found)[0]
+        return self._places(self.whole, self.whole_heads, found)[0]
 
     def enough(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Pieces that lie, on diagonals close together, among as many of one item as it needs at least."""
-        hit, place = self._places(self.held, found)
+        hit, place = self._places(self.held, self.held_heads, found)
         mine, place = np.flatnonzero(hit), place[hit]
         keep = np.zeros(len(found), bool)
         if not len(mine):

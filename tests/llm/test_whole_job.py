@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from obsim.llm import decontam, exact_dedup, jaccard, line_dedup, mixing
@@ -130,3 +131,29 @@ def test_mixing_deals_texts_out_for_numbering_and_for_slots_only(spark):
     window = next(k for k, line in enumerate(plan) if " Window " in line or "- Window" in line)
     above = [line for line in plan[:window] if "Exchange" in line]
     assert len(above) == 1 and "rangepartitioning" in above[0]
+
+
+def test_words_of_letters_and_digits_skip_the_expressions(monkeypatch):
+    """Plain words are told without either expression; others as before."""
+    asked = []
+
+    class Edge:
+        @staticmethod
+        def sub(_, word):
+            asked.append(word)
+            return word.strip("(),.")
+
+    monkeypatch.setattr(decontam, "_EDGE", Edge)
+    codes, kinds, _ = decontam.Tokens().of("the (river) took twelve 12 km and x² of Stone, then")
+    assert asked == ["(river)", "Stone,"]
+    assert kinds.tolist() == [0, 0, 0, 1, 1, 2, 0, 0, 0, 3, 0]
+
+
+def test_windows_are_found_among_those_with_equal_leading_bits():
+    wanted = np.sort(np.array([5, (7 << 44) + 3, (7 << 44) + 9, (1 << 64) - 1], np.uint64))
+    found = np.array([5, 6, (7 << 44) + 4, (7 << 44) + 9, 1 << 63, (1 << 64) - 1], np.uint64)
+    hit, place = decontam.Known._places(wanted, decontam.Known._heads(wanted), found)
+    assert hit.tolist() == [True, False, False, True, False, True]
+    assert (wanted[place[hit]] == found[hit]).all()
+    empty = np.empty(0, np.uint64)
+    assert not decontam.Known._places(empty, decontam.Known._heads(empty), found)[0].any()
