@@ -328,3 +328,17 @@ def test_running_where_keys_fill_several_partitions(spark, keys):
             low, n, seen = v if low is None else min(low, v), n + 1, v
         state[k] = (low, n, seen)
         assert got[k, t] == (low, n, seen)
+
+
+def test_rows_and_tied_sites_of_a_place_are_written_in_blocks(spark, tmp_path):
+    """One place with 3,000 sites and 400 rows: each row with each site once, and the file does not hold every site again for every row."""
+    left = spark.createDataFrame([*[(p, 1.2, 2.0) for p in range(400)], (400, None, 1.0), (400, 1.2, 2.0), (7, 1.2, 2.0)], "p long, px double, py double")
+    right = spark.range(6000).select((F.col("id") * 7919).alias("s"), (F.col("id") % 2 * 5.0).alias("x"), F.lit(2.0).alias("y"))
+    got = spatial.nearest(left, right, "px", "py", "x", "y", "s", ties="all").select("p", "nearest_id")
+    got.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = left.filter("px is not null").select("p").join(right.filter("x = 0").select(F.col("s").alias("nearest_id")))
+    want = want.union(spark.sql("select 400L, cast(null as bigint)"))
+    assert back.count() == 402 * 3000 + 1 and back.exceptAll(want).count() == 0
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.4 * back.count()
